@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
-from tracemill.operators.lookup import spread_lookup
+from tracemill.operators.lookup import lookup
 from tracemill.session import materialise
 
 # Templates tested in one expression; larger catalogues take several passes.
@@ -72,4 +72,4 @@ def match(
     """Match every line; each distinct message is tested once and the result is looked up."""
     distinct = parsed.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     matched = materialise(match_messages(distinct, catalogue, column, wildcards))
-    return spread_lookup(parsed, matched, column, "_n", "line_id")
+    return lookup(parsed, matched, column, "_n", "line_id")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.text import WILDCARD
 from tracemill.operators import templates
-from tracemill.operators.lookup import spread_lookup
+from tracemill.operators.lookup import lookup
 from tracemill.session import materialise
 
 CHUNK_MESSAGES = 20_000
@@ -242,4 +242,4 @@ def mine_messages(
 def mine(parsed: DataFrame, depth: int = 4, sim_th: float = 0.4, max_children: int = 100) -> DataFrame:
     """Add ``event_id`` and the final ``event_template`` to every line."""
     mined = mine_messages(parsed, depth, sim_th, max_children)
-    return spread_lookup(parsed, mined, "masked", "n", "line_id")
+    return lookup(parsed, mined, "masked", "n", "line_id")
