@@ -48,8 +48,15 @@ def java_replacement(mask: str) -> str:
 
 
 def trimmed(line: Column) -> Column:
-    """The line without surrounding white space and without undecodable bytes."""
-    return F.btrim(F.translate(line, REPLACEMENT_CHARACTER, ""), F.lit(WHITESPACE))
+    """The line without surrounding white space and without undecodable bytes.
+
+    Both are rare; lines are tested for them first, which is cheaper than rewriting every line.
+    """
+    broken = F.contains(line, F.lit(REPLACEMENT_CHARACTER))
+    clean = F.when(broken, F.translate(line, REPLACEMENT_CHARACTER, "")).otherwise(line)
+    spaces = F.lit(WHITESPACE)
+    padded = F.contains(spaces, F.left(line, F.lit(1))) | F.contains(spaces, F.right(line, F.lit(1)))
+    return F.when(broken | padded, F.btrim(clean, spaces)).otherwise(line)
 
 
 def content(line: Column, pattern: str | None = None) -> Column:
@@ -57,10 +64,9 @@ def content(line: Column, pattern: str | None = None) -> Column:
     groups = re.compile(pattern).groups if pattern else 0
     if not groups:
         return line
-    anchored = java_pattern(f"^(?:{pattern})")
-    found = F.regexp_extract(line, anchored, groups)
-    # An empty result is either a miss or an empty group; only then is the line matched again.
-    return F.when(found != "", found).when(F.rlike(line, F.lit(anchored)), F.lit("")).otherwise(line)
+    # A match takes the rest of the line along and leaves its last group; a miss leaves the line as it is.
+    # One expression, so that plans which repeat it stay cheap.
+    return F.regexp_replace(line, F.lit(java_pattern(f"^(?:{pattern})(?s:.*)")), F.lit(f"${groups}"))
 
 
 def masked(text: Column, masks: Iterable[Mapping[str, str] | tuple[str, str]] = ()) -> Column:

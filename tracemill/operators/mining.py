@@ -13,6 +13,7 @@ messages agree; that is an aggregate, so its cost does not depend on the size of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -26,6 +27,8 @@ from tracemill.operators.lookup import lookup
 from tracemill.session import materialise
 
 CHUNK_MESSAGES = 20_000
+OUTPUT_ROWS = 10_000
+_COLUMNS = ["leaf", "masked", "cluster", "template"]
 _LEARNED = "leaf string, masked string, cluster bigint, template array<string>"
 
 
@@ -94,33 +97,65 @@ class _Clusters:
         self.table[at][self.table[at] != row] = -1
 
 
-def _learn(pdf: pd.DataFrame, sim_th: float) -> pd.DataFrame:
-    """Cluster one bounded group of messages in the order of their first line."""
-    pdf = pdf.sort_values("first_line")
-    clusters = _Clusters(int(pdf["size"].iloc[0]), sim_th)
-    opened: list[int] = []  # first line of the message that opened each template
+def _cluster_leaf(rows: list[tuple[str, int]], width: int, sim_th: float) -> tuple[list[int], dict[int, list[str]]]:
+    """Cluster the messages of one bounded group, given in the order of their first line.
+
+    Returns the cluster of each message and the template of each cluster; a cluster is named by the first
+    line of the message that opened it.
+    """
+    clusters = _Clusters(width, sim_th)
+    opened: list[int] = []
     assigned = []
-    for message, line in zip(pdf["masked"], pdf["first_line"]):
-        row = clusters.encode(message.split())
+    for message, line in rows:
+        words = message.split()
+        row = clusters.encode(words)
         # A token that is itself the wildcard mask never counts as equal.
-        row[[w == WILDCARD for w in message.split()]] = -1
+        row[[w == WILDCARD for w in words]] = -1
         at = clusters.best(np.where(row == -1, -3, row))
         if at is None:
             at = clusters.add(row)
-            opened.append(int(line))
+            opened.append(line)
         else:
             clusters.merge(at, row)
-        assigned.append(at)
+        assigned.append(opened[at])
     words = {code: w for w, code in clusters.codes.items()}
-    shown = [[words.get(c, WILDCARD) for c in clusters.table[i]] for i in range(clusters.count)]
-    return pd.DataFrame(
-        {
-            "leaf": pdf["leaf"].to_numpy(),
-            "masked": pdf["masked"].to_numpy(),
-            "cluster": [opened[a] for a in assigned],
-            "template": [shown[a] for a in assigned],
-        }
-    )
+    shown = {opened[i]: [words.get(c, WILDCARD) for c in clusters.table[i]] for i in range(clusters.count)}
+    return assigned, shown
+
+
+def _learn(batches: Iterator[pd.DataFrame], sim_th: float) -> Iterator[pd.DataFrame]:
+    """Cluster leaf after leaf; rows arrive sorted by leaf and first line, so one leaf is held at a time.
+
+    Each message comes out with its cluster; the message that opened a cluster also carries its template.
+    """
+    out: list[tuple] = []
+
+    def finish(leaf: str, width: int, rows: list[tuple[str, int]]) -> None:
+        assigned, shown = _cluster_leaf(rows, width, sim_th)
+        for (message, line), cluster in zip(rows, assigned):
+            out.append((leaf, message, cluster, shown[cluster] if line == cluster else None))
+
+    leaf, width, rows = None, 0, []
+    for batch in batches:
+        for name, size, message, line in zip(batch["leaf"], batch["size"], batch["masked"], batch["first_line"]):
+            if name != leaf:
+                if rows:
+                    finish(leaf, width, rows)
+                leaf, width, rows = name, int(size), []
+            rows.append((message, int(line)))
+        if len(out) >= OUTPUT_ROWS:
+            yield pd.DataFrame(out, columns=_COLUMNS)
+            out.clear()
+    if rows:
+        finish(leaf, width, rows)
+    if out:
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+
+def _learned(messages: DataFrame, sim_th: float) -> DataFrame:
+    """Cluster leaves of bounded size: co-located and sorted by Spark, streamed through one Python pass."""
+    placed = messages.select("leaf", "size", "masked", "first_line").repartition("leaf")
+    return placed.sortWithinPartitions("leaf", "first_line").mapInPandas(partial(_learn, sim_th=sim_th), _LEARNED)
 
 
 def _fit(learned: pd.DataFrame, messages: pd.DataFrame, sim_th: float) -> pd.DataFrame:
@@ -153,16 +188,12 @@ def _cluster_big(big: DataFrame, sim_th: float, chunk: int) -> list[DataFrame]:
     while True:
         head = rest.groupBy("leaf").agg(F.min("chunk").alias("_head"), F.max("chunk").alias("_last"))
         marked = rest.join(head, "leaf")
-        learned = materialise(
-            marked.where(F.col("chunk") == F.col("_head"))
-            .groupBy("leaf", "chunk")
-            .applyInPandas(partial(_learn, sim_th=sim_th), _LEARNED)
-        )
+        learned = materialise(_learned(marked.where(F.col("chunk") == F.col("_head")), sim_th))
         settled.append(learned.select("masked", "cluster"))
         waiting = marked.where(F.col("chunk") > F.col("_head"))
         # One copy of a leaf's templates for each chunk that is still waiting.
         targets = waiting.select("leaf", "chunk").distinct()
-        shown = learned.groupBy("leaf", "cluster").agg(F.first("template").alias("template"))
+        shown = learned.where(F.col("template").isNotNull()).select("leaf", "cluster", "template")
         fitted = materialise(
             shown.join(targets, "leaf")
             .groupBy("leaf", "chunk")
@@ -191,13 +222,10 @@ def cluster_messages(
     placed = materialise(leaves(messages, depth, max_children))
     sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("_size"))
     sized = placed.join(sizes, "leaf")
-    small = (
-        sized.where(F.col("_size") <= chunk)
-        .drop("_size")
-        .groupBy("leaf")
-        .applyInPandas(partial(_learn, sim_th=sim_th), _LEARNED)
-        .select("masked", "cluster")
-    )
+    # A message alone in its leaf is its own template.
+    alone = sized.where(F.col("_size") == 1).select("masked", F.col("first_line").alias("cluster"))
+    few = sized.where((F.col("_size") > 1) & (F.col("_size") <= chunk))
+    small = alone.unionByName(_learned(few, sim_th).select("masked", "cluster"))
     big = sized.where(F.col("_size") > chunk)
     if big.isEmpty():
         return small

@@ -100,10 +100,16 @@ def sequence_summary(
 
 
 def preprocess(raw: DataFrame, config: Mapping[str, Any]) -> dict[str, DataFrame]:
-    """All tables of a run over numbered raw lines, lazily where possible."""
+    """Parsed lines, templates, events and sequences of numbered raw lines."""
     mode = _section(config, "dataset").get("mode", "full")
     out = parsed_events(raw, config, mode)
-    out["sequences"] = build_sequences(out["parsed"], config)
+    parsed = out["parsed"]
+    # Sequences need few and short columns. Storing those spares their passes the parsing of every line.
+    pattern = _section(config, "sequencing").get("block_id_regex", text.DEFAULT_BLOCK_ID)
+    keyed = parsed if "block_id" in parsed.columns else logs.with_block_id(parsed, pattern)
+    dropped = [c for c in ("raw", "content", "masked", "event_template") if c in keyed.columns]
+    out["events"] = materialise(keyed.drop(*dropped))
+    out["sequences"] = build_sequences(out["events"], config)
     return out
 
 

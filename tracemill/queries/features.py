@@ -14,7 +14,12 @@ add = REGISTRY.add
 
 EVENTS = ["click", "error", "purchase", "signup", "view"]
 _CASES = " ".join(f"WHEN '{e}' THEN {n}" for n, e in enumerate(EVENTS, 1))
-IDS = F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids")
+
+
+def ids_text():
+    return F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids")
+
+
 
 VOCAB_SQL = f"""{i.SEQUENCES},
 vocab AS (
@@ -41,29 +46,29 @@ def block_log_vocabulary(spark, folder):
 
 def _padded_sql(low: str) -> str:
     return f"""WITH {VOCAB_SQL}, cut AS (SELECT seq_id, label, ids[{low}] AS ids FROM coded)
-    SELECT seq_id, label, array_to_string(list_concat(ids, list_transform(range(60 - len(ids)), x -> 0)), ' ') AS ids FROM cut"""
+    SELECT seq_id, label, array_to_string(list_concat(ids, [0 FOR x IN range(60 - len(ids))]), ' ') AS ids FROM cut"""
 
 
 @add("padded_head", _padded_sql("1:60"))
 def padded_head(spark, folder):
     seqs = event_sequences(spark, folder)
-    return features.padded(seqs, features.vocabulary(seqs), 60, "head").select("seq_id", "label", IDS)
+    return features.padded(seqs, features.vocabulary(seqs), 60, "head").select("seq_id", "label", ids_text())
 
 
 @add("padded_tail", _padded_sql("greatest(1, len(ids) - 59):len(ids)"))
 def padded_tail(spark, folder):
     seqs = event_sequences(spark, folder)
-    return features.padded(seqs, features.vocabulary(seqs), 60, "tail").select("seq_id", "label", IDS)
+    return features.padded(seqs, features.vocabulary(seqs), 60, "tail").select("seq_id", "label", ids_text())
 
 
 @add(
     "padded_longest",
     f"""WITH {VOCAB_SQL}, width AS (SELECT max(length) AS w FROM seqs)
-    SELECT seq_id, label, array_to_string(list_concat(ids, list_transform(range(w - len(ids)), x -> 0)), ' ') AS ids FROM coded, width""",
+    SELECT seq_id, label, array_to_string(list_concat(ids, [0 FOR x IN range(w - len(ids))]), ' ') AS ids FROM coded, width""",
 )
 def padded_longest(spark, folder):
     seqs = event_sequences(spark, folder)
-    return features.padded(seqs, features.vocabulary(seqs)).select("seq_id", "label", IDS)
+    return features.padded(seqs, features.vocabulary(seqs)).select("seq_id", "label", ids_text())
 
 
 @add(
@@ -73,7 +78,7 @@ def padded_longest(spark, folder):
 )
 def encode_with_unknown(spark, folder):
     vocab = spark.createDataFrame([("<PAD>", 0), ("click", 1), ("error", 2)], "event STRING, idx INT")
-    return features.encode(event_sequences(spark, folder), vocab).select("seq_id", IDS, "oov_count")
+    return features.encode(event_sequences(spark, folder), vocab).select("seq_id", ids_text(), "oov_count")
 
 
 @add("decode", f"WITH {i.SEQUENCES} SELECT seq_id, array_to_string(events, ' ') AS events FROM seqs")

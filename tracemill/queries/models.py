@@ -1,2 +1,266 @@
+"""Splits, next-event model, isolation forest, metrics, and whole runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracemill.operators import explore, features, iforest, metrics, nextevent, split
+from tracemill.plans import experiments, preprocess
 from tracemill.queries import Registry
+from tracemill.queries import inputs as i
+from tracemill.queries.explore import rounded
+from tracemill.queries.sequences import block_log_sequences, event_sequences
+from tracemill.session import materialise
+
 REGISTRY = Registry()
+add = REGISTRY.add
+
+ORDER, TOP_K = 2, 3
+
+SPLIT_SQL = f"""{i.SEQUENCES},
+split_ranked AS (
+  SELECT seq_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || seq_id)) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM seqs),
+split_sized AS (SELECT *, floor(n * CAST(0.15 AS DOUBLE) + 0.5) AS n_test FROM split_ranked),
+splits AS (
+  SELECT seq_id, label, CASE WHEN r < n_test THEN 'test'
+    WHEN r < n_test + floor((n - n_test) * (CAST(0.15 AS DOUBLE) / (CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE))) + 0.5) THEN 'val' ELSE 'train' END AS split
+  FROM split_sized)"""
+
+
+@add("stratified_split", f"WITH {SPLIT_SQL} SELECT seq_id, label, split FROM splits")
+def stratified_split(spark, folder):
+    return split.stratified(event_sequences(spark, folder)).select("seq_id", "label", "split")
+
+
+@add("split_counts", f"WITH {SPLIT_SQL} SELECT split, count(*) AS n, CAST(sum(label) AS BIGINT) AS anomalies FROM splits GROUP BY split")
+def split_counts(spark, folder):
+    return split.split_counts(split.stratified(event_sequences(spark, folder)))
+
+
+@add("contamination", f"WITH {SPLIT_SQL} SELECT round(avg(label), 6) AS contamination FROM splits WHERE split = 'train'")
+def contamination(spark, folder):
+    return rounded(explore.contamination(split.stratified(event_sequences(spark, folder))))
+
+
+def text_of(column: str):
+    return F.array_join(column, " ").alias(column)
+
+
+MOVES_SQL = f"""{i.SEQUENCES},
+placed AS (
+  SELECT e.block_id AS seq_id, s.label, event_id AS next, row_number() OVER w - 1 AS position,
+         lag(event_id, 1) OVER w AS c1, lag(event_id, 2) OVER w AS c2
+  FROM event_log e JOIN seqs s ON e.block_id = s.seq_id WINDOW w AS (PARTITION BY e.block_id ORDER BY line_id)),
+moves AS (SELECT seq_id, label, position, concat_ws(' ', c2, c1) AS context, next FROM placed WHERE position > 0)"""
+
+MODEL_SQL = f"""{MOVES_SQL},
+suffixes AS (
+  SELECT m.*, k, CASE k WHEN 0 THEN '' WHEN 1 THEN split_part(context, ' ', -1) ELSE context END AS suffix
+  FROM moves m, (VALUES (0), (1), (2)) AS o(k) WHERE k < 2 OR context LIKE '% %'),
+counted AS (SELECT k, suffix, next, count(*) AS n FROM suffixes WHERE label = 0 GROUP BY 1, 2, 3),
+model AS (
+  SELECT *, sum(n) OVER (PARTITION BY k, suffix) AS total, row_number() OVER (PARTITION BY k, suffix ORDER BY n DESC, next) AS r FROM counted),
+chosen AS (
+  SELECT s.seq_id, s.label, s.position, s.context, s.next, max(s.k) AS k, max_by(s.suffix, s.k) AS suffix
+  FROM suffixes s WHERE s.k = 0 OR EXISTS (SELECT 1 FROM model m WHERE m.k = s.k AND m.suffix = s.suffix) GROUP BY 1, 2, 3, 4, 5),
+judged AS (
+  SELECT c.*, m.n, m.r, t.total, CASE WHEN m.r <= {TOP_K} THEN 0 ELSE 1 END AS miss
+  FROM chosen c LEFT JOIN model m ON c.k = m.k AND c.suffix = m.suffix AND c.next = m.next
+  LEFT JOIN (SELECT DISTINCT k, suffix, total FROM model) t ON c.k = t.k AND c.suffix = t.suffix),
+detected AS (
+  SELECT s.seq_id, s.label, CAST(coalesce(max(miss), 0) AS INTEGER) AS pred, CAST(coalesce(sum(miss), 0) AS BIGINT) AS misses, count(j.position) AS transitions
+  FROM seqs s LEFT JOIN judged j USING (seq_id) GROUP BY s.seq_id, s.label)"""
+
+
+def model(spark, folder):
+    return nextevent.fit(split.normal_only(event_sequences(spark, folder)), ORDER)
+
+
+@add("next_pairs", f"WITH {MOVES_SQL} SELECT seq_id, position, context, next FROM moves")
+def next_pairs(spark, folder):
+    moves = nextevent.transitions(event_sequences(spark, folder), ORDER)
+    return moves.select("seq_id", "position", text_of("context"), "next")
+
+
+@add(
+    "next_topk",
+    f"WITH {MODEL_SQL} SELECT suffix AS context, CAST(r AS INTEGER) AS rank, next, round(n / total, 6) AS probability FROM model WHERE r <= {TOP_K}",
+)
+def next_topk(spark, folder):
+    return rounded(nextevent.topk(model(spark, folder), TOP_K).withColumn("context", F.array_join("context", " ")))
+
+
+@add(
+    "next_predict",
+    f"""WITH {MODEL_SQL} SELECT DISTINCT c.context, CAST(m.r AS INTEGER) AS rank, m.next, round(m.n / m.total, 6) AS probability
+    FROM chosen c JOIN model m ON c.k = m.k AND c.suffix = m.suffix WHERE m.r <= {TOP_K}""",
+)
+def next_predict(spark, folder):
+    moves = nextevent.transitions(event_sequences(spark, folder), ORDER)
+    predicted = nextevent.predict(model(spark, folder), moves, TOP_K)
+    return rounded(predicted.withColumn("context", F.array_join("context", " ")))
+
+
+@add(
+    "next_misses",
+    f"""WITH {MODEL_SQL}, tops AS (SELECT k, suffix, string_agg(next, ' ' ORDER BY r) AS expected FROM model WHERE r <= {TOP_K} GROUP BY 1, 2)
+    SELECT seq_id, label, position, context, next, expected FROM judged JOIN tops USING (k, suffix) WHERE miss = 1""",
+)
+def next_misses(spark, folder):
+    missed = nextevent.misses(model(spark, folder), event_sequences(spark, folder), TOP_K)
+    return missed.select("seq_id", "label", "position", text_of("context"), "next", text_of("expected"))
+
+
+@add("next_detect", f"WITH {MODEL_SQL} SELECT seq_id, label, pred, misses, transitions FROM detected")
+def next_detect(spark, folder):
+    return nextevent.detect(model(spark, folder), event_sequences(spark, folder), TOP_K)
+
+
+@add(
+    "next_loss",
+    f"""WITH {MODEL_SQL}, v AS (SELECT count(*) AS events FROM model WHERE k = 0)
+    SELECT round(avg(-ln((coalesce(n, 0) + 1.0) / (coalesce(total, 0) + events + 1))), 6) AS loss FROM judged, v""",
+)
+def next_loss(spark, folder):
+    return rounded(nextevent.loss(model(spark, folder), event_sequences(spark, folder)))
+
+
+@add("next_event_selection")
+def next_event_selection(spark, folder):
+    """Validation loss for each context length until it stops improving."""
+    parts = materialise(split.stratified(event_sequences(spark, folder)))
+    _, history = nextevent.select(
+        split.normal_only(parts.where("split = 'train'")), parts.where("split = 'val'"), max_order=3, patience=2
+    )
+    return spark.createDataFrame(history, "order INT, val_loss DOUBLE")
+
+
+@add("block_log_next_detect")
+def block_log_next_detect(spark, folder):
+    seqs = materialise(block_log_sequences(spark, folder))
+    return nextevent.detect(nextevent.fit(split.normal_only(seqs), 3), seqs, 2)
+
+
+@add("next_event_experiment")
+def next_event_experiment(spark, folder):
+    """Split, fit, detect, evaluate on the block log."""
+    return experiments.next_event_experiment(block_log_sequences(spark, folder), top_k=2, order=2).metrics
+
+
+@add("cross_dataset_detect")
+def cross_dataset_detect(spark, folder):
+    """Learn from even users' sequences, test on odd users'; both halves together are the whole log."""
+    seqs = materialise(event_sequences(spark, folder))
+    even = F.col("seq_id").cast("bigint") % 2 == 0
+    return experiments.cross_dataset_next_event(seqs.where(even), seqs.where(~even), 2, TOP_K).predictions
+
+
+SCORED = f"SELECT CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label, CASE WHEN value > 60 THEN 1 ELSE 0 END AS pred, value AS score FROM events"
+
+
+def scored(spark, folder):
+    e = i.table(spark, folder, "events")
+    return e.select(
+        F.when(F.col("event_type") == "error", 1).otherwise(0).alias("label"),
+        F.when(F.col("value") > 60, 1).otherwise(0).alias("pred"),
+        F.col("value").alias("score"),
+    )
+
+
+CONFUSION_SQL = f"""scored AS ({SCORED}),
+c AS (SELECT count(*) FILTER (WHERE label = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
+             count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp FROM scored)"""
+
+AUC_SQL = """ranked AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM scored),
+area AS (SELECT (sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2)
+  / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)) AS auc FROM ranked)"""
+
+
+@add("confusion", f"WITH {CONFUSION_SQL} SELECT tn, fp, fn, tp FROM c")
+def confusion(spark, folder):
+    return metrics.confusion(scored(spark, folder))
+
+
+@add(
+    "metrics",
+    f"""WITH {CONFUSION_SQL}, {AUC_SQL}
+    SELECT round((tp + tn) / (tn + fp + fn + tp), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
+      round(2 * tp / (2 * tp + fp + fn), 6) AS f1, tn, fp, fn, tp, round(auc, 6) AS auc FROM c, area""",
+)
+def evaluate(spark, folder):
+    return rounded(metrics.evaluate(scored(spark, folder), score="score"))
+
+
+@add("roc_auc", f"WITH scored AS ({SCORED}), {AUC_SQL} SELECT round(auc, 6) AS auc FROM area")
+def roc_auc(spark, folder):
+    return rounded(metrics.roc_auc(scored(spark, folder)))
+
+
+@add(
+    "roc_points",
+    f"""WITH scored AS ({SCORED}), s AS (SELECT score, sum(label) AS p, count(*) - sum(label) AS n FROM scored GROUP BY score)
+    SELECT round(sum(n) OVER w / sum(n) OVER (), 6) AS fpr, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr, score AS threshold
+    FROM s WINDOW w AS (ORDER BY score DESC)""",
+)
+def roc_points(spark, folder):
+    return rounded(metrics.roc_points(scored(spark, folder)))
+
+
+@add(
+    "min_max_scores",
+    "SELECT event_id, round(1 - (value - (SELECT min(value) FROM events)) / (SELECT max(value) - min(value) FROM events), 6) AS proba FROM events",
+)
+def min_max_scores(spark, folder):
+    return rounded(metrics.min_max_flipped(i.table(spark, folder, "events"), "value").select("event_id", "proba"))
+
+
+@add("iforest_scores")
+def iforest_scores(spark, folder):
+    seqs = event_sequences(spark, folder)
+    vectors = materialise(experiments.vectors_of(seqs, features.vocabulary(seqs)))
+    forest = iforest.fit(vectors, contamination=0.1)
+    return iforest.score(forest, vectors).drop("vector")
+
+
+@add("iforest_embeddings")
+def iforest_embeddings(spark, folder):
+    vectors = i.table(spark, folder, "embeddings").select(
+        F.col("vec_id").cast("string").alias("seq_id"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+    return iforest.score(iforest.fit(vectors), vectors).drop("vector")
+
+
+@add("forest_experiment")
+def forest_experiment(spark, folder):
+    """Split, fit, score, evaluate on the block log's occurrence vectors."""
+    seqs = materialise(block_log_sequences(spark, folder))
+    return experiments.forest_experiment(experiments.vectors_of(seqs, features.vocabulary(seqs))).metrics
+
+
+@add("pipeline_summary")
+def pipeline_summary(spark, folder):
+    """A full run over the alert lines: parse, mask, mine, filter, window, features."""
+    config = {
+        "dataset": {"name": "alerts", "mode": "full"},
+        "parsing": {
+            "log_line_pattern": i.ALERT_LOG_PATTERN,
+            "masking_patterns": [{"pattern": p, "mask": m} for p, m in i.ALERT_LOG_MASKS],
+            "label_extraction": "bgl",
+            "min_template_occurrence": 5,
+        },
+        "sequencing": {"grouping_strategy": "sliding_window", "window_size": 20, "stride": 5},
+    }
+    run = preprocess.run(spark, config, raw=i.alert_lines(spark, folder))
+    return run["summary"].drop("duration_seconds", "timestamp")
+
+
+@add(
+    "sequence_summary",
+    f"""WITH {i.SEQUENCES} SELECT 'events' AS dataset, CAST(0 AS BIGINT) AS num_templates, count(*) AS num_sequences,
+    count(*) FILTER (WHERE label = 0) AS normal_sequences, count(*) FILTER (WHERE label = 1) AS anomaly_sequences,
+    round(avg(label), 6) AS anomaly_rate, round(avg(length), 6) AS avg_sequence_length,
+    (SELECT count(DISTINCT event_id) + 1 FROM event_log) AS vocab_size FROM seqs""",
+)
+def sequence_summary(spark, folder):
+    seqs = event_sequences(spark, folder)
+    return rounded(preprocess.sequence_summary(seqs, features.vocabulary(seqs), None, "events"))

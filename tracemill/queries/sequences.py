@@ -12,7 +12,10 @@ from tracemill.sources import logs
 REGISTRY = Registry()
 add = REGISTRY.add
 
-JOINED = F.array_join("events", " ").alias("events")
+def joined():
+    return F.array_join("events", " ").alias("events")
+
+
 SQL_JOINED = "array_to_string(events, ' ') AS events"
 
 
@@ -25,7 +28,7 @@ def event_sequences(spark, folder):
     f"WITH {i.SEQUENCES} SELECT seq_id, {SQL_JOINED}, label, length FROM seqs",
 )
 def block_sequences(spark, folder):
-    return event_sequences(spark, folder).select("seq_id", JOINED, "label", "length")
+    return event_sequences(spark, folder).select("seq_id", joined(), "label", "length")
 
 
 def block_log_sequences(spark, folder):
@@ -39,7 +42,7 @@ def block_log_sequences(spark, folder):
     f"WITH {i.BLOCK_SEQUENCES} SELECT seq_id, array_to_string(events, ' ') AS events, label, length FROM block_seqs",
 )
 def block_log_sequence_texts(spark, folder):
-    return block_log_sequences(spark, folder).select("seq_id", JOINED, "label", "length")
+    return block_log_sequences(spark, folder).select("seq_id", joined(), "label", "length")
 
 
 @add(
@@ -50,7 +53,7 @@ def block_log_sequence_texts(spark, folder):
 def session_sequences(spark, folder):
     turns = i.table(spark, folder, "conversations")
     built = sequences.build(turns, "session", event="role", line="turn", session="conv_id")
-    return built.select("seq_id", "session_id", JOINED, "length")
+    return built.select("seq_id", "session_id", joined(), "length")
 
 
 @add(
@@ -61,7 +64,7 @@ def session_sequences(spark, folder):
 )
 def fixed_sessions(spark, folder):
     built = sequences.build(i.event_log(spark, folder), "session", window_size=20)
-    return built.select("session_id", JOINED, "label", "length")
+    return built.select("session_id", joined(), "label", "length")
 
 
 WINDOWS_SQL = f"""{i.EVENT_LOG}, numbered AS (SELECT *, row_number() OVER (ORDER BY line_id) - 1 AS i FROM event_log),
@@ -73,7 +76,7 @@ windows AS (
 @add("sliding_windows", f"WITH {WINDOWS_SQL} SELECT window_start, window_end, {SQL_JOINED}, label FROM windows")
 def sliding_windows(spark, folder):
     built = sequences.build(i.event_log(spark, folder), "sliding_window", window_size=20, stride=5)
-    return built.select("window_start", "window_end", JOINED, "label")
+    return built.select("window_start", "window_end", joined(), "label")
 
 
 @add(
@@ -84,7 +87,7 @@ def sliding_windows(spark, folder):
 )
 def sliding_windows_wide_stride(spark, folder):
     built = sequences.build(i.event_log(spark, folder), "sliding_window", window_size=4, stride=9)
-    return built.select("window_start", JOINED)
+    return built.select("window_start", joined())
 
 
 def _gap_sql(partition: str) -> str:
@@ -101,7 +104,7 @@ def _gap_sql(partition: str) -> str:
 )
 def gap_sessions(spark, folder):
     built = sequences.build(i.event_log(spark, folder), "time_window", time_column="ts", time_window_seconds=600)
-    return built.select("session_id", JOINED, "label", "length", "time_span_seconds")
+    return built.select("session_id", joined(), "label", "length", "time_span_seconds")
 
 
 @add(
@@ -112,7 +115,7 @@ def gap_sessions(spark, folder):
 )
 def gap_sessions_by_user(spark, folder):
     built = sequences.by_time_gap(i.event_log(spark, folder), "ts", time_window_seconds=600, key="block_id")
-    return built.select("seq_id", JOINED, "length")
+    return built.select("seq_id", joined(), "length")
 
 
 @add("class_counts", f"WITH {i.SEQUENCES} SELECT label, count(*) AS sequences FROM seqs GROUP BY label")

@@ -15,7 +15,7 @@ from tracemill.sources import logs
 REGISTRY = Registry()
 add = REGISTRY.add
 
-MIN_OCCURRENCE = 5
+MIN_OCCURRENCE = 2
 
 # Templates of both lines formats: (id, text). "E8" has no line.
 CATALOGUE = [
