@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 FLAGS = "(?dU)"
 # Every character that Python counts as white space.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-# What the text reader puts in place of bytes that are not UTF-8.
+# What stands in for bytes that are not UTF-8.
 REPLACEMENT_CHARACTER = "\ufffd"
 
 DEFAULT_BLOCK_ID = r"(blk_-?\d+)"
@@ -52,8 +52,8 @@ def trimmed(line: Column) -> Column:
 
     Both are rare; lines are tested for them first, which is cheaper than rewriting every line.
     """
-    broken = F.contains(line, F.lit(REPLACEMENT_CHARACTER))
-    clean = F.when(broken, F.translate(line, REPLACEMENT_CHARACTER, "")).otherwise(line)
+    broken = ~F.is_valid_utf8(line)
+    clean = F.when(broken, F.translate(F.make_valid_utf8(line), REPLACEMENT_CHARACTER, "")).otherwise(line)
     spaces = F.lit(WHITESPACE)
     padded = F.contains(spaces, F.left(line, F.lit(1))) | F.contains(spaces, F.right(line, F.lit(1)))
     return F.when(broken | padded, F.btrim(clean, spaces)).otherwise(line)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tracemill.operators import order
 from tracemill.operators.features import events_of
+from tracemill.session import materialise
 
 SIGNIFICANCE = 0.001
 
@@ -309,9 +310,8 @@ def quantiles(df: DataFrame, column: str, probabilities: Sequence[float], by: st
     many distinct values as rows is still spread over all tasks.
     """
     keys = [by] if by else []
-    freq = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("x")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    values = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("x"))
+    freq = materialise(values.agg(F.count(F.lit(1)).alias("n")))
     ranked = order.running_totals(freq, "x", ["n"], keys)
     totals = freq.groupBy(*keys).agg(F.sum("n").alias("total"))
     joined = ranked.join(F.broadcast(totals), keys) if by else ranked.withColumn("total", freq.agg(F.sum("n")).scalar())

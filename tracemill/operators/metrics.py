@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators import order
+from tracemill.session import materialise
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
@@ -46,7 +47,7 @@ def by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     counts = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    return order.running_totals(counts, "score", ["pos", "neg"])
+    return order.running_totals(materialise(counts), "score", ["pos", "neg"])
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

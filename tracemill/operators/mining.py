@@ -27,6 +27,7 @@ from tracemill.operators.lookup import lookup
 from tracemill.session import materialise
 
 CHUNK_MESSAGES = 20_000
+SMALL_LEAF = 200
 OUTPUT_ROWS = 10_000
 _COLUMNS = ["leaf", "masked", "cluster", "template"]
 _LEARNED = "leaf string, masked string, cluster bigint, template array<string>"
@@ -56,7 +57,7 @@ def leaves(messages: DataFrame, depth: int, max_children: int) -> DataFrame:
         .select("size", "_prefix", F.lit(True).alias("_own"))
     )
     # At most max_children rows for each token count.
-    joined = keyed.join(own, ["size", "_prefix"], "left")
+    joined = keyed.join(F.broadcast(own), ["size", "_prefix"], "left")
     prefix = F.when(F.col("_own"), F.col("_prefix")).otherwise(F.lit(WILDCARD))
     return joined.withColumn("leaf", F.concat_ws(" ", F.col("size").cast("string"), prefix)).drop("_prefix", "_own")
 
@@ -178,6 +179,37 @@ def _fit(learned: pd.DataFrame, messages: pd.DataFrame, sim_th: float) -> pd.Dat
     return pd.DataFrame({"masked": messages["masked"].to_numpy(), "cluster": pd.array(found, dtype="Int64")})
 
 
+def _sized(messages: DataFrame) -> DataFrame:
+    """Add ``_size``, the number of messages in the leaf. There are at most max_children + 1 leaves for each
+    token count, so sizes are safe to broadcast however skewed leaves are."""
+    sizes = messages.groupBy("leaf").agg(F.count(F.lit(1)).alias("_size"))
+    return messages.join(F.broadcast(sizes), "leaf")
+
+
+def _named(alone: DataFrame) -> DataFrame:
+    return alone.select("masked", F.col("first_line").alias("cluster"))
+
+
+def _with_loners(messages: DataFrame, sim_th: float) -> DataFrame:
+    """Flag messages that cannot join any template of their leaf.
+
+    To be similar enough, two messages must agree in ``sim_th`` of their positions. A token that only one
+    message has at its position agrees with none; too many of those make a message a template of its own.
+    Such tokens are found by counting, and each names its one message, so nothing is joined on tokens.
+    """
+    placed = messages.select("leaf", "first_line", F.posexplode(tokens(F.col("masked"))).alias("_at", "_token"))
+    single = (
+        placed.groupBy("leaf", "_at", "_token")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("first_line").alias("first_line"))
+        .where((F.col("n") == 1) & (F.col("_token") != WILDCARD))
+    )
+    # Wildcard tokens never count as equal; they are taken off each message by themselves.
+    own = single.groupBy("first_line").agg(F.count(F.lit(1)).alias("_single"))
+    wild = F.size(F.filter(tokens(F.col("masked")), lambda t: t == WILDCARD))
+    shared = F.col("size") - wild - F.coalesce("_single", F.lit(0))
+    return messages.join(own, "first_line", "left").withColumn("_loner", shared < sim_th * F.col("size")).drop("_single")
+
+
 def _cluster_big(big: DataFrame, sim_th: float, chunk: int) -> list[DataFrame]:
     """Rounds over the leaves that exceed one chunk; each round settles at least one chunk per leaf.
 
@@ -187,7 +219,7 @@ def _cluster_big(big: DataFrame, sim_th: float, chunk: int) -> list[DataFrame]:
     rest = materialise(big)
     while True:
         head = rest.groupBy("leaf").agg(F.min("chunk").alias("_head"), F.max("chunk").alias("_last"))
-        marked = rest.join(head, "leaf")
+        marked = rest.join(F.broadcast(head), "leaf")  # one row per leaf
         learned = materialise(_learned(marked.where(F.col("chunk") == F.col("_head")), sim_th))
         settled.append(learned.select("masked", "cluster"))
         waiting = marked.where(F.col("chunk") > F.col("_head"))
@@ -220,18 +252,24 @@ def cluster_messages(
     ``messages`` holds ``(masked, n, first_line)``, one row per distinct message.
     """
     placed = materialise(leaves(messages, depth, max_children))
-    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("_size"))
-    sized = placed.join(sizes, "leaf")
-    # A message alone in its leaf is its own template.
-    alone = sized.where(F.col("_size") == 1).select("masked", F.col("first_line").alias("cluster"))
-    few = sized.where((F.col("_size") > 1) & (F.col("_size") <= chunk))
-    small = alone.unionByName(_learned(few, sim_th).select("masked", "cluster"))
+    columns = placed.columns
+    sized = _sized(placed)
+    # A message alone in its leaf is its own template; in larger leaves, those that can join none are.
+    alone = _named(sized.where(F.col("_size") == 1))
+    few = sized.where((F.col("_size") > 1) & (F.col("_size") <= SMALL_LEAF)).select(*columns)
+    large = sized.where(F.col("_size") > SMALL_LEAF)
+    if large.isEmpty():
+        return alone.unionByName(_learned(few, sim_th).select("masked", "cluster"))
+    flagged = materialise(_with_loners(large.select(*columns), sim_th))
+    alone = alone.unionByName(_named(flagged.where("_loner")))
+    sized = _sized(flagged.where(~F.col("_loner")).select(*columns))
+    few = few.unionByName(sized.where(F.col("_size") <= chunk).select(*columns))
+    out = alone.unionByName(_learned(few, sim_th).select("masked", "cluster"))
     big = sized.where(F.col("_size") > chunk)
     if big.isEmpty():
-        return small
+        return out
     chunks = F.ceil(F.col("_size") / F.lit(chunk))
     numbered = big.withColumn("chunk", F.pmod(F.xxhash64("masked"), chunks)).drop("_size")
-    out = small
     for part in _cluster_big(numbered, sim_th, chunk):
         out = out.unionByName(part)
     return out

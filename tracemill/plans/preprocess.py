@@ -107,8 +107,8 @@ def preprocess(raw: DataFrame, config: Mapping[str, Any]) -> dict[str, DataFrame
     # Sequences need few and short columns. Storing those spares their passes the parsing of every line.
     pattern = _section(config, "sequencing").get("block_id_regex", text.DEFAULT_BLOCK_ID)
     keyed = parsed if "block_id" in parsed.columns else logs.with_block_id(parsed, pattern)
-    dropped = [c for c in ("raw", "content", "masked", "event_template") if c in keyed.columns]
-    out["events"] = materialise(keyed.drop(*dropped))
+    times = _section(config, "sequencing").get("time_column")
+    out["events"] = logs.stored_events(keyed, more=(times,) if times else ())
     out["sequences"] = build_sequences(out["events"], config)
     return out
 

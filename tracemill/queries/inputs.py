@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
+from tracemill.session import spread
 
 ANOMALOUS_VALUE = 300
 
@@ -72,7 +73,7 @@ stats AS (
 
 def alert_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as raw lines ``(line_id, raw)`` of the supercomputer format."""
-    e = table(spark, folder, "events")
+    e = spread(table(spark, folder, "events"))
     k = F.regexp_extract("props", r"(\d+)", 1)
     user = F.col("user_id").cast("string")
     node = F.concat(
@@ -136,7 +137,7 @@ def block_lines(spark: SparkSession, folder: str) -> DataFrame:
 
     ``line_id`` orders the lines of a block by line number and is unique within it.
     """
-    item = table(spark, folder, "lineitem")
+    item = spread(table(spark, folder, "lineitem"))
     block = F.concat(F.lit("blk_"), F.col("l_orderkey").cast("string"))
     ip = F.concat(F.lit("/10.250."), (F.col("l_suppkey") % 250).cast("string"), F.lit("."), (F.col("l_partkey") % 250).cast("string"))
     message = (
@@ -193,7 +194,7 @@ block_seqs AS (
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as trimmed non-blank text lines ``(line_id, raw)``."""
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "value"))
     line = F.col("doc_id") * F.lit(1 << 20) + F.col("at")
     return lines.select(line.alias("line_id"), text.trimmed(F.col("value")).alias("raw")).where(F.length("raw") > 0)
@@ -203,6 +204,6 @@ DOCUMENT_LINES = f"""
 document_parts AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
 document_lines AS (
-  SELECT doc_id * {1 << 20} + n AS line_id, regexp_replace(replace(value, chr(65533), ''), '^[\\s\\x1c-\\x1f\\x0b\\x{{85}}\\pZ]+|[\\s\\x1c-\\x1f\\x0b\\x{{85}}\\pZ]+$', '', 'g') AS raw
+  SELECT doc_id * {1 << 20} + n AS line_id, regexp_replace(value, '^[\\s\\x1c-\\x1f\\x0b\\x{{85}}\\pZ]+|[\\s\\x1c-\\x1f\\x0b\\x{{85}}\\pZ]+$', '', 'g') AS raw
   FROM document_parts),
 kept_lines AS (SELECT * FROM document_lines WHERE length(raw) > 0)"""

@@ -34,7 +34,7 @@ def block_sequences(spark, folder):
 def block_log_sequences(spark, folder):
     parsed = logs.parse(i.block_lines(spark, folder), i.BLOCK_LOG_PATTERN, i.BLOCK_LOG_MASKS)
     labelled = logs.label_by_block(logs.with_block_id(parsed), i.block_labels(spark, folder))
-    return sequences.build(labelled, "block_id", event="masked")
+    return sequences.build(logs.stored_events(labelled, "masked"), "block_id")
 
 
 @add(

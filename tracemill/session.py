@@ -53,3 +53,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     limit the hint is left off and the join becomes a shuffle join, whose skewed partitions AQE splits.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that has fewer tasks than the cluster has cores, before costly work per row.
+
+    Large inputs have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
+from tracemill.session import materialise
 
 LOCAL_BITS = 33  # monotonically_increasing_id: task number above, row number within the task below
 
@@ -113,3 +114,13 @@ def label_by_block(parsed: DataFrame, labels: DataFrame, key: str = "block_id")
     lookup = labels.select(F.col(key), text.label_value(F.col("label")).alias("_label"))
     joined = parsed.drop("label").join(lookup, key, "left")
     return joined.withColumn("label", F.coalesce("_label", F.lit(0))).drop("_label")
+
+
+def stored_events(parsed: DataFrame, event: str = "event_id", more: tuple[str, ...] = ()) -> DataFrame:
+    """The short columns that sequences need, computed once and stored.
+
+    Grouping passes over its input more than once; this keeps the expressions of every line out of those
+    passes.
+    """
+    kept = [c for c in ("line_id", "row_idx", "block_id", "session_id", "label") if c in parsed.columns]
+    return materialise(parsed.select(*kept, *more, F.col(event).alias("event_id")))
