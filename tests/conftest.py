@@ -11,7 +11,7 @@ from tracemill.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tracemill-tests")
+    session = local_session(8, "tracemill-tests", shuffle_partitions=3)
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

@@ -224,15 +224,14 @@ def _cluster_big(big: DataFrame, sim_th: float, chunk: int) -> list[DataFrame]:
         settled.append(learned.select("masked", "cluster"))
         waiting = marked.where(F.col("chunk") > F.col("_head"))
         # One copy of a leaf's templates for each chunk that is still waiting.
-        targets = waiting.select("leaf", "chunk").distinct()
+        messages = waiting.select(F.col("leaf").alias("_leaf"), F.col("chunk").alias("_chunk"), "size", "masked")
+        targets = messages.select(F.col("_leaf").alias("leaf"), F.col("_chunk").alias("_target")).distinct()
         shown = learned.where(F.col("template").isNotNull()).select("leaf", "cluster", "template")
         fitted = materialise(
             shown.join(targets, "leaf")
-            .groupBy("leaf", "chunk")
-            .cogroup(waiting.groupBy("leaf", "chunk"))
-            .applyInPandas(
-                lambda left, right: _fit(left, right, sim_th), "masked string, cluster bigint"
-            )
+            .groupBy("leaf", "_target")
+            .cogroup(messages.groupBy("_leaf", "_chunk"))
+            .applyInPandas(partial(_fit, sim_th=sim_th), "masked string, cluster bigint")
         )
         settled.append(fitted.where(F.col("cluster").isNotNull()))
         rest = materialise(
