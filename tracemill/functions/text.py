@@ -48,15 +48,16 @@ def java_replacement(mask: str) -> str:
 
 
 def trimmed(line: Column) -> Column:
-    """The line without surrounding white space and without undecodable bytes.
-
-    Both are rare; lines are tested for them first, which is cheaper than rewriting every line.
-    """
-    broken = ~F.is_valid_utf8(line)
-    clean = F.when(broken, F.translate(F.make_valid_utf8(line), REPLACEMENT_CHARACTER, "")).otherwise(line)
-    spaces = F.lit(WHITESPACE)
-    padded = F.contains(spaces, F.left(line, F.lit(1))) | F.contains(spaces, F.right(line, F.lit(1)))
-    return F.when(broken | padded, F.btrim(clean, spaces)).otherwise(line)
+    """The line without surrounding white space and without undecodable bytes."""
+    valid = F.when(F.is_valid_utf8(line), line).otherwise(
+        F.translate(F.make_valid_utf8(line), REPLACEMENT_CHARACTER, "")
+    )
+    return F.btrim(valid, F.lit(WHITESPACE))
+
+
+def is_blank(line: Column) -> Column:
+    """Whether nothing is left of the line; a line that starts with a printable ASCII sign needs no closer look."""
+    return F.when(F.left(line, F.lit(1)).between("!", "~"), False).otherwise(F.length(trimmed(line)) == 0)
 
 
 def content(line: Column, pattern: str | None = None) -> Column:

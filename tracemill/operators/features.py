@@ -127,18 +127,21 @@ def occurrence(seqs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
 
 
 def occurrence_dense(seqs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(seq_id, label, counts)``: counts in vocabulary order, the padding column (always 0) first."""
-    indexed = occurrence(seqs, vocab).join(broadcast_if_small(vocab, BROADCAST_VOCABULARY), "event")
-    maps = indexed.groupBy("seq_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("idx", F.col("n").cast("int")))).alias("_n")
+    """``(seq_id, label, counts)``: counts in vocabulary order, the padding column (always 0) first.
+
+    Sequences without any known event keep a row of zeros.
+    """
+    counted = (
+        seqs.select("seq_id", "label", F.explode_outer("events").alias("event"))
+        .groupBy("seq_id", "label", "event")
+        .agg(F.count("event").cast("int").alias("n"))
+        .join(broadcast_if_small(vocab, BROADCAST_VOCABULARY), "event", "left")
     )
+    entry = F.when(F.col("idx").isNotNull(), F.struct("idx", "n"))  # NULL entries are not collected
+    maps = counted.groupBy("seq_id", "label").agg(F.map_from_entries(F.collect_list(entry)).alias("_n"))
     size = vocab.agg(F.max("idx")).scalar()
     dense = F.transform(F.sequence(F.lit(0), F.col("_size")), lambda i: F.coalesce(F.try_element_at("_n", i), F.lit(0)))
-    heads = seqs.where(F.col("start") == 0).select("seq_id", "label")
-    # Sequences without any known event keep a row of zeros.
-    filled = F.coalesce("_n", F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>")))
-    joined = heads.join(maps, "seq_id", "left").withColumn("_n", filled).withColumn("_size", size)
-    return joined.select("seq_id", "label", dense.alias("counts"))
+    return maps.withColumn("_size", size).select("seq_id", "label", dense.alias("counts"))
 
 
 def occurrence_wide(seqs: DataFrame, events: Sequence[str]) -> DataFrame:

@@ -250,7 +250,7 @@ def cluster_messages(
 
     ``messages`` holds ``(masked, n, first_line)``, one row per distinct message.
     """
-    placed = materialise(leaves(messages, depth, max_children))
+    placed = leaves(messages, depth, max_children)
     columns = placed.columns
     sized = _sized(placed)
     # A message alone in its leaf is its own template; in larger leaves, those that can join none are.
@@ -306,5 +306,9 @@ def mine_messages(
 
 def mine(parsed: DataFrame, depth: int = 4, sim_th: float = 0.4, max_children: int = 100) -> DataFrame:
     """Add ``event_id`` and the final ``event_template`` to every line."""
-    mined = mine_messages(parsed, depth, sim_th, max_children)
+    return with_events(parsed, mine_messages(parsed, depth, sim_th, max_children))
+
+
+def with_events(parsed: DataFrame, mined: DataFrame) -> DataFrame:
+    """Look the events of mined messages up for every line."""
     return lookup(parsed, mined, "masked", "n", "line_id")

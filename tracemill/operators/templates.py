@@ -17,6 +17,11 @@ def counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("event_id", "event_template").agg(F.count(F.lit(1)).alias("occurrence_count"))
 
 
+def counts_of_messages(mined: DataFrame) -> DataFrame:
+    """Occurrences of each template from mined messages and their numbers, without a pass over lines."""
+    return mined.groupBy("event_id", "event_template").agg(F.sum("n").alias("occurrence_count"))
+
+
 def by_frequency(templates: DataFrame) -> DataFrame:
     return templates.orderBy(F.desc("occurrence_count"), "event_id")
 

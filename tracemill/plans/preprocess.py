@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import text
 from tracemill.operators import features, matching, mining, sequences, templates
-from tracemill.session import materialise
+from tracemill.session import materialise, stored
 from tracemill.sources import logs, summary, tables
 
 MODES = ("full", "match", "load")
@@ -38,6 +38,8 @@ def _line_label(parsing: Mapping[str, Any]):
 def parsed_events(raw: DataFrame, config: Mapping[str, Any], mode: str) -> dict[str, DataFrame]:
     """Lines with events, and the template table: mined in mode ``full``, given in mode ``match``."""
     spark, parsing, dataset = raw.sparkSession, _section(config, "parsing"), _section(config, "dataset")
+    if mode == "match" and not parsing.get("templates_file"):
+        raise ValueError("templates_file must be specified for 'match' mode.")
     pattern = parsing.get("log_line_pattern") or parsing.get("content_regex")
     parsed = logs.parse(raw, pattern, parsing.get("masking_patterns") or (), _line_label(parsing))
     if parsing.get("label_extraction") == "hdfs" and dataset.get("label_file"):
@@ -45,16 +47,21 @@ def parsed_events(raw: DataFrame, config: Mapping[str, Any], mode: str) -> dict[
             parsed, _section(config, "sequencing").get("block_id_regex", text.DEFAULT_BLOCK_ID)
         )
         parsed = logs.label_by_block(parsed, tables.read_labels(spark, dataset["label_file"]))
+    # Every line is parsed once; mining and lookups read the stored result.
+    sequencing = _section(config, "sequencing")
+    if "block_id" not in parsed.columns and sequencing.get("grouping_strategy", "block_id") == "block_id":
+        parsed = logs.with_block_id(parsed, sequencing.get("block_id_regex", text.DEFAULT_BLOCK_ID))
+    whole = _section(config, "output").get("save_parsed_logs", False)
+    parsed = stored(parsed if whole else parsed.drop("raw", "content"))
     if mode == "match":
-        if not parsing.get("templates_file"):
-            raise ValueError("templates_file must be specified for 'match' mode.")
         catalogue = materialise(tables.read_catalogue(spark, parsing["templates_file"]))
         matched = matching.match(parsed, catalogue)
-        return {"parsed": matched, "templates": templates.match_statistics(matched, catalogue)}
-    mined = mining.mine(
+        return {"parsed": matched, "templates": materialise(templates.match_statistics(matched, catalogue))}
+    messages = mining.mine_messages(
         parsed, parsing.get("depth", 4), parsing.get("sim_threshold", 0.4), parsing.get("max_children", 100)
     )
-    found = materialise(templates.counts(mined))
+    mined = mining.with_events(parsed, messages)
+    found = materialise(templates.counts_of_messages(messages))
     out = {"discovered": found, "templates": found, "parsed": mined}
     least = parsing.get("min_template_occurrence", 1)
     if least > 1:
@@ -103,12 +110,8 @@ def preprocess(raw: DataFrame, config: Mapping[str, Any]) -> dict[str, DataFrame
     """Parsed lines, templates, events and sequences of numbered raw lines."""
     mode = _section(config, "dataset").get("mode", "full")
     out = parsed_events(raw, config, mode)
-    parsed = out["parsed"]
-    # Sequences need few and short columns. Storing those spares their passes the parsing of every line.
-    pattern = _section(config, "sequencing").get("block_id_regex", text.DEFAULT_BLOCK_ID)
-    keyed = parsed if "block_id" in parsed.columns else logs.with_block_id(parsed, pattern)
     times = _section(config, "sequencing").get("time_column")
-    out["events"] = logs.stored_events(keyed, more=(times,) if times else ())
+    out["events"] = logs.stored_events(out["parsed"], more=(times,) if times else ())
     out["sequences"] = build_sequences(out["events"], config)
     return out
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
-from tracemill.session import materialise
+from tracemill.session import stored
 
 LOCAL_BITS = 33  # monotonically_increasing_id: task number above, row number within the task below
 
@@ -29,24 +29,35 @@ def read_logs(spark: SparkSession, path: str | list[str], sample_size: int | Non
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
+        "value",
         text.trimmed(F.col("value")).alias("raw"),
     )
+    not_blank = ~text.is_blank(F.col("value"))
     # The filter stays above the first counter, and the second one counts the rows that pass it.
-    kept = files.where(F.length("raw") > 0).withColumn("_kept", F.monotonically_increasing_id())
+    kept = files.where(not_blank).withColumn("_kept", F.monotonically_increasing_id())
 
     split = ["_file", "_block"]
-    lines = files.groupBy(*split).agg(F.min("_line").alias("_first_line"), F.count(F.lit(1)).alias("_lines"))
-    rows = kept.groupBy(*split).agg(F.min("_kept").alias("_first_kept"), F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_file")
-    in_file = lines.join(rows, split, "left").select(
+    task = F.shiftright("_first_line", LOCAL_BITS)
+    counts = files.groupBy(*split).agg(
+        F.min("_line").alias("_first_line"), F.count(F.lit(1)).alias("_lines"), F.count_if(not_blank).alias("_rows")
+    )
+
+    def total(column: str, *partition, order_by: str | None = None):
+        window = Window.partitionBy(*partition)
+        if order_by is None:
+            return F.sum(column).over(window)
+        earlier = window.orderBy(order_by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(column).over(earlier), F.lit(0))
+
+    # A task reads a few splits one after the other, a file has one row per split.
+    in_file = counts.select(
         *split,
         "_first_line",
-        "_first_kept",
-        F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_line_offset"),
-        F.coalesce(F.sum(F.coalesce("_rows", F.lit(0))).over(before), F.lit(0)).alias("_row_offset"),
-        F.sum("_lines").over(whole).alias("_file_lines"),
-        F.sum(F.coalesce("_rows", F.lit(0))).over(whole).alias("_file_rows"),
+        (F.shiftleft(task, LOCAL_BITS) + total("_rows", task, order_by="_first_line")).alias("_first_kept"),
+        total("_lines", "_file", order_by="_block").alias("_line_offset"),
+        total("_rows", "_file", order_by="_block").alias("_row_offset"),
+        total("_lines", "_file").alias("_file_lines"),
+        total("_rows", "_file").alias("_file_rows"),
     )
     # One row per file.
     totals = in_file.groupBy("_file").agg(
@@ -123,4 +134,4 @@ def stored_events(parsed: DataFrame, event: str = "event_id", more: tuple[str, .
     passes.
     """
     kept = [c for c in ("line_id", "row_idx", "block_id", "session_id", "label") if c in parsed.columns]
-    return materialise(parsed.select(*kept, *more, F.col(event).alias("event_id")))
+    return stored(parsed.select(*kept, *more, F.col(event).alias("event_id")))
