@@ -212,7 +212,8 @@ def _histogram_sql(source: str, column: str, bins: int, by: str | None, shared:
     match = f"f.{by} = c.{by} AND " if by else ""
     out = f"f.{by}, " if by else ""
     return f"""limits AS (SELECT {key}count({column}) AS total, CAST({lo} AS DOUBLE) AS lo, CAST({hi} AS DOUBLE) AS hi FROM {source} {group}),
-    sized AS (SELECT *, (hi - lo) / {bins} AS width FROM limits),
+    opened AS (SELECT {key}total, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM limits),
+    sized AS (SELECT *, (hi - lo) / {bins} AS width FROM opened),
     guessed AS (SELECT {key}CAST({column} AS DOUBLE) AS x, lo, width, least({bins - 1}, CAST(floor(({column} - lo) / width) AS INTEGER)) AS g FROM {source} JOIN sized {on}),
     placed AS (SELECT {key}CASE WHEN x < lo + g * width AND g > 0 THEN g - 1 WHEN x >= lo + (g + 1) * width AND g < {bins - 1} THEN g + 1 ELSE g END AS bin FROM guessed),
     c AS (SELECT {key}bin, count(*) AS n FROM placed GROUP BY {key}bin),

@@ -53,11 +53,13 @@ placed AS (
   FROM event_log e JOIN seqs s ON e.block_id = s.seq_id WINDOW w AS (PARTITION BY e.block_id ORDER BY line_id)),
 moves AS (SELECT seq_id, label, position, concat_ws(' ', c2, c1) AS context, next FROM placed WHERE position > 0)"""
 
-MODEL_SQL = f"""{MOVES_SQL},
+def model_sql(train: str = "label = 0", test: str = "true") -> str:
+    """The model, its verdict on each transition, and detection, as SQL over the event log."""
+    return f"""{MOVES_SQL},
 suffixes AS (
   SELECT m.*, k, CASE k WHEN 0 THEN '' WHEN 1 THEN split_part(context, ' ', -1) ELSE context END AS suffix
   FROM moves m, (VALUES (0), (1), (2)) AS o(k) WHERE k < 2 OR context LIKE '% %'),
-counted AS (SELECT k, suffix, next, count(*) AS n FROM suffixes WHERE label = 0 GROUP BY 1, 2, 3),
+counted AS (SELECT k, suffix, next, count(*) AS n FROM suffixes WHERE {train} GROUP BY 1, 2, 3),
 model AS (
   SELECT *, sum(n) OVER (PARTITION BY k, suffix) AS total, row_number() OVER (PARTITION BY k, suffix ORDER BY n DESC, next) AS r FROM counted),
 chosen AS (
@@ -69,7 +71,10 @@ judged AS (
   LEFT JOIN (SELECT DISTINCT k, suffix, total FROM model) t ON c.k = t.k AND c.suffix = t.suffix),
 detected AS (
   SELECT s.seq_id, s.label, CAST(coalesce(max(miss), 0) AS INTEGER) AS pred, CAST(coalesce(sum(miss), 0) AS BIGINT) AS misses, count(j.position) AS transitions
-  FROM seqs s LEFT JOIN judged j USING (seq_id) GROUP BY s.seq_id, s.label)"""
+  FROM seqs s LEFT JOIN judged j USING (seq_id) WHERE {test} GROUP BY s.seq_id, s.label)"""
+
+
+MODEL_SQL = model_sql()
 
 
 def model(spark, folder):
@@ -147,7 +152,13 @@ def next_event_experiment(spark, folder):
     return experiments.next_event_experiment(block_log_sequences(spark, folder), top_k=2, order=2).metrics
 
 
-@add("cross_dataset_detect")
+_EVEN, _ODD = (f"CAST(seq_id AS BIGINT) % 2 = {r}" for r in (0, 1))
+
+
+@add(
+    "cross_dataset_detect",
+    f"""WITH {model_sql("label = 0 AND " + _EVEN, _ODD)} SELECT seq_id, label, pred, misses, transitions FROM detected""",
+)
 def cross_dataset_detect(spark, folder):
     """Learn from even users' sequences, test on odd users'; both halves together are the whole log."""
     seqs = materialise(event_sequences(spark, folder))
