@@ -42,7 +42,7 @@ QUERIES = [
     "next_detect",
     "roc_auc",
     "iforest_scores",
-    "pipeline_summary",
+    "full_run_summary",
 ]
 
 
@@ -75,7 +75,7 @@ def main() -> None:
                     "block_ingest_lines_per_sec": round(items / times["block_content_extract"]),
                     "block_log_sequence_lines_per_sec": round(items / times["block_log_sequences"]),
                     "sliding_windows_per_sec": round(windows / times["sliding_windows"]),
-                    "full_run_lines_per_sec": round(events / times["pipeline_summary"]),
+                    "full_run_lines_per_sec": round(events / times["full_run_summary"]),
                 },
             }
         )

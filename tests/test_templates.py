@@ -8,7 +8,7 @@ from tracemill.operators import features, lookup, matching, mining, sequences, t
 from tracemill.session import materialise
 from tracemill.sources import logs
 
-# Six lines of a block storage log: three shapes, two blocks.
+# Six sample lines of the public block storage log format, three shapes, two blocks.
 LINES = [
     "081109 203518 143 INFO dfs.DataNode$DataXceiver: Receiving block blk_123 src: /10.250.19.102:54106 dest: /10.250.19.102:50010",
     "081109 203519 145 INFO dfs.DataNode$PacketResponder: PacketResponder 1 for block blk_123 terminating",

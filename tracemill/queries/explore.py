@@ -10,7 +10,6 @@ from tracemill.queries import Registry
 from tracemill.queries import inputs as i
 from tracemill.queries.features import EVENTS
 from tracemill.queries.sequences import block_log_sequences, event_sequences
-from tracemill.queries.templates import CATALOGUE  # noqa: F401 - shared fixed values live with their queries
 from tracemill.session import materialise
 
 REGISTRY = Registry()

@@ -248,8 +248,8 @@ def forest_experiment(spark, folder):
     return experiments.forest_experiment(experiments.vectors_of(seqs, features.vocabulary(seqs))).metrics
 
 
-@add("pipeline_summary")
-def pipeline_summary(spark, folder):
+@add("full_run_summary")
+def full_run_summary(spark, folder):
     """A full run over the alert lines: parse, mask, mine, filter, window, features."""
     config = {
         "dataset": {"name": "alerts", "mode": "full"},
