@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -68,6 +69,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark application.
+
+    Functions that run in tasks are pickled by reference, so workers must be able to import the package. Where it is
+    installed on every machine (or passed with --py-files) the copy sent here is the same code.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tracemill_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tracemill-package-")
+    archive = shutil.make_archive(os.path.join(folder, "tracemill"), "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    context._tracemill_shipped = True
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute a scan that has fewer tasks than the cluster has cores, before costly work per row.
 
