@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import ngram_join
+from tracemill.llm import compression, langid, ngram_join, tiling
 from tracemill.queries import Registry
 
 REGISTRY = Registry()
@@ -19,3 +19,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return ngram_join.classes(table(spark, folder, "documents"), size=3, percent=90)
+
+
+@REGISTRY.add("op5_benchmark_decontamination")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, by greedy string tiling."""
+    return tiling.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("tiles")
+
+
+@REGISTRY.add("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of each document, learned from those that are not held out."""
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    rows = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
+    return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score", "n_languages")
+
+
+@REGISTRY.add("op10_compression_bands")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Word counts, base rules and compression verdict of each document."""
+    return compression.measures(table(spark, folder, "documents"))
