@@ -38,6 +38,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured)
 
 
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A new path under the checkpoint folder, which every executor can reach."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint.
 
@@ -54,8 +60,7 @@ def stored(df: DataFrame) -> DataFrame:
     For line-level tables that several passes read: columns are pruned and repeated strings are stored once
     per file, which a row checkpoint does not do.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, "tables")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
