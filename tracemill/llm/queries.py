@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat, compression, langid, mixing, ngram_join, sharding, tiling
+from tracemill.llm import chat, compression, langid, mixing, ngram_join, sharding, tiling, warc
+from tracemill.session import scratch_folder
 from tracemill.queries import Registry
 
 REGISTRY = Registry()
@@ -130,6 +131,14 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.planned(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+@REGISTRY.add("op9_warc_chunks")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives and read back from them."""
+    archives = scratch_folder(spark, "warc")
+    warc.write(table(spark, folder, "pages"), archives)
+    return warc.records(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 @REGISTRY.add("op10_compression_bands")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Word counts, base rules and compression verdict of each document."""
