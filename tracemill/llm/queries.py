@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat, compression, langid, mixing, ngram_join, sharding, tiling, warc
+from tracemill.llm import chat, compression, html_diff, langid, mixing, ngram_join, sharding, tiling, warc
 from tracemill.session import scratch_folder
 from tracemill.queries import Registry
 
@@ -61,6 +61,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@REGISTRY.add("op4_html_extraction")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of each page."""
+    return html_diff.main_text(table(spark, folder, "pages"))
+
+
 @REGISTRY.add("op5_benchmark_decontamination")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, by greedy string tiling."""
