@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat, compression, html_diff, langid, mixing, ngram_join, sharding, tiling, warc
+from tracemill.llm import chat, compression, html_diff, langid, licences, mixing, ngram_join, sharding, tiling, warc
 from tracemill.session import scratch_folder
 from tracemill.queries import Registry
 
@@ -22,6 +22,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.classes(table(spark, folder, "documents"), size=3, percent=90)
 
 
+@REGISTRY.add("op2_licence_scan")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices within documents."""
+    return licences.scan(table(spark, folder, "documents"))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
