@@ -58,6 +58,9 @@ _WORDS = frozenset(
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 _ROOTS = frozenset(("html", "body"))
+_OUTER_WORDS = _WORDS | {"header"}
+# Names as has-sidebar or no-comments tell of other elements.
+_SAYS_OTHERS_HAVE = frozenset(("has", "with", "no", "non", "not", "without"))
 _REPLIES = frozenset(("comment", "comments", "reply", "replies", "respond"))
 
 
@@ -71,9 +74,13 @@ def _marked(tag: str, attributes: str, inside: bool) -> bool:
         name = name.lower()
         value = "".join(values).lower()
         if name in ("class", "id"):
-            found = _PART.findall(value)
-            if not (_REPLIES if tag in ("article", "main") else _WORDS).isdisjoint(found) or (not inside and tag != "article" and tag != "main" and "header" in found):
-                return True
+            for one in value.split():
+                found = _PART.findall(one)
+                if tag in ("article", "main"):
+                    if found and found[0] in _REPLIES and found[-1] not in ("open", "closed"):
+                        return True
+                elif found and found[0] not in _SAYS_OTHERS_HAVE and not (_WORDS if inside else _OUTER_WORDS).isdisjoint(found):
+                    return True
         elif name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
