@@ -63,11 +63,11 @@ def noisy_lines(n, seed=0):
     ]
 
 
-@pytest.mark.parametrize("chunk", [20, 20_000])
-def test_mining_in_rounds_finds_the_same_shapes(spark, chunk, monkeypatch):
-    monkeypatch.setattr(mining, "SMALL_LEAF", 10)
+@pytest.mark.parametrize("at_once", [3, 20_000])
+def test_mining_finds_the_shapes_at_any_group_size(spark, at_once, monkeypatch):
+    monkeypatch.setattr(mining, "SIGNATURES_AT_ONCE", at_once)
     lines = noisy_lines(300)
-    result = mining.mine_messages(parsed(spark, lines).repartition(5), chunk=chunk).collect()
+    result = mining.mine_messages(parsed(spark, lines).repartition(5)).collect()
     check_invariants(result)
     assert sum(r.n for r in result) == len(lines)
     shapes = Counter(r.event_template for r in result)
@@ -78,6 +78,29 @@ def test_mining_in_rounds_finds_the_same_shapes(spark, chunk, monkeypatch):
     assert sum(1 for s in shapes if " " not in s) == 75
 
 
+def test_mining_a_leaf_of_many_messages(spark):
+    """One leaf of 100,000 messages: one frequent template, one rare one, and two parameters with recurring values."""
+    ids = spark.range(100_000)
+    value = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("string")
+    often = F.concat_ws(" ", F.lit("job"), value(1, 10**9), F.lit("moved from"), value(2, 50), F.lit("to"), value(3, 5000))
+    rare = F.concat_ws(" ", F.lit("job"), value(1, 10**9), F.lit("was stopped by"), value(2, 50), F.lit("now"))
+    lines = ids.select(F.col("id").alias("line_id"), F.when(F.col("id") % 500 == 7, rare).otherwise(often).alias("raw"))
+    got = mining.mine_messages(logs.parse(lines)).groupBy("event_template").agg(F.sum("n").alias("n")).collect()
+    assert {r.event_template: r.n for r in got} == {"job <*> moved from <*> to <*>": 99_800, "job <*> was stopped by <*> now": 200}
+
+
+def test_mining_parts_tokens_in_one_place(spark):
+    lines = ["a b\x1cc d", "a x d", "a y d", "a\x1fb", "\u2003a  b"]
+    got = {r.masked: r.event_template for r in mining.mine_messages(parsed(spark, lines)).collect()}
+    assert got["a x d"] == got["a y d"] == "a <*> d" and len(got) == 5
+
+
+def test_lines_must_be_unique(spark):
+    rows = spark.createDataFrame([(1, "a b"), (1, "c d e")], "line_id BIGINT, raw STRING")
+    with pytest.raises(ValueError, match="not unique"):
+        mining.mine_messages(logs.parse(rows))
+
+
 def test_mining_does_not_depend_on_partitioning(spark):
     lines = noisy_lines(200, seed=4)
     first = {r.masked: (r.event_id, r.event_template) for r in mining.mine_messages(parsed(spark, lines).repartition(1)).collect()}

@@ -1,36 +1,31 @@
 """Template mining: which messages are instances of one template.
 
-Messages fall into leaves by token count and leading tokens; only messages of one leaf can share a
-template. Within a leaf, messages are taken in the order of their first line: one joins the most similar
-template (equal constant tokens over length, at least ``sim_th``; ties to more wildcards), turning the
-positions that differ into wildcards, or opens a template of its own.
-
-A leaf may hold a large share of all distinct messages. It is then cut into chunks of bounded size:
-templates learned from one chunk are matched against the remaining chunks in parallel, and only messages
-that fit none of them go to the next round. The final template of a cluster keeps a token where all of its
-messages agree; that is an aggregate, so its cost does not depend on the size of the cluster.
+All steps are set operations on distinct messages, so the result depends on the messages alone, not on their number,
+order, partitions or tasks:
+
+1. Messages fall into leaves by token count and leading tokens; only messages of one leaf can share a template.
+2. At each position of a leaf, tokens that two or more messages share may be constants: the ``max_children`` most
+   frequent ones. A message's signature keeps its constants and has wildcards elsewhere. A message with fewer constants
+   than ``sim_th`` of its length resembles no other and is a template of its own.
+3. Signatures of a leaf stand in the order of their message counts. Each joins the most similar one before it (equal
+   constants over length, at least ``sim_th``), among the ``candidates`` first of its leaf; joined signatures form a cluster.
+4. A cluster's template keeps a token where all of its messages agree.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import WILDCARD
 from tracemill.operators import templates
 from tracemill.operators.lookup import lookup
-from tracemill.session import materialise
+from tracemill.session import broadcast_if_small, materialise
 
-CHUNK_MESSAGES = 20_000
-SMALL_LEAF = 200
-OUTPUT_ROWS = 10_000
-_COLUMNS = ["leaf", "masked", "cluster", "template"]
-_LEARNED = "leaf string, masked string, cluster bigint, template array<string>"
+CANDIDATES = 1000
+# Signatures of one leaf that meet its candidates in one group.
+SIGNATURES_AT_ONCE = 2000
+BROADCAST_LEAVES = 2_000
 
 
 def tokens(message: Column) -> Column:
@@ -40,14 +35,14 @@ def tokens(message: Column) -> Column:
 def _prefix(token_array: Column, depth: int) -> Column:
     """Leading tokens that choose the leaf; tokens with a digit count as wildcards."""
     head = F.slice(token_array, 1, max(0, depth - 3))
-    return F.concat_ws(" ", F.transform(head, lambda t: F.when(F.rlike(t, F.lit(r"\d")), WILDCARD).otherwise(t)))
+    return F.concat_ws(" ", F.transform(head, lambda t: F.when(F.rlike(t, F.lit(r"(?U)\d")), WILDCARD).otherwise(t)))
 
 
 def leaves(messages: DataFrame, depth: int, max_children: int) -> DataFrame:
-    """Add ``leaf``. For each token count the ``max_children`` most frequent prefixes keep a leaf of their
-    own and the others share the wildcard leaf, whatever order lines arrive in."""
-    keyed = messages.withColumn("_tokens", tokens(F.col("masked"))).withColumn("size", F.size("_tokens"))
-    keyed = keyed.withColumn("_prefix", _prefix(F.col("_tokens"), depth)).drop("_tokens")
+    """Add ``leaf``, ``size`` and ``tokens``. For each token count the ``max_children`` most frequent prefixes keep a leaf of
+    their own and the others share the wildcard leaf, whatever order lines arrive in."""
+    keyed = messages.withColumn("tokens", tokens(F.col("masked"))).withColumn("size", F.size("tokens"))
+    keyed = keyed.withColumn("_prefix", _prefix(F.col("tokens"), depth))
     ranking = Window.partitionBy("size").orderBy(F.desc("n"), "_prefix")
     own = (
         keyed.groupBy("size", "_prefix")
@@ -62,216 +57,66 @@ def leaves(messages: DataFrame, depth: int, max_children: int) -> DataFrame:
     return joined.withColumn("leaf", F.concat_ws(" ", F.col("size").cast("string"), prefix)).drop("_prefix", "_own")
 
 
-class _Clusters:
-    """Templates of one leaf while its messages are read: token codes, -1 for a wildcard."""
-
-    def __init__(self, width: int, sim_th: float) -> None:
-        self.width, self.sim_th = width, sim_th
-        self.table = np.empty((16, width), dtype=np.int64)
-        self.count = 0
-        self.codes: dict[str, int] = {}
-
-    def encode(self, words: list[str], learn: bool = True) -> np.ndarray:
-        if learn:
-            return np.array([self.codes.setdefault(w, len(self.codes)) for w in words], dtype=np.int64)
-        return np.array([self.codes.get(w, -2) for w in words], dtype=np.int64)
-
-    def add(self, row: np.ndarray) -> int:
-        if self.count == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[self.count] = row
-        self.count += 1
-        return self.count - 1
-
-    def best(self, row: np.ndarray) -> int | None:
-        if self.count == 0:
-            return None
-        live = self.table[: self.count]
-        if self.width == 0:
-            return 0
-        equal = (live == row).sum(axis=1)
-        wild = (live == -1).sum(axis=1)
-        at = int(np.argmax(equal * (self.width + 1) + wild))
-        return at if equal[at] / self.width >= self.sim_th else None
-
-    def merge(self, at: int, row: np.ndarray) -> None:
-        self.table[at][self.table[at] != row] = -1
-
-
-def _cluster_leaf(rows: list[tuple[str, int]], width: int, sim_th: float) -> tuple[list[int], dict[int, list[str]]]:
-    """Cluster the messages of one bounded group, given in the order of their first line.
-
-    Returns the cluster of each message and the template of each cluster; a cluster is named by the first
-    line of the message that opened it.
-    """
-    clusters = _Clusters(width, sim_th)
-    opened: list[int] = []
-    assigned = []
-    for message, line in rows:
-        words = message.split()
-        row = clusters.encode(words)
-        # A token that is itself the wildcard mask never counts as equal.
-        row[[w == WILDCARD for w in words]] = -1
-        at = clusters.best(np.where(row == -1, -3, row))
-        if at is None:
-            at = clusters.add(row)
-            opened.append(line)
-        else:
-            clusters.merge(at, row)
-        assigned.append(opened[at])
-    words = {code: w for w, code in clusters.codes.items()}
-    shown = {opened[i]: [words.get(c, WILDCARD) for c in clusters.table[i]] for i in range(clusters.count)}
-    return assigned, shown
-
-
-def _learn(batches: Iterator[pd.DataFrame], sim_th: float) -> Iterator[pd.DataFrame]:
-    """Cluster leaf after leaf; rows arrive sorted by leaf and first line, so one leaf is held at a time.
-
-    Each message comes out with its cluster; the message that opened a cluster also carries its template.
-    """
-    out: list[tuple] = []
-
-    def finish(leaf: str, width: int, rows: list[tuple[str, int]]) -> None:
-        assigned, shown = _cluster_leaf(rows, width, sim_th)
-        for (message, line), cluster in zip(rows, assigned):
-            out.append((leaf, message, cluster, shown[cluster] if line == cluster else None))
-
-    leaf, width, rows = None, 0, []
-    for batch in batches:
-        for name, size, message, line in zip(batch["leaf"], batch["size"], batch["masked"], batch["first_line"]):
-            if name != leaf:
-                if rows:
-                    finish(leaf, width, rows)
-                leaf, width, rows = name, int(size), []
-            rows.append((message, int(line)))
-        if len(out) >= OUTPUT_ROWS:
-            yield pd.DataFrame(out, columns=_COLUMNS)
-            out.clear()
-    if rows:
-        finish(leaf, width, rows)
-    if out:
-        yield pd.DataFrame(out, columns=_COLUMNS)
-
-
-def _learned(messages: DataFrame, sim_th: float) -> DataFrame:
-    """Cluster leaves of bounded size: co-located and sorted by Spark, streamed through one Python pass."""
-    placed = messages.select("leaf", "size", "masked", "first_line").repartition("leaf")
-    return placed.sortWithinPartitions("leaf", "first_line").mapInPandas(partial(_learn, sim_th=sim_th), _LEARNED)
-
-
-def _fit(learned: pd.DataFrame, messages: pd.DataFrame, sim_th: float) -> pd.DataFrame:
-    """Best learned template for each message of one chunk; cluster is NULL where none fits."""
-    empty = pd.DataFrame({"masked": pd.Series(dtype=str), "cluster": pd.Series(dtype="Int64")})
-    if messages.empty:
-        return empty
-    clusters = _Clusters(int(messages["size"].iloc[0]), sim_th)
-    lines = []
-    for line, template in zip(learned["cluster"], learned["template"]):
-        row = clusters.encode(list(template))
-        row[[w == WILDCARD for w in template]] = -1
-        clusters.add(row)
-        lines.append(int(line))
-    found = []
-    for message in messages["masked"]:
-        row = clusters.encode(message.split(), learn=False)
-        at = clusters.best(np.where(np.array([w == WILDCARD for w in message.split()], dtype=bool), -3, row))
-        found.append(None if at is None else lines[at])
-    return pd.DataFrame({"masked": messages["masked"].to_numpy(), "cluster": pd.array(found, dtype="Int64")})
-
-
-def _sized(messages: DataFrame) -> DataFrame:
-    """Add ``_size``, the number of messages in the leaf. There are at most max_children + 1 leaves for each
-    token count, so sizes are safe to broadcast however skewed leaves are."""
-    sizes = messages.groupBy("leaf").agg(F.count(F.lit(1)).alias("_size"))
-    return messages.join(F.broadcast(sizes), "leaf")
-
-
-def _named(alone: DataFrame) -> DataFrame:
-    return alone.select("masked", F.col("first_line").alias("cluster"))
-
-
-def _with_loners(messages: DataFrame, sim_th: float) -> DataFrame:
-    """Flag messages that cannot join any template of their leaf.
-
-    To be similar enough, two messages must agree in ``sim_th`` of their positions. A token that only one
-    message has at its position agrees with none; too many of those make a message a template of its own.
-    Such tokens are found by counting, and each names its one message, so nothing is joined on tokens.
-    """
-    placed = messages.select("leaf", "first_line", F.posexplode(tokens(F.col("masked"))).alias("_at", "_token"))
-    single = (
-        placed.groupBy("leaf", "_at", "_token")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("first_line").alias("first_line"))
-        .where((F.col("n") == 1) & (F.col("_token") != WILDCARD))
+def _constants(placed: DataFrame, max_children: int) -> DataFrame:
+    """(leaf, constants): for each leaf a map from position to its possible constants, at most ``max_children`` of them."""
+    seen = placed.select("leaf", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != WILDCARD)
+    shared = seen.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranking = Window.partitionBy("leaf", "at").orderBy(F.desc("n"), "token")
+    often = shared.withColumn("_rank", F.row_number().over(ranking)).where(F.col("_rank") <= max_children)
+    held = often.groupBy("leaf", "at").agg(F.collect_list("token").alias("held"))
+    return held.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "held"))).alias("constants"))
+
+
+def _with_signatures(placed: DataFrame, max_children: int, sim_th: float) -> DataFrame:
+    """Add ``signature`` and ``alone``, for messages that resemble no other."""
+    known = broadcast_if_small(materialise(_constants(placed, max_children)), BROADCAST_LEAVES)
+    constant = lambda t, at: F.array_contains(F.coalesce(F.element_at("constants", at), F.array().cast("array<string>")), t)
+    kept = F.transform("tokens", lambda t, at: F.when(constant(t, at), t).otherwise(F.lit(WILDCARD)))
+    signed = placed.join(known, "leaf", "left").withColumn("signature", F.when(F.col("constants").isNull(), F.transform("tokens", lambda _: F.lit(WILDCARD))).otherwise(kept))
+    count = F.size(F.filter("signature", lambda t: t != WILDCARD))
+    return signed.withColumn("alone", count < F.lit(float(sim_th)) * F.col("size")).drop("constants")
+
+
+def _joined(signatures: DataFrame, sim_th: float, candidates: int) -> DataFrame:
+    """(id, up): the earlier signature of its leaf that each of ``signatures`` (leaf, size, signature, m, id) joins."""
+    ranked = signatures.withColumn("_rank", F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("m"), "id")))
+    ranked = materialise(ranked.withColumn("_groups", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("leaf")) / SIGNATURES_AT_ONCE).cast("int")))
+    first = ranked.where(F.col("_rank") <= candidates).select(
+        "leaf", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_group"), F.col("id").alias("up"), F.col("signature").alias("_above"), F.col("_rank").alias("_place")
     )
-    # Wildcard tokens never count as equal; they are taken off each message by themselves.
-    own = single.groupBy("first_line").agg(F.count(F.lit(1)).alias("_single"))
-    wild = F.size(F.filter(tokens(F.col("masked")), lambda t: t == WILDCARD))
-    shared = F.col("size") - wild - F.coalesce("_single", F.lit(0))
-    return messages.join(own, "first_line", "left").withColumn("_loner", shared < sim_th * F.col("size")).drop("_single")
-
+    rows = ranked.withColumn("_group", F.pmod(F.xxhash64("id"), "_groups").cast("int"))
+    equal = F.size(F.filter(F.zip_with("signature", "_above", lambda a, b: (a == b) & (a != WILDCARD)), lambda same: same))
+    pairs = rows.join(first, ["leaf", "_group"]).where(F.col("_place") < F.col("_rank")).withColumn("_equal", equal)
+    pairs = pairs.where(F.col("_equal") >= F.lit(float(sim_th)) * F.col("size"))
+    return pairs.groupBy("id").agg(F.min_by("up", F.struct(-F.col("_equal"), F.col("_place"))).alias("up"))
 
-def _cluster_big(big: DataFrame, sim_th: float, chunk: int) -> list[DataFrame]:
-    """Rounds over the leaves that exceed one chunk; each round settles at least one chunk per leaf.
 
-    ``big`` has a ``chunk`` number per message; chunk sizes are bounded in expectation by ``chunk``.
-    """
-    settled: list[DataFrame] = []
-    rest = materialise(big)
+def _roots(links: DataFrame) -> DataFrame:
+    """(id, cluster): the end of each chain of ``links`` (id, up); chains shorten by doubling."""
+    at = materialise(links)
     while True:
-        head = rest.groupBy("leaf").agg(F.min("chunk").alias("_head"), F.max("chunk").alias("_last"))
-        marked = rest.join(F.broadcast(head), "leaf")  # one row per leaf
-        learned = materialise(_learned(marked.where(F.col("chunk") == F.col("_head")), sim_th))
-        settled.append(learned.select("masked", "cluster"))
-        waiting = marked.where(F.col("chunk") > F.col("_head"))
-        # One copy of a leaf's templates for each chunk that is still waiting.
-        messages = waiting.select(F.col("leaf").alias("_leaf"), F.col("chunk").alias("_chunk"), "size", "masked")
-        targets = messages.select(F.col("_leaf").alias("leaf"), F.col("_chunk").alias("_target")).distinct()
-        shown = learned.where(F.col("template").isNotNull()).select("leaf", "cluster", "template")
-        fitted = materialise(
-            shown.join(targets, "leaf")
-            .groupBy("leaf", "_target")
-            .cogroup(messages.groupBy("_leaf", "_chunk"))
-            .applyInPandas(partial(_fit, sim_th=sim_th), "masked string, cluster bigint")
-        )
-        settled.append(fitted.where(F.col("cluster").isNotNull()))
-        rest = materialise(
-            waiting.join(fitted.where(F.col("cluster").isNull()).select("masked"), "masked", "left_semi").drop(
-                "_head", "_last"
-            )
-        )
-        if rest.isEmpty():
-            return settled
+        above = at.select(F.col("id").alias("up"), F.col("up").alias("_next"))
+        further = materialise(at.join(above, "up", "left").select("id", F.coalesce("_next", "up").alias("up"), F.col("_next").isNotNull().alias("_moved")))
+        at = further.select("id", "up")
+        if further.where("_moved").isEmpty():
+            return at.withColumnRenamed("up", "cluster")
 
 
 def cluster_messages(
-    messages: DataFrame, depth: int = 4, sim_th: float = 0.4, max_children: int = 100, chunk: int = CHUNK_MESSAGES
+    messages: DataFrame, depth: int = 4, sim_th: float = 0.4, max_children: int = 100, candidates: int = CANDIDATES
 ) -> DataFrame:
-    """Cluster of each distinct message: ``(masked, cluster)``, the cluster named by its opening line.
+    """Cluster of each distinct message: ``(masked, cluster)``, the cluster named by the first line of one of its messages.
 
     ``messages`` holds ``(masked, n, first_line)``, one row per distinct message.
     """
     placed = leaves(messages, depth, max_children)
-    columns = placed.columns
-    sized = _sized(placed)
-    # A message alone in its leaf is its own template; in larger leaves, those that can join none are.
-    alone = _named(sized.where(F.col("_size") == 1))
-    few = sized.where((F.col("_size") > 1) & (F.col("_size") <= SMALL_LEAF)).select(*columns)
-    large = sized.where(F.col("_size") > SMALL_LEAF)
-    if large.isEmpty():
-        return alone.unionByName(_learned(few, sim_th).select("masked", "cluster"))
-    flagged = materialise(_with_loners(large.select(*columns), sim_th))
-    alone = alone.unionByName(_named(flagged.where("_loner")))
-    sized = _sized(flagged.where(~F.col("_loner")).select(*columns))
-    few = few.unionByName(sized.where(F.col("_size") <= chunk).select(*columns))
-    out = alone.unionByName(_learned(few, sim_th).select("masked", "cluster"))
-    big = sized.where(F.col("_size") > chunk)
-    if big.isEmpty():
-        return out
-    chunks = F.ceil(F.col("_size") / F.lit(chunk))
-    numbered = big.withColumn("chunk", F.pmod(F.xxhash64("masked"), chunks)).drop("_size")
-    for part in _cluster_big(numbered, sim_th, chunk):
-        out = out.unionByName(part)
-    return out
+    signed = materialise(_with_signatures(placed, max_children, sim_th).select("leaf", "size", "masked", "first_line", "signature", "alone"))
+    alone = signed.where("alone").select("masked", F.col("first_line").alias("cluster"))
+    alike = signed.where("NOT alone")
+    signatures = materialise(alike.groupBy("leaf", "size", "signature").agg(F.count(F.lit(1)).alias("m"), F.min("first_line").alias("id")))
+    roots = _roots(_joined(signatures, sim_th, candidates))
+    named = signatures.select("leaf", "signature", "id").join(roots, "id", "left").select("leaf", "signature", F.coalesce("cluster", "id").alias("cluster"))
+    return alone.unionByName(alike.join(named, ["leaf", "signature"]).select("masked", "cluster"))
 
 
 def _final_templates(members: DataFrame) -> DataFrame:
@@ -286,17 +131,19 @@ def _final_templates(members: DataFrame) -> DataFrame:
 
 
 def mine_messages(
-    parsed: DataFrame, depth: int = 4, sim_th: float = 0.4, max_children: int = 100, chunk: int = CHUNK_MESSAGES
+    parsed: DataFrame, depth: int = 4, sim_th: float = 0.4, max_children: int = 100, candidates: int = CANDIDATES
 ) -> DataFrame:
     """Event of each distinct masked message: ``(masked, n, event_id, event_template)``, stored.
 
-    Lines are reduced to distinct messages first; all mining works on those.
+    Lines are reduced to distinct messages first; all mining works on those. ``line_id`` must be unique.
     """
     distinct = materialise(
         parsed.groupBy("masked").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("first_line"))
     )
-    clustered = materialise(cluster_messages(distinct, depth, sim_th, max_children, chunk))
-    members = distinct.join(clustered, "masked")
+    if not distinct.groupBy("first_line").count().where("count > 1").isEmpty():
+        raise ValueError("line_id is not unique: two messages begin at one line")
+    clustered = cluster_messages(distinct, depth, sim_th, max_children, candidates)
+    members = materialise(distinct.join(clustered, "masked"))
     first = members.groupBy("cluster").agg(F.min("first_line").alias("first_line"))
     named = templates.with_event_ids(materialise(first.join(_final_templates(members), "cluster")))
     # As many rows as templates, joined to distinct messages; AQE picks the strategy from its size.

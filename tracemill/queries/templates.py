@@ -176,13 +176,75 @@ def match_statistics(spark, folder):
     return templates.match_statistics(template_match(spark, folder), catalogue(spark))
 
 
-@add("template_mining")
+def mining_sql(lines: str) -> str:
+    """Common table expressions from ``lines`` (line_id, masked) to ``mined`` (masked, event_id, event_template)."""
+    return f"""
+messages AS (SELECT masked, count(*) AS n, min(line_id) AS first_line FROM {lines} GROUP BY masked),
+split AS (SELECT masked, n, first_line, regexp_split_to_array(masked, '\\s+') AS parts FROM messages),
+words AS (SELECT masked, n, first_line, unnest(parts) AS token, generate_subscripts(parts, 1) AS spot FROM split),
+sized AS (
+  SELECT masked, n, first_line, count(*) AS size, max(CASE WHEN spot = 1 THEN CASE WHEN regexp_matches(token, '\\d') THEN '<*>' ELSE token END END) AS prefix
+  FROM words GROUP BY 1, 2, 3),
+own AS (
+  SELECT size, prefix FROM (SELECT size, prefix, row_number() OVER (PARTITION BY size ORDER BY sum(n) DESC, prefix) AS r FROM sized GROUP BY 1, 2)
+  WHERE r <= 100),
+placed AS (
+  SELECT s.masked, s.first_line, s.size, s.size || ' ' || coalesce(o.prefix, '<*>') AS leaf
+  FROM sized s LEFT JOIN own o ON s.size = o.size AND s.prefix = o.prefix),
+placed_words AS (SELECT p.masked, p.first_line, p.size, p.leaf, w.spot, w.token FROM placed p JOIN words w ON p.masked = w.masked),
+constants AS (
+  SELECT leaf, spot, token FROM (
+    SELECT leaf, spot, token, row_number() OVER (PARTITION BY leaf, spot ORDER BY count(*) DESC, token) AS r, count(*) AS c
+    FROM placed_words WHERE token <> '<*>' GROUP BY 1, 2, 3 HAVING count(*) > 1)
+  WHERE r <= 100),
+signed_words AS (
+  SELECT p.masked, p.first_line, p.size, p.leaf, p.spot, CASE WHEN c.token IS NULL THEN '<*>' ELSE p.token END AS token
+  FROM placed_words p LEFT JOIN constants c ON p.leaf = c.leaf AND p.spot = c.spot AND p.token = c.token),
+signed AS (
+  SELECT masked, first_line, size, leaf, string_agg(token, ' ' ORDER BY spot) AS signature, count(*) FILTER (token <> '<*>') AS held
+  FROM signed_words GROUP BY 1, 2, 3, 4),
+signatures AS (
+  SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY m DESC, id) AS place FROM (
+    SELECT leaf, size, signature, count(*) AS m, min(first_line) AS id FROM signed WHERE held >= 0.4::DOUBLE * size GROUP BY 1, 2, 3)),
+marks AS (SELECT s.leaf, s.id, s.size, s.place, w.spot, w.token FROM signatures s JOIN signed_words w ON s.id = w.first_line WHERE w.token <> '<*>'),
+pairs AS (
+  SELECT a.id, b.id AS up, b.place, count(*) AS equal FROM marks a JOIN marks b ON a.leaf = b.leaf AND a.spot = b.spot AND a.token = b.token
+  WHERE b.place < a.place AND b.place <= 1000 GROUP BY a.id, b.id, b.place, a.size HAVING count(*) >= 0.4::DOUBLE * a.size),
+links AS (SELECT id, up FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY equal DESC, place) AS r FROM pairs) WHERE r = 1),
+chains AS (
+  SELECT id, id AS spot FROM signatures
+  UNION ALL SELECT c.id, l.up FROM chains c JOIN links l ON c.spot = l.id),
+roots AS (SELECT id, spot AS cluster FROM chains WHERE spot NOT IN (SELECT id FROM links)),
+members AS (
+  SELECT g.masked, g.first_line, CASE WHEN g.held >= 0.4::DOUBLE * g.size THEN r.cluster ELSE g.first_line END AS cluster
+  FROM signed g LEFT JOIN signatures s ON g.leaf = s.leaf AND g.signature = s.signature LEFT JOIN roots r ON s.id = r.id),
+agreed AS (
+  SELECT cluster, spot, CASE WHEN min(token) = max(token) THEN min(token) ELSE '<*>' END AS token
+  FROM members m JOIN words w ON m.masked = w.masked GROUP BY 1, 2),
+shown AS (SELECT cluster, string_agg(token, ' ' ORDER BY spot) AS event_template FROM agreed GROUP BY 1),
+named AS (SELECT cluster, 'E' || row_number() OVER (ORDER BY min(first_line)) AS event_id FROM members GROUP BY cluster),
+mined AS (SELECT m.masked, n.event_id, s.event_template FROM members m JOIN named n ON m.cluster = n.cluster JOIN shown s ON m.cluster = s.cluster)"""
+
+
+DOCUMENT_MASKED = f"""{i.DOCUMENT_LINES},
+document_masked AS (SELECT line_id, regexp_replace(raw, '\\d+', '<NUM>', 'g') AS masked FROM kept_lines)"""
+
+
+@add(
+    "template_mining",
+    f"""WITH RECURSIVE {i.ALERT_MASKED}, {mining_sql("alert_masked")}
+    SELECT event_id, event_template, count(*) AS occurrence_count FROM alert_masked JOIN mined USING (masked) GROUP BY 1, 2""",
+)
 def template_mining(spark, folder):
     """Mined templates of the alert lines and how many lines each covers."""
     return templates.counts(mining.mine(masked_lines(spark, folder), depth=4, sim_th=0.4))
 
 
-@add("document_template_mining")
+@add(
+    "document_template_mining",
+    f"""WITH RECURSIVE {DOCUMENT_MASKED}, {mining_sql("document_masked")}
+    SELECT line_id, event_id, event_template FROM document_masked JOIN mined USING (masked)""",
+)
 def document_template_mining(spark, folder):
     parsed = logs.parse(i.document_lines(spark, folder), None, [(r"\d+", "<NUM>")])
     return mining.mine(parsed).select("line_id", "event_id", "event_template")
