@@ -89,9 +89,9 @@ def alert_tag_label(line: Column) -> Column:
 
 
 def label_value(label: Column) -> Column:
-    """Labels in any accepted form (1, '1', 'Anomaly', true) as 0 or 1."""
+    """Labels in any accepted form (1, 1.0, '1', 'Anomaly', true) as 0 or 1."""
     text = label.cast("string")
-    return F.when(text.isin("Anomaly", "1", "true"), 1).otherwise(0)
+    return F.when(text.isin("Anomaly", "1", "true"), 1).when(text.try_cast("double") == 1, 1).otherwise(0)
 
 
 def is_noise(template: Column) -> Column:

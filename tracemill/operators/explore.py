@@ -12,25 +12,25 @@ from pyspark.sql import types as T
 
 from tracemill.operators import order
 from tracemill.operators.features import events_of
+from tracemill.operators.split import heads
 from tracemill.session import materialise
 
 SIGNIFICANCE = 0.001
-
-
-def heads(seqs: DataFrame) -> DataFrame:
-    """One row per sequence (the first piece of a long one)."""
-    return seqs.where(F.col("start") == 0)
+# Beyond so many degrees of freedom Student's t is taken from the normal distribution.
+NORMAL_FREEDOM = 1e6
 
 
 def class_distribution(df: DataFrame) -> DataFrame:
-    """Rows and share in percent of each label."""
+    """Sequences and share in percent of each label."""
+    df = heads(df)
     total = df.agg(F.count(F.lit(1))).scalar()
     counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("label", "n", (F.col("n") * 100.0 / total).alias("percent"))
 
 
 def class_balance(df: DataFrame) -> DataFrame:
-    """Totals, anomaly rate in percent and number of normal rows per anomaly, in one row."""
+    """Totals, anomaly rate in percent and number of normal sequences per anomaly, in one row."""
+    df = heads(df)
     normal, anomaly = F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)
     total = F.count(F.lit(1))
     return df.agg(
@@ -43,8 +43,8 @@ def class_balance(df: DataFrame) -> DataFrame:
 
 
 def contamination(df: DataFrame) -> DataFrame:
-    """Share of anomalies in the training split."""
-    return df.where(F.col("split") == "train").agg(F.avg("label").alias("contamination"))
+    """Share of anomalies among the sequences of the training split."""
+    return heads(df).where(F.col("split") == "train").agg(F.avg("label").alias("contamination"))
 
 
 def count_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
@@ -217,6 +217,9 @@ def two_sided_p(t: float, freedom: float) -> float:
     """P(|T| >= |t|) for Student's t."""
     if math.isinf(t):
         return 0.0
+    if freedom > NORMAL_FREEDOM:
+        # The normal limit with its first correction; the beta prefactor would lose digits here.
+        return math.erfc(abs(t) * (1.0 - 1.0 / (4.0 * freedom)) / math.sqrt(2.0 * (1.0 + t * t / (2.0 * freedom))))
     x = freedom / (freedom + t * t)
     a, b = freedom / 2.0, 0.5
     if x >= 1.0:

@@ -99,12 +99,12 @@ def padded(
     )
     low = F.lit(0).cast("long") if truncate == "head" else F.greatest(F.lit(0).cast("long"), F.col("length") - width)
     high = width if truncate == "head" else F.col("length")
-    cut = seqs.withColumn("events", arrays.overlap(F.col("events"), F.col("start"), low, high))
+    marked = seqs.withColumn("_whole", F.size("events") == F.col("length"))
+    cut = marked.withColumn("events", arrays.overlap(F.col("events"), F.col("start"), low, high))
     coded = encode(cut, vocab)
-    one_piece = (F.col("start") == 0) & (F.col("length") <= F.lit(MAX_ROW))
-    single = coded.where(one_piece).select("seq_id", "label", "ids", "oov_count")
+    single = coded.where("_whole").select("seq_id", "label", "ids", "oov_count")
     joined = (
-        coded.where(~one_piece)
+        coded.where("NOT _whole")
         .where((F.size("ids") > 0) | (F.col("start") == 0))
         .groupBy("seq_id")
         .agg(

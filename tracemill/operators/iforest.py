@@ -12,14 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators import explore, metrics
 from tracemill.session import materialise
 
 EULER_GAMMA = 0.5772156649015329
-POOL_FACTOR = 8  # rows drawn for each row that the trees of a forest use
+# Rows that a tree's hash cut lets through on average, for each row that the tree takes.
+DRAW_FACTOR = 2.0
 NODES = "tree int, node int, feature int, threshold double, size int, depth int"
 
 
@@ -53,10 +54,23 @@ class IsolationForest:
         )
 
 
-def _grow(pdf: pd.DataFrame, seed: int, max_features: float) -> pd.DataFrame:
-    """One tree over at most ``max_samples`` rows. Children of node i are 2i+1 and 2i+2."""
+def _drawn(rows: DataFrame, n_estimators: int, seed: int, share: float) -> DataFrame:
+    """(seq_id, vector, tree, _order): each row for the trees whose hash of it falls below ``share`` of the range.
+
+    Trees are tested within the row, so only drawn rows are copied.
+    """
+    order = lambda tree: F.xxhash64(F.lit(seed), tree, "seq_id")
+    trees = F.sequence(F.lit(0), F.lit(n_estimators - 1))
+    if share < 1.0:
+        cut = int((2.0 * share - 1.0) * float(1 << 63))
+        trees = F.filter(trees, lambda tree: order(tree) < F.lit(cut))
+    return rows.select("seq_id", "vector", F.explode(trees).alias("tree")).withColumn("_order", order(F.col("tree")))
+
+
+def _grow(pdf: pd.DataFrame, size: int, seed: int, max_features: float) -> pd.DataFrame:
+    """One tree over the ``size`` first rows in hash order. Children of node i are 2i+1 and 2i+2."""
     tree = int(pdf["tree"].iloc[0])
-    pdf = pdf.sort_values(["_order", "seq_id"])
+    pdf = pdf.sort_values(["_order", "seq_id"]).iloc[:size]
     x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
     rng = np.random.default_rng([seed, tree])
     width = x.shape[1]
@@ -92,26 +106,22 @@ def fit(
 ) -> IsolationForest:
     """Fit on ``(key, vector)`` rows; labels are not used.
 
-    A pool of about POOL_FACTOR times the rows that all trees need is drawn by hash in one pass; every tree
-    takes the ``max_samples`` pool rows with the smallest hashes of (seed, tree, key).
+    Every tree takes the ``max_samples`` rows with the smallest hashes of (seed, tree, key), whatever the number of rows:
+    a cut on the hash lets twice as many through, and would be raised should a tree get too few.
     """
     rows = vectors.select(F.col(key).cast("string").alias("seq_id"), "vector")
     n = rows.count()
     if n == 0:
         raise ValueError("cannot fit a forest on no rows")
     size = min(max_samples, n)
-    share = min(1.0, POOL_FACTOR * n_estimators * max_samples / n)
-    unit = (F.pmod(F.xxhash64(F.lit(seed), "seq_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    pool = materialise(rows.where(unit < share) if share < 1.0 else rows)
-    drawn = pool.select("seq_id", F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1))).alias("tree"))
-    drawn = drawn.withColumn("_order", F.xxhash64(F.lit(seed), "tree", "seq_id"))
-    ranking = Window.partitionBy("tree").orderBy("_order", "seq_id")
-    chosen = drawn.withColumn("_rank", F.row_number().over(ranking)).where(F.col("_rank") <= size)
-    nodes = materialise(
-        chosen.join(pool, "seq_id")
-        .groupBy("tree")
-        .applyInPandas(lambda pdf: _grow(pdf, seed, max_features), NODES)
-    )
+    factor = DRAW_FACTOR
+    while True:
+        drawn = materialise(_drawn(rows, n_estimators, seed, min(1.0, factor * size / n)))
+        counts = drawn.groupBy("tree").count()
+        if factor * size >= n or counts.where(F.col("count") >= size).count() == n_estimators:
+            break
+        factor *= 4
+    nodes = materialise(drawn.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, size, seed, max_features), NODES))
     forest = IsolationForest(nodes, n_estimators, size, -0.5)
     if contamination != "auto":
         # The threshold is a percentile of all training scores.

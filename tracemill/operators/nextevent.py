@@ -185,17 +185,20 @@ def with_misses(model: NextEventModel, moves: DataFrame, k: int = TOP_K) -> Data
     verdicts = materialise(
         judged(model, moves, k).select(F.struct("context", "next").alias("_pair"), "n", "miss")
     )
-    keyed = moves.withColumn("_pair", F.struct("context", "next"))
-    return lookup(keyed, verdicts, "_pair", "n", "position").drop("_pair")
+    keyed = moves.withColumn("_pair", F.struct("context", "next")).withColumn("_spread", F.xxhash64("seq_id", "position"))
+    return lookup(keyed, verdicts, "_pair", "n", "_spread").drop("_pair", "_spread")
 
 
 def misses(model: NextEventModel, seqs: DataFrame, k: int = TOP_K) -> DataFrame:
     """Each unexpected event with its position, the context and what was expected instead."""
-    missed = with_misses(model, transitions(seqs, model.order), k).where("miss = 1").drop("miss")
-    expected = predict(model, missed.select("context"), k).groupBy("context").agg(
+    missed = materialise(with_misses(model, transitions(seqs, model.order), k).where("miss = 1").drop("miss"))
+    counted = missed.groupBy("context").agg(F.count(F.lit(1)).alias("n"))
+    expected = predict(model, counted, k).groupBy("context").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "next"))), lambda p: p["next"]).alias("expected")
     )
-    return missed.join(expected, "context").select("seq_id", "label", "position", "context", "next", "expected")
+    weighed = materialise(counted.join(expected, "context"))
+    spread = missed.withColumn("_spread", F.xxhash64("seq_id", "position"))
+    return lookup(spread, weighed, "context", "n", "_spread").select("seq_id", "label", "position", "context", "next", "expected")
 
 
 def detect(model: NextEventModel, seqs: DataFrame, k: int = TOP_K) -> DataFrame:

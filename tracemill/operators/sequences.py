@@ -245,13 +245,8 @@ def with_gap_session(df: DataFrame, time_column: str, gap_seconds: float, key: s
     paired = here.unionByName(after).groupBy(*by, "_bin").agg(F.max("low").alias("low"), F.max("before").alias("before"))
     opens = F.when(F.col("before").isNull() | (F.col("low") - F.col("before") > gap), 1).otherwise(0)
     flagged = paired.where(F.col("low").isNotNull()).select(*by, "_bin", opens.cast("long").alias("opens"))
-    if key:
-        # A key has at most (time span / gap) bins.
-        running = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-        numbered = flagged.select(key, "_bin", (F.sum("opens").over(running) - 1).alias("session_id"))
-    else:
-        totals = ordering.carry_totals(flagged, "_bin", ["opens"])
-        numbered = totals.select("_bin", (F.col("before_opens") + F.col("opens") - 1).alias("session_id"))
+    totals = ordering.carry_totals(flagged, "_bin", ["opens"], by)
+    numbered = totals.select(*by, "_bin", (F.col("before_opens") + F.col("opens") - 1).alias("session_id"))
     return timed.join(numbered, [*by, "_bin"]).drop("_bin")
 
 

@@ -26,7 +26,7 @@ def stratified(
     if abs(train + val + test - 1.0) >= 1e-6:
         raise ValueError("Ratios must sum to 1.0")
     hashed = df.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    first = hashed.where(F.col("start") == 0) if "start" in df.columns else hashed
+    first = heads(hashed)
     rows = first.select(F.col(label).alias("_label"), "_hash", F.left("_hash", F.lit(BUCKET_DIGITS)).alias("_prefix"))
     # At most 16^BUCKET_DIGITS prefixes for each class.
     counts = rows.groupBy("_label", "_prefix").agg(F.count(F.lit(1)).alias("n"))
@@ -62,9 +62,14 @@ def stratified(
     )
 
 
+def heads(df: DataFrame) -> DataFrame:
+    """One row for each sequence: the first piece of long ones; tables without pieces as they are."""
+    return df.where(F.col("start") == 0) if "start" in df.columns else df
+
+
 def split_counts(df: DataFrame) -> DataFrame:
-    """Rows and anomalies in each split."""
-    return df.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("anomalies"))
+    """Sequences and anomalies in each split."""
+    return heads(df).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("anomalies"))
 
 
 def normal_only(df: DataFrame) -> DataFrame:
@@ -72,16 +77,16 @@ def normal_only(df: DataFrame) -> DataFrame:
 
 
 def normal_only_counts(df: DataFrame) -> DataFrame:
-    """Rows before and after the normal-only filter."""
+    """Sequences before and after the normal-only filter."""
     normal = F.count_if(F.col("label") == 0)
     total = F.count(F.lit(1))
-    return df.agg(total.alias("before"), normal.alias("after"), (total - normal).alias("removed"))
+    return heads(df).agg(total.alias("before"), normal.alias("after"), (total - normal).alias("removed"))
 
 
 def alignment(left: DataFrame, right: DataFrame, key: str = "seq_id") -> DataFrame:
-    """Rows of two labelled tables that pair up, and those that differ in label or lack a partner."""
-    a = left.select(key, F.col("label").alias("_a"))
-    b = right.select(key, F.col("label").alias("_b"))
+    """Sequences of two labelled tables that pair up, and those that differ in label or lack a partner."""
+    a = heads(left).select(key, F.col("label").alias("_a"))
+    b = heads(right).select(key, F.col("label").alias("_b"))
     same = F.col("_a") == F.col("_b")
     return a.join(b, key, "full").agg(
         F.count_if(F.coalesce(same, F.lit(False))).alias("aligned"),

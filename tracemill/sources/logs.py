@@ -53,6 +53,7 @@ def read_logs(spark: SparkSession, path: str | list[str], sample_size: int | Non
     in_file = counts.select(
         *split,
         "_first_line",
+        "_lines",
         (F.shiftleft(task, LOCAL_BITS) + total("_rows", task, order_by="_first_line")).alias("_first_kept"),
         total("_lines", "_file", order_by="_block").alias("_line_offset"),
         total("_rows", "_file", order_by="_block").alias("_row_offset"),
@@ -74,7 +75,7 @@ def read_logs(spark: SparkSession, path: str | list[str], sample_size: int | Non
     # One row per split, that is per maxPartitionBytes of input.
     numbered = kept.join(F.broadcast(splits), split, "left")
     consistent = (F.shiftright("_line", LOCAL_BITS) == F.shiftright("_first_line", LOCAL_BITS)) & (
-        F.col("_line") >= F.col("_first_line")
+        F.col("_line").between(F.col("_first_line"), F.col("_first_line") + F.col("_lines") - 1)
     )
     local = F.when(consistent, F.col("_line") - F.col("_first_line")).otherwise(
         F.raise_error(F.lit("input splits changed between two scans of the same files"))
