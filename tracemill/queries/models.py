@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracemill.functions import text
 from tracemill.operators import explore, features, iforest, metrics, nextevent, split
 from tracemill.plans import experiments, preprocess
 from tracemill.queries import Registry
 from tracemill.queries import inputs as i
 from tracemill.queries.explore import rounded
 from tracemill.queries.sequences import block_log_sequences, event_sequences
+from tracemill.queries.templates import mining_sql
 from tracemill.session import materialise
 
 REGISTRY = Registry()
@@ -17,9 +19,11 @@ add = REGISTRY.add
 
 ORDER, TOP_K = 2, 3
 
-SPLIT_SQL = f"""{i.SEQUENCES},
+def split_sql(seqs: str = "seqs") -> str:
+    """``splits`` (seq_id, label, split) of the sequences in ``seqs``."""
+    return f"""
 split_ranked AS (
-  SELECT seq_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || seq_id)) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM seqs),
+  SELECT seq_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || seq_id)) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM {seqs}),
 split_sized AS (SELECT *, floor(n * CAST(0.15 AS DOUBLE) + 0.5) AS n_test FROM split_ranked),
 splits AS (
   SELECT seq_id, label, CASE WHEN r < n_test THEN 'test'
@@ -27,6 +31,9 @@ splits AS (
   FROM split_sized)"""
 
 
+SPLIT_SQL = f"{i.SEQUENCES}, {split_sql()}"
+
+
 @add("stratified_split", f"WITH {SPLIT_SQL} SELECT seq_id, label, split FROM splits")
 def stratified_split(spark, folder):
     return split.stratified(event_sequences(spark, folder)).select("seq_id", "label", "split")
@@ -130,26 +137,90 @@ def next_loss(spark, folder):
     return rounded(nextevent.loss(model(spark, folder), event_sequences(spark, folder)))
 
 
-@add("next_event_selection")
+BLOCK_LOG_SQL = f"""{i.BLOCK_SEQUENCES},
+log AS (
+  SELECT m.block_id AS seq_id, s.label, m.line_id, 'e' || lpad(CAST(dense_rank() OVER (ORDER BY m.masked) AS VARCHAR), 9, '0') AS event
+  FROM block_masked m JOIN block_seqs s ON m.block_id = s.seq_id)"""
+EVENT_LOG_SQL = f"""{i.SEQUENCES},
+log AS (SELECT e.block_id AS seq_id, s.label, e.line_id, e.event_id AS event FROM event_log e JOIN seqs s ON e.block_id = s.seq_id)"""
+
+
+def back_off_sql(order: int, train: str) -> str:
+    """Transitions of ``log`` (seq_id, label, line_id, event) with every suffix of up to ``order`` events, and the model of those in ``train``."""
+    lags = "".join(f", lag(event, {k}) OVER w AS c{k}" for k in range(1, order + 1))
+    each = [
+        f"SELECT seq_id, label, position, next, {k} AS k, {'concat_ws(' + repr(' ') + ', ' + ', '.join(f'c{j}' for j in range(k, 0, -1)) + ')' if k else repr('')} AS suffix "
+        f"FROM steps WHERE position >= {max(k, 1)}"
+        for k in range(order + 1)
+    ]
+    return f"""
+steps AS (SELECT seq_id, label, event AS next, row_number() OVER w - 1 AS position{lags} FROM log WINDOW w AS (PARTITION BY seq_id ORDER BY line_id)),
+suffixes AS ({" UNION ALL ".join(each)}),
+counted AS (SELECT k, suffix, next, count(*) AS n FROM suffixes WHERE {train} GROUP BY 1, 2, 3),
+model AS (
+  SELECT *, sum(n) OVER (PARTITION BY k, suffix) AS total, row_number() OVER (PARTITION BY k, suffix ORDER BY n DESC, next) AS r FROM counted),
+known AS (SELECT DISTINCT k, suffix, total FROM model)"""
+
+
+def detected_sql(order: int, top_k: int, train: str) -> str:
+    return f"""{back_off_sql(order, train)},
+chosen AS (
+  SELECT s.seq_id, s.position, s.next, max(s.k) AS k, max_by(s.suffix, s.k) AS suffix
+  FROM suffixes s JOIN known m ON m.k = s.k AND m.suffix = s.suffix GROUP BY 1, 2, 3),
+judged AS (
+  SELECT c.seq_id, CASE WHEN m.r <= {top_k} THEN 0 ELSE 1 END AS miss
+  FROM chosen c LEFT JOIN model m ON c.k = m.k AND c.suffix = m.suffix AND c.next = m.next),
+detected AS (
+  SELECT l.seq_id, l.label, CAST(coalesce(max(miss), 0) AS INTEGER) AS pred, CAST(coalesce(sum(miss), 0) AS BIGINT) AS misses, count(miss) AS transitions
+  FROM (SELECT DISTINCT seq_id, label FROM log) l LEFT JOIN judged j USING (seq_id) GROUP BY 1, 2)"""
+
+
+@add(
+    "next_event_selection",
+    f"""WITH {EVENT_LOG_SQL}, {split_sql()},
+    {back_off_sql(3, "label = 0 AND seq_id IN (SELECT seq_id FROM splits WHERE split = 'train')")},
+    best AS (
+      SELECT o, s.seq_id, s.position, s.next, max(s.k) AS k, max_by(s.suffix, s.k) AS suffix
+      FROM suffixes s JOIN known m ON m.k = s.k AND m.suffix = s.suffix JOIN (VALUES (0), (1), (2), (3)) AS orders(o) ON s.k <= o
+      WHERE s.seq_id IN (SELECT seq_id FROM splits WHERE split = 'val') GROUP BY 1, 2, 3, 4),
+    losses AS (
+      SELECT o, avg(-ln((coalesce(m.n, 0) + 1.0) / (t.total + (SELECT count(*) FROM model WHERE k = 0) + 1))) AS loss
+      FROM best b LEFT JOIN model m ON b.k = m.k AND b.suffix = m.suffix AND b.next = m.next JOIN known t ON b.k = t.k AND b.suffix = t.suffix GROUP BY o),
+    firsts AS (SELECT max(loss) FILTER (o = 0) AS l0, max(loss) FILTER (o = 1) AS l1, max(loss) FILTER (o = 2) AS l2 FROM losses)
+    SELECT CAST(o AS INTEGER) AS "order", round(loss, 6) AS val_loss FROM losses, firsts WHERE o < 3 OR l1 < l0 OR l2 < least(l0, l1)""",
+)
 def next_event_selection(spark, folder):
     """Validation loss for each context length until it stops improving."""
     parts = materialise(split.stratified(event_sequences(spark, folder)))
     _, history = nextevent.select(
         split.normal_only(parts.where("split = 'train'")), parts.where("split = 'val'"), max_order=3, patience=2
     )
-    return spark.createDataFrame(history, "order INT, val_loss DOUBLE")
+    return rounded(spark.createDataFrame(history, "order INT, val_loss DOUBLE"))
 
 
-@add("block_log_next_detect")
+@add(
+    "block_log_next_detect",
+    f"WITH {BLOCK_LOG_SQL}, {detected_sql(3, 2, 'label = 0')} SELECT seq_id, label, pred, misses, transitions FROM detected",
+)
 def block_log_next_detect(spark, folder):
     seqs = materialise(block_log_sequences(spark, folder))
     return nextevent.detect(nextevent.fit(split.normal_only(seqs), 3), seqs, 2)
 
 
-@add("next_event_experiment")
+@add(
+    "next_event_experiment",
+    f"""WITH {BLOCK_LOG_SQL}, {split_sql("block_seqs")},
+    {detected_sql(2, 2, "label = 0 AND seq_id IN (SELECT seq_id FROM splits WHERE split = 'train')")},
+    c AS (
+      SELECT count(*) FILTER (label = 0 AND pred = 0) AS tn, count(*) FILTER (label = 0 AND pred = 1) AS fp,
+        count(*) FILTER (label = 1 AND pred = 0) AS fn, count(*) FILTER (label = 1 AND pred = 1) AS tp
+      FROM detected WHERE seq_id IN (SELECT seq_id FROM splits WHERE split = 'test'))
+    SELECT round(coalesce((tp + tn) / nullif(tn + fp + fn + tp, 0), 0), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
+      round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, tn, fp, fn, tp FROM c""",
+)
 def next_event_experiment(spark, folder):
     """Split, fit, detect, evaluate on the block log."""
-    return experiments.next_event_experiment(block_log_sequences(spark, folder), top_k=2, order=2).metrics
+    return rounded(experiments.next_event_experiment(block_log_sequences(spark, folder), top_k=2, order=2).metrics)
 
 
 _EVEN, _ODD = (f"CAST(seq_id AS BIGINT) % 2 = {r}" for r in (0, 1))
@@ -248,7 +319,23 @@ def forest_experiment(spark, folder):
     return experiments.forest_experiment(experiments.vectors_of(seqs, features.vocabulary(seqs))).metrics
 
 
-@add("full_run_summary")
+@add(
+    "full_run_summary",
+    f"""WITH RECURSIVE {i.ALERT_MASKED}, {mining_sql("alert_masked")},
+    lines AS (
+      SELECT a.line_id, CASE WHEN a.raw LIKE '- %' THEN 0 ELSE 1 END AS label, m.event_id, m.event_template FROM alert_masked a JOIN mined m USING (masked)),
+    found AS (SELECT event_id, event_template, count(*) AS n FROM lines GROUP BY 1, 2),
+    kept AS (SELECT event_id FROM found WHERE n >= 5 AND NOT regexp_matches(event_template, '{"|".join(text.NOISE_PATTERNS)}')),
+    numbered AS (
+      SELECT row_number() OVER (ORDER BY line_id) - 1 AS i, label, CASE WHEN event_id IN (SELECT event_id FROM kept) THEN event_id ELSE '<UNK>' END AS event
+      FROM lines),
+    starts AS (SELECT unnest(range(0, (SELECT count(*) FROM lines) - 19, 5)) AS s),
+    windows AS (SELECT s, max(label) AS label FROM starts JOIN numbered ON i >= s AND i < s + 20 GROUP BY s)
+    SELECT 'alerts' AS dataset, (SELECT count(*) FROM found) AS num_templates, count(*) AS num_sequences,
+      count(*) FILTER (label = 0) AS normal_sequences, count(*) FILTER (label = 1) AS anomaly_sequences, round(avg(label), 6) AS anomaly_rate,
+      20.0::DOUBLE AS avg_sequence_length, (SELECT count(DISTINCT event) + 1 FROM numbered WHERE i < (SELECT max(s) + 20 FROM starts)) AS vocab_size,
+      (SELECT count(*) FROM kept) AS kept_templates FROM windows""",
+)
 def full_run_summary(spark, folder):
     """A full run over the alert lines: parse, mask, mine, filter, window, features."""
     config = {
@@ -262,7 +349,7 @@ def full_run_summary(spark, folder):
         "sequencing": {"grouping_strategy": "sliding_window", "window_size": 20, "stride": 5},
     }
     run = preprocess.run(spark, config, raw=i.alert_lines(spark, folder))
-    return run["summary"].drop("duration_seconds", "timestamp")
+    return rounded(run["summary"].drop("duration_seconds", "timestamp"))
 
 
 @add(
