@@ -38,12 +38,12 @@ def _climbed(links: DataFrame) -> DataFrame:
     at = stored(links.select("tree", "message", F.col("parent").alias("up"), F.col("score").alias("total"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
     while at.where("up IS NOT NULL").limit(1).count():
         above = at.select("tree", F.col("message").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("further"))
-        at = stored(
-            at.join(above, ["tree", "up"], "left").select(
-                "tree", "message", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-                (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"),
-            )
+        # Messages that have reached their root take part in no further join.
+        climbed = at.where("up IS NOT NULL").join(above, ["tree", "up"]).select(
+            "tree", "message", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"),
+            (F.col("depth") + F.col("further")).alias("depth"),
         )
+        at = stored(at.where("up IS NULL").select(*climbed.columns).union(climbed))
     return at.select("tree", "message", "depth", "total")
 
 
