@@ -41,6 +41,10 @@ def test_full_run_then_load(spark, tmp_path):
     assert {len(r.ids) for r in out["padded"].collect()} == {10}
     assert out["occurrence"].count() == out["statistics"].count() == 11
     assert spark.read.parquet(str(tmp_path / "out_full/parsed")).count() == 60
+    wide = spark.read.options(header=True).csv(str(tmp_path / "out_full/occurrence_matrix"))
+    assert wide.columns[0] == "seq_id" and wide.columns[-1] == "label" and len(wide.columns) == 6 and wide.count() == 11
+    metadata = spark.read.parquet(str(tmp_path / "out_full/metadata"))
+    assert metadata.count() == 11 and metadata.agg(F.max("window_end")).first()[0] == 60
     shown = {r.key: r.value for r in summary.read_summary(spark, str(tmp_path / "out_full/summary_text")).collect()}
     assert shown["num_sequences"] == "11" and shown["anomaly_rate"] == "0.1818" and shown["dataset"] == "T"
     loaded = preprocess.run(
@@ -80,6 +84,27 @@ def test_block_run_with_label_file(spark, tmp_path):
     assert {r.seq_id: r.label for r in out["sequences"].collect()} == {"blk_0": 0, "blk_1": 0, "blk_2": 1, "blk_3": 0}
 
 
+def test_unknown_keys_raise(spark):
+    with pytest.raises(ValueError, match="output.save_everything, plots"):
+        preprocess.run(spark, {"output": {"save_everything": True}, "plots": {}})
+
+
+def test_load_run_with_listed_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", ["E1", "E2"], 0), ("b", ["E2"], 1)], "seq_id STRING, events ARRAY<STRING>, label INT")
+    rows.write.parquet(str(tmp_path / "sequences"))
+    (tmp_path / "X.log_templates.csv").write_text("EventId,EventTemplate\nE1,one [*]\nE2,two\n")
+    (tmp_path / "vocab.csv").write_text("EventId,Index,EventTemplate\nE1,0,one [*]\nE2,1,two\n")
+    (tmp_path / "anomaly_label.csv").write_text("BlockId,Label\na,Normal\nb,Anomaly\n")
+    files = ["X.npz", "X.log_templates.csv", "anomaly_label.csv", "vocabulary.pkl", "vocab.csv"]
+    config = {"dataset": {"name": "X", "mode": "load"}, "loading": {"source_dir": str(tmp_path), "files": files}, "parsing": {}, "output": None}
+    with pytest.warns(UserWarning, match="X.npz"):
+        out = preprocess.run(spark, config)
+    row = out["summary"].first()
+    assert (row.num_templates, row.num_sequences, row.vocab_size) == (2, 2, 3)
+    assert {r.event: r.idx for r in out["vocabulary"].collect()} == {"<PAD>": 0, "E1": 1, "E2": 2}
+    assert {r.block_id: r.label for r in out["labels"].collect()} == {"a": 0, "b": 1}
+
+
 def test_invalid_mode(spark):
     with pytest.raises(ValueError, match="Invalid mode"):
         preprocess.run(spark, {"dataset": {"mode": "other"}})

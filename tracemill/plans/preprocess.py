@@ -10,11 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
-from tracemill.operators import features, matching, mining, sequences, templates
+from tracemill.operators import features, matching, mining, sequences, split, templates
 from tracemill.session import materialise, stored
 from tracemill.sources import logs, summary, tables
 
 MODES = ("full", "match", "load")
+KEYS = {
+    "dataset": "name mode raw_log_path output_dir label_file",
+    "parsing": "depth sim_threshold max_children log_line_pattern content_regex label_extraction label masking_patterns "
+    "min_template_occurrence templates_file",
+    "sequencing": "grouping_strategy window_size stride time_column time_window_seconds block_id_regex",
+    "features": "save_occurrence_matrix save_statistical max_length",
+    "output": "save_templates save_metadata save_parsed_logs",
+    "loading": "source_dir num_templates files",
+}
+# Vocabularies up to this size are also written as a CSV with one column per event.
+WIDE_EVENTS = 2_000
+_METADATA = ("seq_id", "strategy", "block_id", "session_id", "window_start", "window_end", "time_span_seconds", "length")
 
 
 def load_config(source: str | Mapping[str, Any]) -> dict[str, Any]:
@@ -27,6 +39,14 @@ def load_config(source: str | Mapping[str, Any]) -> dict[str, Any]:
         return yaml.safe_load(file)
 
 
+def check_keys(config: Mapping[str, Any]) -> None:
+    """Raise for sections and keys that no run knows."""
+    unknown = [s for s in config if s not in KEYS]
+    unknown += [f"{s}.{k}" for s in config if s in KEYS for k in config[s] or () if k not in KEYS[s].split()]
+    if unknown:
+        raise ValueError(f"unknown configuration keys: {', '.join(sorted(unknown))}")
+
+
 def _section(config: Mapping[str, Any], name: str) -> Mapping[str, Any]:
     return config.get(name) or {}
 
@@ -119,7 +139,12 @@ def preprocess(raw: DataFrame, config: Mapping[str, Any]) -> dict[str, DataFrame
 def _features(out: dict[str, DataFrame], options: Mapping[str, Any]) -> None:
     seqs = out["sequences"]
     out["vocabulary"] = features.vocabulary(seqs)
-    out["padded"] = features.padded(seqs, out["vocabulary"])
+    width = options.get("max_length")
+    if width is None and (seqs.agg(F.max("length")).first()[0] or 0) > features.MAX_ROW:
+        # No dense row for the longest sequence: ids are given whole, piece by piece.
+        out["encoded"] = features.encode(seqs, out["vocabulary"])
+    else:
+        out["padded"] = features.padded(seqs, out["vocabulary"], width)
     if options.get("save_occurrence_matrix", False):
         out["occurrence"] = features.occurrence_dense(seqs, out["vocabulary"])
     if options.get("save_statistical", False):
@@ -135,6 +160,7 @@ def run(
     sequences are checkpointed, as several tables follow from them. ``raw`` replaces ``raw_log_path``.
     """
     config = load_config(config)
+    check_keys(config)
     started = time.time()
     dataset, options = _section(config, "dataset"), _section(config, "output")
     mode, name, folder = dataset.get("mode", "full"), dataset.get("name", ""), dataset.get("output_dir")
@@ -147,7 +173,7 @@ def run(
 
     if mode == "load":
         loading = _section(config, "loading")
-        out = tables.load_preprocessed(spark, loading["source_dir"])
+        out = tables.load_preprocessed(spark, loading["source_dir"], loading.get("files") or ())
         counted = out.get("templates")
         row = sequence_summary(out["sequences"], out.get("vocabulary"), counted, name)
         if counted is None:
@@ -164,8 +190,14 @@ def run(
         else:
             out["sequences"] = materialise(out["sequences"])
         _features(out, _section(config, "features"))
-        for table in ("vocabulary", "padded", "occurrence", "statistics"):
+        if options.get("save_metadata", True):
+            out["metadata"] = split.heads(out["sequences"]).select(*_METADATA)
+        for table in ("vocabulary", "padded", "encoded", "occurrence", "statistics", "metadata"):
             store(table)
+        if folder and "occurrence" in out:
+            events = [r["event"] for r in out["vocabulary"].orderBy("idx").limit(WIDE_EVENTS + 1).collect()]
+            if len(events) <= WIDE_EVENTS:
+                tables.write_occurrence(tables.wide_occurrence(out["occurrence"], events), f"{folder}/occurrence_matrix")
         if options.get("save_templates", True):
             store("templates")
         if options.get("save_parsed_logs", False):

@@ -1,14 +1,5 @@
 """Column layouts of the tables that operators exchange."""
 
-PARSED = (
-    "line_id BIGINT, row_idx BIGINT, event_id STRING, event_template STRING, content STRING, "
-    "masked STRING, label INT, raw STRING"
-)
-TEMPLATES = "event_id STRING, event_template STRING, occurrence_count BIGINT"
-CATALOGUE = "event_id STRING, event_template STRING"
-LABELS = "block_id STRING, label STRING"
-VOCABULARY = "event STRING, idx INT"
-
 # One row per sequence, or several pieces of a sequence that is too long for one row: ``start`` is the
 # position of the piece's first event, ``length`` and ``label`` belong to the whole sequence.
 SEQUENCES = (

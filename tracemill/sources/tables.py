@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,15 +53,18 @@ def read_occurrence_matrix(
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """A stored vocabulary table, or a JSON object ``{event: index}``.
+    """A stored vocabulary table, a JSON object ``{event: index}``, or a CSV with ``EventId, Index``.
 
-    JSON vocabularies that use index 0 for an event are shifted so that 0 stays padding.
+    Vocabularies from files that use index 0 for an event are shifted so that 0 stays padding.
     """
-    if not path.endswith(".json"):
+    if path.endswith(".json"):
+        entries = spark.read.text(path, wholetext=True).select(
+            F.explode(F.from_json("value", "map<string,int>")).alias("event", "idx")
+        )
+    elif path.endswith(".csv"):
+        entries = spark.read.options(**_CSV).csv(path).select(F.col("EventId").alias("event"), F.col("Index").cast("int").alias("idx"))
+    else:
         return spark.read.parquet(path)
-    entries = spark.read.text(path, wholetext=True).select(
-        F.explode(F.from_json("value", "map<string,int>")).alias("event", "idx")
-    )
     clash = entries.where((F.col("idx") == 0) & (F.col("event") != text.PADDING)).limit(1).count() > 0
     return features.shifted(entries) if clash else entries
 
@@ -107,10 +111,37 @@ def spark_schema(spark: SparkSession):
     return spark.createDataFrame([], schemas.SEQUENCES).schema
 
 
-def load_preprocessed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Sequences, vocabulary and, if stored, padded ids and templates of an earlier run."""
+# What a listed file holds, by words of its name, and its reader.
+_LISTED = (
+    ("templates", ("template",), (".csv",), read_catalogue),
+    ("labels", ("label",), (".csv",), read_labels),
+    ("vocabulary", ("vocab",), (".json", ".csv"), read_vocabulary),
+)
+
+
+def read_listed(spark: SparkSession, folder: str, files: Sequence[str]) -> dict[str, DataFrame]:
+    """The tables among ``files`` of a prepared data set, each in its own format; of two for one table the first counts.
+
+    Array archives and pickles are no table formats and are named in a warning.
+    """
+    out: dict[str, DataFrame] = {}
+    for name in files:
+        base = name.rsplit("/", 1)[-1].lower()
+        kind = next((k for k in _LISTED if base.endswith(k[2]) and any(w in base for w in k[1])), None)
+        if kind is None:
+            warnings.warn(f"{name} is not read: no table format for it", stacklevel=2)
+        elif kind[0] not in out:
+            out[kind[0]] = kind[3](spark, f"{folder}/{name}")
+    return out
+
+
+def load_preprocessed(spark: SparkSession, folder: str, files: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Sequences, vocabulary and, if stored, padded ids and templates of an earlier run; listed files replace stored tables."""
     out = {"sequences": read_sequences(spark, f"{folder}/sequences")}
-    for name in ("vocabulary", "padded", "templates", "statistics", "occurrence"):
+    out |= read_listed(spark, folder, files)
+    for name in ("vocabulary", "padded", "templates", "statistics", "occurrence", "metadata"):
+        if name in out:
+            continue
         try:
             out[name] = spark.read.parquet(f"{folder}/{name}")
         except Exception as missing:  # noqa: BLE001 - only an absent folder is acceptable
@@ -119,6 +150,11 @@ def load_preprocessed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
+def wide_occurrence(dense: DataFrame, events: Sequence[str]) -> DataFrame:
+    """Dense counts ``(seq_id, label, counts)`` as one column per event, in the order of ``events``, then the label."""
+    return dense.select("seq_id", *[F.element_at("counts", k + 1).alias(e) for k, e in enumerate(events)], "label")
+
+
 def write_occurrence(wide: DataFrame, path: str) -> None:
     """Wide occurrence matrix with its label column as CSV."""
     wide.write.mode("overwrite").options(header=True).csv(path)
