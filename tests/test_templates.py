@@ -160,6 +160,17 @@ def test_catalogues_larger_than_one_pass(spark, monkeypatch):
     assert got == [f"E{k}" for k in range(10)] + ["<UNK>"]
 
 
+def test_indexed_matching_equals_testing_one_by_one(spark):
+    rnd = random.Random(3)
+    words = ["user", "disk", "node", "of", "in", "(a)", "x.y", "é"]
+    shapes = {" ".join(rnd.choice([*words, "<*>", "[*]", "r<*>=0x<*>"]) for _ in range(rnd.randrange(1, 6))) for _ in range(150)} | {"<*>of<*>", "in <*>  of"}
+    catalogue = spark.createDataFrame([(f"E{k}", s) for k, s in enumerate(sorted(shapes))], "event_id STRING, event_template STRING")
+    lines = [" ".join(rnd.choice([*words, "r1=0x2", "7"]) for _ in range(rnd.randrange(1, 7))) for _ in range(300)] + ["", "in 3 of", "in  3\tof"]
+    messages = parsed(spark, sorted(set(lines)))
+    one, two = (find(messages, catalogue).select("masked", "event_id", "event_template") for find in (matching.match_messages, matching.match_indexed))
+    assert sorted(one.collect()) == sorted(two.collect())
+
+
 def test_lookup_with_hot_keys(spark):
     big = spark.range(2000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("key"))
     small = materialise(big.groupBy("key").agg(F.count("*").alias("n")).withColumn("value", F.upper("key")).where("key <> 'k1'"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +12,9 @@ from tracemill.functions import text
 from tracemill.operators.lookup import lookup
 from tracemill.session import materialise
 
-# Templates tested in one expression; larger catalogues take several passes.
+# Templates tested in one expression; on streams larger catalogues take several passes, elsewhere they are indexed.
 TEMPLATES_PER_PASS = 400
+_INDEX = "event_id string, event_template string, pattern string, literal int, words array<string>"
 
 
 def ranked_templates(catalogue: DataFrame, wildcards: Sequence[str]) -> list[tuple[str, str, str, str]]:
@@ -66,10 +68,73 @@ def match_messages(
     )
 
 
+def _whole_words(template: str, wildcards: Sequence[str]) -> list[str]:
+    """Literal words of a template that no wildcard touches: every message of the template has them."""
+    pieces, out = text.template_pieces(template, wildcards), []
+    for k, piece in enumerate(pieces):
+        words = piece.split()
+        if words and k > 0 and not piece[:1].isspace():
+            words = words[1:]
+        if words and k < len(pieces) - 1 and not piece[-1:].isspace():
+            words = words[:-1]
+        out += words
+    return sorted(set(out))
+
+
+def template_index(catalogue: DataFrame, wildcards: Sequence[str]) -> DataFrame:
+    """Templates with their pattern, number of literal characters and whole words."""
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shown = batch["event_template"]
+            yield pd.DataFrame(
+                {
+                    "event_id": batch["event_id"],
+                    "event_template": shown,
+                    "pattern": [text.java_pattern(text.template_pattern(t, wildcards)) for t in shown],
+                    "literal": [sum(map(len, text.template_pieces(t, wildcards))) for t in shown],
+                    "words": [_whole_words(t, wildcards) for t in shown],
+                }
+            )
+
+    return catalogue.select("event_id", "event_template").where("event_template IS NOT NULL").mapInPandas(describe, _INDEX)
+
+
+def match_indexed(
+    messages: DataFrame, catalogue: DataFrame, column: str = "masked", wildcards=(text.WILDCARD, "[*]")
+) -> DataFrame:
+    """As ``match_messages``, for catalogues of any size: a message is tested against the templates whose rarest whole
+    word it has. Templates without a whole word, which are few in practice, are tested one by one."""
+    index = materialise(template_index(catalogue, wildcards))
+    words = index.select("event_id", "event_template", F.explode("words").alias("_word"))
+    often = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = words.join(often, "_word").groupBy("event_id", "event_template").agg(F.min_by("_word", F.struct("_df", "_word")).alias("_word"))
+    keyed = index.drop("words").join(rarest, ["event_id", "event_template"])
+    parts = F.array_distinct(F.filter(F.split(column, r"(?U)\s+"), lambda w: w != ""))
+    tried = messages.select(column, F.explode(parts).alias("_word")).join(keyed, "_word").where(F.rlike(F.col(column), F.col("pattern")))
+    best = F.min_by(F.struct("event_id", "event_template", "literal"), F.struct(-F.col("literal"), F.col("event_id")))
+    found = tried.groupBy(column).agg(best.alias("_found"))
+    rest = match_messages(messages, index.where(F.size("words") == 0), column, wildcards)
+    literal = index.where(F.size("words") == 0).select("event_id", F.col("literal").alias("_literal"))
+    both = rest.join(F.broadcast(literal), "event_id", "left").join(found, column, "left")
+    by_word = F.col("_found").isNotNull() & (
+        F.col("_literal").isNull()
+        | (F.col("_found.literal") > F.col("_literal"))
+        | ((F.col("_found.literal") == F.col("_literal")) & (F.col("_found.event_id") < F.col("event_id")))
+    )
+    chosen = {c: F.when(by_word, F.col(f"_found.{c}")).otherwise(F.col(c)) for c in ("event_id", "event_template")}
+    return both.withColumns(chosen).select(*messages.columns, "event_id", "event_template")
+
+
 def match(
     parsed: DataFrame, catalogue: DataFrame, column: str = "masked", wildcards=(text.WILDCARD, "[*]")
 ) -> DataFrame:
-    """Match every line; each distinct message is tested once and the result is looked up."""
+    """Match every line; each distinct message is tested once and the result is looked up.
+
+    Catalogues of more than TEMPLATES_PER_PASS templates are not tested one by one but found by a word.
+    """
     distinct = parsed.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    matched = materialise(match_messages(distinct, catalogue, column, wildcards))
+    small = catalogue.limit(TEMPLATES_PER_PASS + 1).count() <= TEMPLATES_PER_PASS
+    find = match_messages if small else match_indexed
+    matched = materialise(find(distinct, catalogue, column, wildcards))
     return lookup(parsed, matched, column, "_n", "line_id")
