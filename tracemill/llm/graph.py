@@ -2,35 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.session import stored
 
 
+class Kept:
+    """Intermediate tables on the executors' disks while they are needed; what is lost is recomputed.
+
+    They are filled at once: several uses in one job would each begin to fill them.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df.persist(StorageLevel.DISK_ONLY))
+        self.tables[-1].count()
+        return self.tables[-1]
+
+    def release(self) -> None:
+        while self.tables:
+            self.tables.pop().unpersist()
+
+
+@contextmanager
+def large_partitions(spark: SparkSession) -> Iterator[None]:
+    """While this holds, adaptive execution merges small shuffle partitions up to its advised size, not to one per core.
+
+    The tables of a graph's rounds are small next to the texts; written in a few files they cost fewer tasks.
+    """
+    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst of one orderable type): the smallest node reachable.
 
     Null ends and loops are left out; repeated edges count once. Each round takes the smallest label among the
-    neighbours and then the label of that label, so chains shorten by doubling; rounds are written to the
-    checkpoint folder. Degrees may be as large as they like: neighbours are reduced by partial minima.
+    neighbours and then the label of that label, so chains shorten by doubling, and writes the labels. Degrees may be
+    as large as they like: neighbours are reduced by partial minima.
     """
-    both = stored(
-        edges.select("src", "dst")
-        .union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        .where("src != dst")
-        .distinct()
-    )
-    labels = stored(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
-    while True:
-        seen = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"))
-        nearer = labels.join(seen.agg(F.min("component").alias("near")), "node").select(
-            "node", F.col("component").alias("was"), F.least("component", "near").alias("component")
+    with large_partitions(edges.sparkSession):
+        kept = Kept()
+        both = kept(
+            edges.select("src", "dst")
+            .union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            .where("src != dst")
+            .distinct()
         )
-        nearer = stored(nearer)
-        jump = nearer.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        after = stored(nearer.join(jump, "component").select("node", "was", F.least("component", "next").alias("component")))
-        moved = after.where("component != was").limit(1).count()
-        labels = after.select("node", "component")
-        if not moved:
-            return labels
+        labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
+        labels = stored(labels.select("node", F.least("node", "m").alias("component")))
+        while True:
+            own = Kept()
+            seen = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"))
+            nearer = own(
+                labels.join(seen.agg(F.min("component").alias("near")), "node").select(
+                    "node", F.col("component").alias("was"), F.least("component", "near").alias("component")
+                )
+            )
+            jump = nearer.select(F.col("node").alias("component"), F.col("component").alias("next"))
+            after = stored(nearer.join(jump, "component").select("node", "was", F.least("component", "next").alias("component")))
+            own.release()
+            labels = after.select("node", "component")
+            if after.where("component != was").isEmpty():
+                kept.release()
+                return labels

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm import words
-from tracemill.llm.graph import components
+from tracemill.llm.graph import Kept, components, large_partitions
 from tracemill.session import broadcast_if_small, stored
 
 # Up to so many documents with one prefix token, pairs are named; beyond that they are verified block by block.
@@ -34,7 +34,7 @@ BLOCK_SHINGLES = 100_000
 # Family members up to this number are sent to the texts, more of them meet the texts in a shuffle.
 BROADCAST_ROWS = 200_000
 # The frequency table has one counter for so many tokens, between 2**12 and 2**24 counters, in parts of 2**15.
-TOKENS_PER_COUNTER = 64
+TOKENS_PER_COUNTER = 128
 PART_BITS = 15
 
 
@@ -193,12 +193,15 @@ def _verified(tasks: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         sides: tuple[list, list] = ([], [])
+        seen: set[tuple[int, int]] = set()
         column = table.column("text").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         with np.errstate(over="ignore"):
             for doc_id, side, s in zip(table.column("doc_id").to_pylist(), table.column("side").to_pylist(), _sets(column, size)):
                 for to in ((0, 1) if side == 2 else (side,)):
-                    sides[to].append((doc_id, s))
+                    if (doc_id, to) not in seen:
+                        seen.add((doc_id, to))
+                        sides[to].append((doc_id, s))
         found = _links_of(*sides, percent) if sides[0] and sides[1] else []
         return pa.table({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
 
@@ -212,28 +215,35 @@ def links(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
     Documents with equal sets form a class whose representative is its smallest doc_id. Rows with a null doc_id are
     left out; null or empty texts have no shingles, and their own id as representative.
     """
+    kept = Kept()
+    with large_partitions(docs.sparkSession):
+        out = _links(docs, size, percent, kept)
+    kept.release()
+    return out
+
+
+def _links(docs: DataFrame, size: int, percent: int, kept: Kept) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    signed = stored(signatures(docs, size))
+    signed = kept(signatures(docs, size))
     full = signed.where("n_shingles > 0")
     reps = full.groupBy("n_shingles", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
     joined = full.join(reps, ["n_shingles", "sig_a", "sig_b"]).select("doc_id", "n_shingles", "rep")
     classes = stored(joined.union(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))))
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     bits = min(24, max(12, int(total // TOKENS_PER_COUNTER).bit_length()))
-    prefixes = stored(_prefixes(docs, size, percent, _frequencies(docs.select("text"), size, bits)))
+    prefixes = kept(_prefixes(docs, size, percent, _frequencies(docs.select("text"), size, bits)))
 
     tokens = prefixes.select("doc_id", F.explode("first").alias("token"))
-    often = stored(
-        tokens.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("token")
-    )
+    # A document has a token once, so one that comes twice is shared (or its row is repeated, which is sorted out below).
+    often = kept(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"))
     ids = classes.where("n_shingles > 0").select("doc_id", "rep", "n_shingles").dropDuplicates(["doc_id"])
     entries = (
-        tokens.join(broadcast_if_small(often, BROADCAST_ROWS), "token")
-        .join(broadcast_if_small(ids, BROADCAST_ROWS), "doc_id")
+        tokens.join(often, "token")
+        .join(ids, "doc_id")
         .select("token", "rep", "n_shingles")
         .distinct()
     )
-    entries = stored(entries)
+    entries = kept(entries)
     sizes = entries.groupBy("token").agg(F.count("rep").alias("m"), F.min("rep").alias("least")).where("m > 1")
     entries = stored(entries.join(sizes, "token"))
 
@@ -243,7 +253,7 @@ def links(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
     fits = F.lit(100) * F.least("n_src", "n_dst") >= F.lit(percent) * F.greatest("n_src", "n_dst")
     pairs = stored(one.join(two, "token").where((F.col("src") < F.col("dst")) & fits).select("src", "dst").distinct())
     second = prefixes.select("doc_id", "second").dropDuplicates(["doc_id"])
-    second = stored(second.join(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    second = kept(second.join(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
     both = (
         pairs.join(second.select(F.col("doc_id").alias("src"), F.col("second").alias("x")), "src")
         .join(second.select(F.col("doc_id").alias("dst"), F.col("second").alias("y")), "dst")
@@ -256,31 +266,28 @@ def links(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
     members = families.join(ids.where("doc_id = rep").select("rep", "n_shingles"), "rep")
     shape = members.groupBy("family").agg(F.count("rep").alias("m"), F.sum("n_shingles").alias("n"))
     shape = shape.select("family", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = stored(members.join(shape, "family").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")))
-    # Texts of family members, once; of rows that share a doc_id, any one stands for it.
-    small = broadcast_if_small(members.select(F.col("rep").alias("doc_id"), "family", "block", "blocks"), BROADCAST_ROWS)
-    held = docs.join(small, "doc_id").dropDuplicates(["doc_id"])
-    held = stored(held.repartition("family", "block"))
-
-    within = held.select("family", F.col("block").alias("i"), F.col("block").alias("j"), "doc_id", "text", F.lit(2).alias("side"))
+    members = kept(members.join(shape, "family").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")))
+    # Texts of family members; of rows that share a doc_id, the task takes one.
+    small = broadcast_if_small(members.select(F.col("rep").alias("doc_id"), "family", "block"), BROADCAST_ROWS)
+    within = docs.join(small, "doc_id").select("family", F.col("block").alias("i"), F.col("block").alias("j"), "doc_id", "text", F.lit(2).alias("side"))
     found = stored(_verified(within, size, percent))
-    large = stored(members.where("blocks > 1").select("family", "rep", "block", "blocks"))
+    large = members.where("blocks > 1").select("family", "rep", "block", "blocks")
     if large.limit(1).count():
-        found = stored(found.union(_between_blocks(large, held, found, size, percent)))
+        found = stored(found.union(_between_blocks(large, docs, found, size, percent)))
     return classes, found
 
 
-def _between_blocks(large: DataFrame, held: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
+def _between_blocks(large: DataFrame, docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between blocks of families of several blocks, but for pairs of a family's largest class so far."""
     so_far = components(found).select(F.col("node").alias("rep"), "component")
     labelled = large.join(so_far, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     counts = labelled.groupBy("family", "component").agg(F.count("rep").alias("m"))
     main = counts.groupBy("family").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-    opened = stored(labelled.join(main, "family").select("family", "rep", "block", "blocks", (F.col("component") != F.col("main")).alias("open")))
+    opened = labelled.join(main, "family").select("family", "rep", "block", "blocks", (F.col("component") != F.col("main")).alias("open"))
     # The open documents in blocks of their own, each against every block of the family.
     groups = opened.where("open").groupBy("family").agg(F.ceil(F.count("rep") / BLOCK_DOCS).cast("int").alias("groups"))
-    placed = opened.join(groups, "family").withColumnRenamed("rep", "doc_id")
-    rows = held.select("doc_id", "text").join(placed, "doc_id")
+    placed = stored(opened.join(groups, "family").withColumnRenamed("rep", "doc_id"))
+    rows = docs.join(broadcast_if_small(placed, BROADCAST_ROWS), "doc_id")
     group = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), "groups").cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     right = rows.select("family", upto("groups").alias("i"), F.col("block").alias("j"), "doc_id", "text", F.lit(1).alias("side"))
@@ -307,7 +314,13 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 
 def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, one for each; rows without doc_id stay."""
-    leads = classes(docs.select("doc_id", "text"), size, percent).where("doc_id = component_id").select("doc_id").distinct()
-    leads = leads.withColumnRenamed("doc_id", "_lead")
-    kept = docs.join(leads, F.col("doc_id").cast("long") == F.col("_lead"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+    found = stored(classes(docs.select("doc_id", "text"), size, percent))
+    # Only the documents that go are looked up, so that texts need no shuffle unless these are many.
+    gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct())
+    again = stored(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
+    own = F.col("doc_id").cast("long") == F.col("_id")
+    kept = docs.join(broadcast_if_small(gone, BROADCAST_ROWS), own, "left_anti")
+    if again.isEmpty():
+        return kept
+    repeated = broadcast_if_small(again, BROADCAST_ROWS)
+    return kept.join(repeated, own, "left_anti").union(kept.join(repeated, own, "left_semi").dropDuplicates(["doc_id"]))
