@@ -1,10 +1,15 @@
-"""Main text of web pages: structure first, then differencing against the nearest URLs of the same host.
+"""Main text of web pages: differencing against the nearest URLs of the same host, with structure as evidence beside it.
 
 A page is cut into lines, one for each block of text, each marked as main text, doubtful text or page furniture by the elements around it
 (menus, headers, footers, forms, scripts and the like, or elements whose class, id or role says so). Lines inside an
-``article`` or ``main`` element are main text. Pages without such an element have doubtful lines only: these
-are aligned by longest common subsequence with the lines of the pages before and after in the path order of their host,
-and shared lines are deleted. A neighbour that shares most of a page is a copy of it and deletes nothing.
+``article`` or ``main`` element are main text, others that are no furniture are doubtful. The lines of every page but furniture
+are aligned by longest common subsequence with the lines of the pages before and after in the path order of their host, doubtful
+lines with all lines of the neighbour and main text with its main text:
+
+* Shared doubtful lines are deleted, and doubtful lines that no neighbour shares are kept.
+* Shared main text is deleted if it is short, or if all neighbours that are compared share it: one neighbour may be quoted at length.
+* A neighbour that shares most of a page is a copy of it and deletes nothing.
+* Without a neighbour to compare with, structure decides: main text where there is any, else doubtful text.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ PAGES_AT_ONCE = 2000
 MOST_CUTS = 1000
 # A neighbour that shares more than this part of a page's characters is a copy.
 COPY_SHARE = 0.5
+# Main text up to so many characters is deleted if any neighbour shares it.
+SHORT = 200
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -205,67 +212,82 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_PARSED = "page_id long, url string, key long, sort_key string, host string, kept array<string>, doubtful boolean, all array<long>, own array<long>"
+_LINES = "key long, sort_key string, host string, page struct<lines: array<long>, kinds: array<int>, sizes: array<int>>"
+_TEXTS = "key long, page_id long, url string, text array<string>"
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
+def _parsed(pages: DataFrame, schema: str) -> DataFrame:
+    """_LINES: the hash, kind and characters of all lines of each page, or _TEXTS: the text of all but furniture."""
+    texts = schema == _TEXTS
+    names = [x.split()[0] for x in re.sub("<.*>", "", schema).split(", ")]
+    page_kind = pa.struct([("lines", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))])
+
     def run(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                columns: tuple[list, ...] = ([], [], [], [], [])
+                keys, made = [], []
                 for k, page in enumerate(part.column(4)):
                     page = page.as_py() or ""
                     every = lines(page)
-                    least = MAIN if any(kind == MAIN for _, kind in every) else DOUBTFUL
-                    text = [t for t, kind in every if kind >= least]
-                    doubtful = least == DOUBTFUL and bool(text)
-                    row = (_hash(f"{part.column(0)[k]}\n{part.column(1)[k]}\n{page}"), text, doubtful, [_hash(t) for t, _ in every], [_hash(t) for t in text] if doubtful else [])
-                    for column, value in zip(columns, row):
-                        column.append(value)
-                numbers = pa.list_(pa.int64())
-                made = [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.list_(pa.string()), pa.bool_(), numbers, numbers))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made[0], part.column(2), part.column(3), *made[1:]], [x.split()[0] for x in _PARSED.split(", ")])
+                    keys.append(_hash(f"{part.column(0)[k]}\n{part.column(1)[k]}\n{page}"))
+                    if texts:
+                        made.append([t for t, kind in every if kind != FURNITURE])
+                    else:
+                        made.append({"lines": [_hash(t) for t, _ in every], "kinds": [kind for _, kind in every], "sizes": [len(t) for t, _ in every]})
+                ends = (part.column(0), part.column(1)) if texts else (part.column(2), part.column(3))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *ends, pa.array(made, pa.list_(pa.string()) if texts else page_kind)], names)
 
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     rows = rows.select("page_id", "url", F.coalesce(F.concat_ws(" ", host, path), F.lit("")).alias("sort_key"), F.coalesce(host, F.lit("")).alias("host"), "html")
-    return rows.mapInArrow(run, _PARSED)
+    return rows.mapInArrow(run, schema)
+
+
+def compared(page: dict, others: list[dict | None]) -> tuple[list[int], int]:
+    """Places of the main text among a page's lines that are no furniture, and how many of these neighbours deleted."""
+    own = [k for k, kind in enumerate(page["kinds"]) if kind != FURNITURE]
+    kinds, sizes = [page["kinds"][k] for k in own], [page["sizes"][k] for k in own]
+    hits = []
+    for other in filter(None, others):
+        both: set[int] = set()
+        for main in (False, True):
+            at = [k for k, kind in enumerate(kinds) if (kind == MAIN) == main]
+            to = [line for line, kind in zip(other["lines"], other["kinds"]) if not main or kind == MAIN]
+            both |= {at[k] for k in shared([page["lines"][own[k]] for k in at], to)}
+        hits.append(both)
+    hits = [both for both in hits if sum(sizes[k] for k in both) <= COPY_SHARE * sum(sizes)]
+    if not hits:
+        least = max(kinds, default=DOUBTFUL)
+        return [k for k, kind in enumerate(kinds) if kind >= least], 0
+    anywhere, everywhere = set.union(*hits), set.intersection(*hits)
+    gone = {k for k in anywhere if kinds[k] == DOUBTFUL or sizes[k] <= SHORT} | everywhere
+    return [k for k in range(len(own)) if k not in gone], len(gone)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_shared) for each row of ``pages`` (page_id, url, html; no others are read).
 
-    ``text``: the blocks of the main text with single blanks, joined by two line feeds; ``n_shared``: doubtful blocks that
-    a neighbour deleted. Null or empty html has the text '' of 0 blocks. Pages without a usable url are
+    ``text``: the blocks of the main text with single blanks, joined by two line feeds; ``n_shared``: blocks outside page
+    furniture that a neighbour deleted. Null or empty html has the text '' of 0 blocks. Pages without a usable url are
     neighbours of each other. Repeated rows are one page for their neighbours and come back each. An empty table gives none.
+    Pages are parsed twice, so that only hashes of their lines are stored and sorted.
     """
-    parsed = stored(_parsed(pages))
-    places = parsed.select("key", "host", "sort_key", "all", "doubtful", "own").dropDuplicates(["key"])
+    parsed = stored(_parsed(pages, _LINES))
+    places = parsed.dropDuplicates(["key"])
     cuts = min(MOST_CUTS, max(1, parsed.count() // PAGES_AT_ONCE))
     order = Window.partitionBy("host", "_bucket").orderBy("sort_key", "key")
-    near = with_bucket(places, "sort_key", cuts).select(
-        "key", "doubtful", "own", F.lag("all").over(order).alias("before"), F.lead("all").over(order).alias("after")
-    )
-    near = near.where("doubtful").select("key", "own", "before", "after")
-    sure = parsed.where("NOT doubtful").select("page_id", "url", F.col("kept").alias("blocks"), F.lit(0).cast("long").alias("n_shared"))
-    open_ = parsed.where("doubtful").select("key", "page_id", "url", "kept").join(near, "key")
+    near = with_bucket(places, "sort_key", cuts).select("key", "page", F.lag("page").over(order).alias("before"), F.lead("page").over(order).alias("after"))
 
     def run(batches):
         for batch in batches:
-            texts, counts = [], []
-            for text, own, *others in zip(*(batch.column(c).to_pylist() for c in range(2, 6))):
-                total = sum(map(len, text))
-                gone: set[int] = set()
-                for other in others:
-                    both = shared(own, other or [])
-                    if sum(len(text[k]) for k in both) <= COPY_SHARE * total:
-                        gone |= both
-                texts.append([t for k, t in enumerate(text) if k not in gone])
-                counts.append(len(gone))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.list_(pa.string())), pa.array(counts, pa.int64())], ["page_id", "url", "blocks", "n_shared"])
-
-    compared = open_.select("page_id", "url", "kept", "own", "before", "after").mapInArrow(run, "page_id long, url string, blocks array<string>, n_shared long")
+            made = [compared(page, others) for page, *others in zip(*(batch.column(c).to_pylist() for c in range(1, 4)))]
+            kinds = (pa.list_(pa.int32()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[c] for m in made], kind) for c, kind in enumerate(kinds))], ["key", "kept", "n_shared"])
+
+    kept = near.mapInArrow(run, "key long, kept array<int>, n_shared long")
+    blocks = F.transform("kept", lambda k: F.get("text", k))
+    found = _parsed(pages, _TEXTS).join(kept, "key").select("page_id", "url", blocks.alias("blocks"), "n_shared")
     text = F.array_join("blocks", "\n\n")
-    return sure.union(compared).select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), F.size("blocks").cast("long").alias("n_blocks"), "n_shared")
+    return found.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), F.size("blocks").cast("long").alias("n_blocks"), "n_shared")
