@@ -71,6 +71,19 @@ def test_neighbours_delete_shared_lines(spark):
     assert h.main_text(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_short_posts_lose_long_menus(spark):
+    menu = [f"menu entry {j} of the site" for j in range(40)]
+    rows = [(k, f"http://a.example/{k}", page(*menu, f"short post {k}"), "", 0) for k in range(4)]  # about 1% of its own
+    rows += [(k, f"http://b.example/{k}", page(*menu[:8], f"a post {k} of more words than the others have", "it has two lines" * k), "", 0) for k in (10, 11)]
+    rows += [(k, f"http://c.example/{k}", page(*menu, "x" * (k % 2)), "", 0) for k in (20, 21)]  # copies
+    got = {r.page_id: r.text.split("\n\n") for r in h.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k in (1, 2):
+        assert got[k] == [f"short post {k}"]
+    for k in (10, 11):
+        assert got[k] == [f"a post {k} of more words than the others have", "it has two lines" * k]
+    assert got[20] == menu and got[21] == [*menu, "x"]
+
+
 def test_pages_with_an_article_are_compared(spark):
     own = lambda k: [f"own text of page {k}, part {j}, and some more of it" for j in range(4)]
     article = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"

@@ -8,7 +8,9 @@ lines with all lines of the neighbour and main text with its main text:
 
 * Shared doubtful lines are deleted, and doubtful lines that no neighbour shares are kept.
 * Shared main text is deleted if it is short, or if all neighbours that are compared share it: one neighbour may be quoted at length.
-* A neighbour that shares most of a page is a copy of it and deletes nothing.
+* A neighbour that has all of a page's lines, or that leaves almost nothing unshared in either page, is a copy and deletes nothing. If both neighbours
+  leave little, but something, on either side, what all three pages share outside main text is their template: short posts look like that.
+* Main text is not compared with a neighbour that has so much of it that this is most of the page.
 * Without a neighbour to compare with, structure decides: main text where there is any, else doubtful text.
 """
 
@@ -30,7 +32,9 @@ from tracemill.session import stored
 # Pages of one host between two cuts of the path order, on average; at most so many cuts are made.
 PAGES_AT_ONCE = 2000
 MOST_CUTS = 1000
-# A neighbour that shares more than this part of a page's characters is a copy.
+# A neighbour is a copy if at most this part of the characters of either page is left unshared.
+COPY_REST = 0.05
+# Main text is not compared with a neighbour whose share of it is more than this part of the page's characters.
 COPY_SHARE = 0.5
 # Main text up to so many characters is deleted if any neighbour shares it.
 SHORT = 200
@@ -249,20 +253,34 @@ def compared(page: dict, others: list[dict | None]) -> tuple[list[int], int]:
     """Places of the main text among a page's lines that are no furniture, and how many of these neighbours deleted."""
     own = [k for k, kind in enumerate(page["kinds"]) if kind != FURNITURE]
     kinds, sizes = [page["kinds"][k] for k in own], [page["sizes"][k] for k in own]
-    hits = []
+    chars = lambda places: sum(sizes[k] for k in places)
+    doubtful, main = [[k for k, kind in enumerate(kinds) if kind == one] for one in (DOUBTFUL, MAIN)]
+    total = chars(range(len(own)))
+    found: list[set[int]] = []  # by neighbours that are no copies
+    alike: list[set[int]] = []  # by neighbours that are copies or share a template with little text
+    quoted: list[set[int]] = []  # main text
     for other in filter(None, others):
-        both: set[int] = set()
-        for main in (False, True):
-            at = [k for k, kind in enumerate(kinds) if (kind == MAIN) == main]
-            to = [line for line, kind in zip(other["lines"], other["kinds"]) if not main or kind == MAIN]
-            both |= {at[k] for k in shared([page["lines"][own[k]] for k in at], to)}
-        hits.append(both)
-    hits = [both for both in hits if sum(sizes[k] for k in both) <= COPY_SHARE * sum(sizes)]
-    if not hits:
-        least = max(kinds, default=DOUBTFUL)
-        return [k for k, kind in enumerate(kinds) if kind >= least], 0
-    anywhere, everywhere = set.union(*hits), set.intersection(*hits)
-    gone = {k for k in anywhere if kinds[k] == DOUBTFUL or sizes[k] <= SHORT} | everywhere
+        in_main, anywhere = [
+            {places[k] for k in shared([page["lines"][own[k]] for k in places], [line for line, kind in zip(other["lines"], other["kinds"]) if kind >= least])}
+            for places, least in ((main, MAIN), (doubtful, FURNITURE))
+        ]
+        if chars(in_main) <= COPY_SHARE * total:
+            quoted.append(in_main)
+        its_total = sum(size for size, kind in zip(other["sizes"], other["kinds"]) if kind != FURNITURE)
+        both = chars(in_main | anywhere)
+        left, its_left = total - both, its_total - both
+        if left > 0 and (left > COPY_REST * total or its_left > COPY_REST * its_total):
+            found.append(anywhere)
+        elif left > 0 and its_left > 0:
+            alike.append(anywhere)
+    if not found and len(alike) > 1 and (template := set.intersection(*alike)):
+        found = [template]
+    gone = set.union(set(), *found)
+    if main:
+        if quoted:
+            gone |= {k for k in set.union(*quoted) if sizes[k] <= SHORT} | set.intersection(*quoted)
+        if not found:
+            return [k for k in main if k not in gone], len(gone)
     return [k for k in range(len(own)) if k not in gone], len(gone)
 
 
