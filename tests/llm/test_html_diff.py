@@ -100,6 +100,14 @@ def test_pages_with_an_article_are_compared(spark):
     assert got[20] == (own(7), 0) and got[21] == (own(7) + ["x"], 0) and got[30] == (["in"], 0)
 
 
+@pytest.mark.parametrize("at_once", [1, 3, 2000])
+def test_neighbours_across_cuts(spark, at_once, monkeypatch):
+    monkeypatch.setattr(h, "PAGES_AT_ONCE", at_once)
+    rows = [(k, f"http://{host}.example/{k}", page("Menu", f"own text of page {k}"), "", 0) for host, first in (("a", 10), ("b", 20), ("c", 30)) for k in range(first, first + 2 + first // 10)]
+    got = {r.page_id: r.text for r in h.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: f"own text of page {k}" for k, *_ in rows}
+
+
 def test_whole_pages(spark):
     """The pages of the test tables have all their text but furniture in one article, whose blocks are p and h1."""
     import html

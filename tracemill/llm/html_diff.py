@@ -296,7 +296,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     places = parsed.dropDuplicates(["key"])
     cuts = min(MOST_CUTS, max(1, parsed.count() // PAGES_AT_ONCE))
     order = Window.partitionBy("host", "_bucket").orderBy("sort_key", "key")
-    near = with_bucket(places, "sort_key", cuts).select("key", "page", F.lag("page").over(order).alias("before"), F.lead("page").over(order).alias("after"))
+    placed = with_bucket(places, "sort_key", cuts)
+    near = placed.select("host", "_bucket", "key", "page", F.lag("page").over(order).alias("before"), F.lead("page").over(order).alias("after"))
+    # The last and first page of each host in a bucket meet across the cut; only hosts that a cut parts have rows here.
+    place = F.struct("sort_key", "key")
+    ends = placed.groupBy("host", "_bucket").agg(F.min_by("page", place).alias("first"), F.max_by("page", place).alias("last"))
+    buckets = Window.partitionBy("host").orderBy("_bucket")
+    ends = ends.select("host", "_bucket", F.lag("last").over(buckets).alias("_last"), F.lead("first").over(buckets).alias("_first"))
+    near = near.join(ends.where("_last IS NOT NULL OR _first IS NOT NULL"), ["host", "_bucket"], "left")
+    near = near.select("key", "page", F.coalesce("before", "_last").alias("before"), F.coalesce("after", "_first").alias("after"))
 
     def run(batches):
         for batch in batches:
