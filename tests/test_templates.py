@@ -78,6 +78,18 @@ def test_mining_finds_the_shapes_at_any_group_size(spark, at_once, monkeypatch):
     assert sum(1 for s in shapes if " " not in s) == 75
 
 
+@pytest.mark.parametrize("at_once", [400, 2000])
+def test_rare_signatures_of_a_large_leaf_join(spark, at_once, monkeypatch):
+    """1,200 frequent signatures that resemble nothing stand before two rare ones that are alike."""
+    monkeypatch.setattr(mining, "SIGNATURES_AT_ONCE", at_once)
+    words = lambda k: [f"a{k // 100}", f"b{k % 100}", *"******"]
+    rows = [("big", 8, [x if x != "*" else "<*>" for x in words(k)], 5, k) for k in range(1200)]
+    rows += [("big", 8, [*"pqrs", *["<*>"] * 4], 1, 5000), ("big", 8, [*"pqrt", *["<*>"] * 4], 1, 5001), ("small", 1, ["<*>"], 9, 6000)]
+    signatures = spark.createDataFrame(rows, "leaf string, size int, signature array<string>, m long, id long")
+    got = {r.id: r.up for r in mining._joined(signatures, 0.375).collect()}
+    assert got == {5001: 5000}
+
+
 def test_mining_a_leaf_of_many_messages(spark):
     """One leaf of 100,000 messages: one frequent template, one rare one, and two parameters with recurring values."""
     ids = spark.range(100_000)

@@ -7,13 +7,16 @@ order, partitions or tasks:
 2. At each position of a leaf, tokens that two or more messages share may be constants: the ``max_children`` most
    frequent ones. A message's signature keeps its constants and has wildcards elsewhere. A message with fewer constants
    than ``sim_th`` of its length resembles no other and is a template of its own.
-3. Signatures of a leaf stand in the order of their message counts. Each joins the most similar one before it (equal
-   constants over length, at least ``sim_th``), among the ``candidates`` first of its leaf; joined signatures form a cluster.
+3. Signatures of a leaf stand in the order of their message counts. Each joins the most similar one of all before it (equal
+   constants over length, at least ``sim_th``); joined signatures form a cluster.
 4. A cluster's template keeps a token where all of its messages agree.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +25,10 @@ from tracemill.operators import templates
 from tracemill.operators.lookup import lookup
 from tracemill.session import broadcast_if_small, materialise
 
-CANDIDATES = 1000
-# Signatures of one leaf that meet its candidates in one group.
+# Signatures of one leaf in a block; two blocks meet in one group.
 SIGNATURES_AT_ONCE = 2000
+# Signatures compared with a block in one step.
+ROWS_AT_ONCE = 256
 BROADCAST_LEAVES = 2_000
 
 
@@ -77,18 +81,52 @@ def _with_signatures(placed: DataFrame, max_children: int, sim_th: float) -> Dat
     return signed.withColumn("alone", count < F.lit(float(sim_th)) * F.col("size")).drop("constants")
 
 
-def _joined(signatures: DataFrame, sim_th: float, candidates: int) -> DataFrame:
-    """(id, up): the earlier signature of its leaf that each of ``signatures`` (leaf, size, signature, m, id) joins."""
+def _best_above(pairs: DataFrame, sim_th: float) -> DataFrame:
+    """(id, up, equal, place): for each signature of block ``_high`` its most similar earlier one of block ``_low``, by groups of two blocks."""
+
+    def run(batch: pa.Table) -> pa.Table:
+        size = batch.column("size")[0].as_py()
+        codes = pc.dictionary_encode(pc.list_flatten(batch.column("signature")).combine_chunks())
+        words = np.append(codes.dictionary.to_numpy(zero_copy_only=False), WILDCARD) == WILDCARD
+        tokens = codes.indices.to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
+        held = ~words[tokens]
+        place, block, ids = (batch.column(c).to_numpy() for c in ("_rank", "_block", "id"))
+        low, high = batch.column("_low")[0].as_py(), batch.column("_high")[0].as_py()
+        above, rows = (np.flatnonzero(block == b) for b in (low, high))
+        above = above[np.argsort(place[above])]
+        found: tuple[list, ...] = ([], [], [], [])
+        for first in range(0, len(rows), ROWS_AT_ONCE):
+            part = rows[first : first + ROWS_AT_ONCE]
+            equal = np.zeros((len(part), len(above)), np.int32)
+            for at in range(size):
+                own, its = np.flatnonzero(held[part, at]), np.flatnonzero(held[above, at])
+                if len(own) and len(its):
+                    equal[np.ix_(own, its)] += tokens[part[own], at][:, None] == tokens[above[its], at]
+            equal[place[above] >= place[part][:, None]] = -1
+            best = equal.argmax(1)  # the earliest of equally similar ones
+            most = equal[np.arange(len(part)), best]
+            take = most >= max(0.0, float(sim_th) * size)
+            for column, values in zip(found, (ids[part], ids[above[best]], most, place[above[best]])):
+                column.append(values[take])
+        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in found], ["id", "up", "equal", "place"])
+
+    return pairs.groupBy("leaf", "_high", "_low").applyInArrow(run, "id long, up long, equal long, place long")
+
+
+def _joined(signatures: DataFrame, sim_th: float) -> DataFrame:
+    """(id, up): the earlier signature of its leaf that each of ``signatures`` (leaf, size, signature, m, id) joins.
+
+    All pairs of a leaf are compared: its signatures fall into blocks by rank, and each two blocks meet in one group.
+    """
     ranked = signatures.withColumn("_rank", F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("m"), "id")))
-    ranked = materialise(ranked.withColumn("_groups", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("leaf")) / SIGNATURES_AT_ONCE).cast("int")))
-    first = ranked.where(F.col("_rank") <= candidates).select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_group"), F.col("id").alias("up"), F.col("signature").alias("_above"), F.col("_rank").alias("_place")
+    ranked = ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / SIGNATURES_AT_ONCE).cast("int"))
+    ranked = materialise(ranked.withColumn("_blocks", F.max("_block").over(Window.partitionBy("leaf")) + 1))
+    several = ranked.select("leaf", "size", "signature", "_rank", "_block", "id", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    pairs = several.select(
+        "leaf", "size", "signature", F.col("_rank").cast("long").alias("_rank"), "_block", "id", F.greatest("_block", "_other").alias("_high"), F.least("_block", "_other").alias("_low")
     )
-    rows = ranked.withColumn("_group", F.pmod(F.xxhash64("id"), "_groups").cast("int"))
-    equal = F.size(F.filter(F.zip_with("signature", "_above", lambda a, b: (a == b) & (a != WILDCARD)), lambda same: same))
-    pairs = rows.join(first, ["leaf", "_group"]).where(F.col("_place") < F.col("_rank")).withColumn("_equal", equal)
-    pairs = pairs.where(F.col("_equal") >= F.lit(float(sim_th)) * F.col("size"))
-    return pairs.groupBy("id").agg(F.min_by("up", F.struct(-F.col("_equal"), F.col("_place"))).alias("up"))
+    best = _best_above(pairs, sim_th)
+    return best.groupBy("id").agg(F.min_by("up", F.struct(-F.col("equal"), F.col("place"))).alias("up"))
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -102,9 +140,7 @@ def _roots(links: DataFrame) -> DataFrame:
             return at.withColumnRenamed("up", "cluster")
 
 
-def cluster_messages(
-    messages: DataFrame, depth: int = 4, sim_th: float = 0.4, max_children: int = 100, candidates: int = CANDIDATES
-) -> DataFrame:
+def cluster_messages(messages: DataFrame, depth: int = 4, sim_th: float = 0.4, max_children: int = 100) -> DataFrame:
     """Cluster of each distinct message: ``(masked, cluster)``, the cluster named by the first line of one of its messages.
 
     ``messages`` holds ``(masked, n, first_line)``, one row per distinct message.
@@ -114,7 +150,7 @@ def cluster_messages(
     alone = signed.where("alone").select("masked", F.col("first_line").alias("cluster"))
     alike = signed.where("NOT alone")
     signatures = materialise(alike.groupBy("leaf", "size", "signature").agg(F.count(F.lit(1)).alias("m"), F.min("first_line").alias("id")))
-    roots = _roots(_joined(signatures, sim_th, candidates))
+    roots = _roots(_joined(signatures, sim_th))
     named = signatures.select("leaf", "signature", "id").join(roots, "id", "left").select("leaf", "signature", F.coalesce("cluster", "id").alias("cluster"))
     return alone.unionByName(alike.join(named, ["leaf", "signature"]).select("masked", "cluster"))
 
@@ -130,9 +166,7 @@ def _final_templates(members: DataFrame) -> DataFrame:
     return parts.select("cluster", F.concat_ws(" ", F.transform("_parts", lambda p: p["_token"])).alias("event_template"))
 
 
-def mine_messages(
-    parsed: DataFrame, depth: int = 4, sim_th: float = 0.4, max_children: int = 100, candidates: int = CANDIDATES
-) -> DataFrame:
+def mine_messages(parsed: DataFrame, depth: int = 4, sim_th: float = 0.4, max_children: int = 100) -> DataFrame:
     """Event of each distinct masked message: ``(masked, n, event_id, event_template)``, stored.
 
     Lines are reduced to distinct messages first; all mining works on those. ``line_id`` must be unique.
@@ -142,7 +176,7 @@ def mine_messages(
     )
     if not distinct.groupBy("first_line").count().where("count > 1").isEmpty():
         raise ValueError("line_id is not unique: two messages begin at one line")
-    clustered = cluster_messages(distinct, depth, sim_th, max_children, candidates)
+    clustered = cluster_messages(distinct, depth, sim_th, max_children)
     members = materialise(distinct.join(clustered, "masked"))
     first = members.groupBy("cluster").agg(F.min("first_line").alias("first_line"))
     named = templates.with_event_ids(materialise(first.join(_final_templates(members), "cluster")))
