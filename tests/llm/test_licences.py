@@ -60,3 +60,30 @@ def test_templates_match_themselves(spark):
     rows = [(k, f"before {t} after", "", 0) for k, t in enumerate(l.TEMPLATES.values())]
     got = {r.doc_id: r.licence for r in l.scan(spark.createDataFrame(rows, SCHEMA)).orderBy("word_at").collect()}
     assert got == dict(enumerate(l.TEMPLATES))
+
+
+def test_similar_licences_are_told_apart(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
+    bsd3 = l.TEMPLATES["BSD-3-Clause-numbered"]
+    want = {
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        gnu.format("General Public License", 2): "GPL-2.0",
+        gnu.format("General Public License", 3): "GPL-notice",
+        gnu.format("Lesser General Public License", 3): "LGPL-3.0",
+        gnu.format("Affero General Public License", 3): "AGPL-3.0",
+        bsd3.replace("the copyright holder nor", "Some Company Inc. nor"): "BSD-3-Clause",
+        bsd3.replace("the copyright holder nor", "Some Company Inc. nor").replace("1. ", "").replace("2. ", "").replace("3. ", ""): "BSD-3-Clause",
+        l.TEMPLATES["BSD-2-Clause"] + l.TEMPLATES["BSD-3-Clause"].split("WARRANTIES", 1)[1]: "BSD-2-Clause",
+        l.TEMPLATES["GPL-3.0"].replace("Preamble", "Foreword"): "GPL-3.0",
+        l.TEMPLATES["GPL-2.0"]: "GPL-2.0",
+        l.TEMPLATES["MPL-2.0"]: "MPL-2.0",
+    }
+    rows = [(k, t, "", 0) for k, t in enumerate(want)]
+    got = {}
+    for r in l.scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r.doc_id, []).append(r.licence)
+    for k, (text, name) in enumerate(want.items()):
+        assert len(got.get(k, [])) == 1 and got[k][0].startswith(name), (text[:80], got.get(k))

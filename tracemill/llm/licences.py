@@ -8,6 +8,7 @@ a template's bigrams in all is not compared with it.
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Mapping
 
 import numpy as np
@@ -20,7 +21,60 @@ from tracemill.llm import words
 
 DICE = 0.8
 
-# Notices by which the texts of public licences are put on a work.
+# Whole texts in the folder licence_texts, without the appendices that hold notices.
+WHOLE = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
+# Names of licences as short mentions have them, in each of the forms.
+FORMS = ("Licensed under {}.", "Released under {}.", "This work is licensed under {}.")
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("the MIT License", "the MIT licence"),
+    "ISC": ("the ISC License",),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache-2.0"),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "the 2-Clause BSD License", "the Simplified BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "the 3-Clause BSD License", "the New BSD License", "BSD-3-Clause"),
+    "MPL-2.0": ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "MPL-2.0"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "the Creative Commons CC0 1.0 Universal Public Domain Dedication"),
+    **{
+        f"{short}-{version}": tuple(f"the GNU {long} Public License{word}{v}" for word in (", version ", " v") for v in ((version, version[0]) if version.endswith(".0") else (version,)))
+        + (f"the {short}, version {version[0] if version.endswith('.0') else version}", f"{short} v{version[0] if version.endswith('.0') else version}", f"{short}-{version}")
+        for short, long, version in (
+            ("GPL", "General", "2.0"), ("GPL", "General", "3.0"), ("LGPL", "Lesser General", "2.1"), ("LGPL", "Lesser General", "3.0"), ("AGPL", "Affero General", "3.0")
+        )
+    },
+    **{
+        f"CC-{short}-{version}": (f"CC {short} {version}", f"a Creative Commons {long} {version} {kind} License", f"the Creative Commons {long} {version} {kind} License")
+        for version, kind in (("4.0", "International"), ("3.0", "Unported"))
+        for short, long in (
+            ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+            ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+    },
+}
+
+_GNU = (
+    "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software Foundation{3} "
+    "either version {4} of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY "
+    "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2} for more details."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "{0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "{1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "{2}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_BEGINS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'
+_BSD_ENDS = (
+    ", INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED "
+    "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF "
+    "THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+# Notices by which the texts of public licences are put on a work, short licences, and parts that tell similar ones apart.
 TEMPLATES: dict[str, str] = {
     "MIT-mention": "Released under the MIT License.",
     "Apache-2.0-mention": "Licensed under the Apache License, Version 2.0.",
@@ -46,15 +100,42 @@ TEMPLATES: dict[str, str] = {
     "portions of the Software.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
     "the above copyright notice and this permission notice appear in all copies.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-    "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
-    "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
-    "in the documentation and/or other materials provided with the distribution.",
+    # With the first words of the disclaimer, so that a text with a third clause is more like BSD-3-Clause.
+    "BSD-2-Clause": _BSD.format("", "") + _BSD_BEGINS,
+    "BSD-2-Clause-numbered": _BSD.format("1. ", "2. ") + _BSD_BEGINS,
+    "BSD-3-Clause": (_BSD + _BSD_NAMES).format("", "", "") + _BSD_BEGINS + _BSD_ENDS,
+    "BSD-3-Clause-numbered": (_BSD + _BSD_NAMES).format("1. ", "2. ", "3. ") + _BSD_BEGINS + _BSD_ENDS,
+    "GPL-2.0-notice": _GNU.format("program", ";", "General Public License", ";", "2"),
+    "LGPL-2.1-notice": _GNU.format("library", ";", "Lesser General Public License", ";", "2.1"),
+    "LGPL-3.0-notice": _GNU.format("program", ":", "Lesser General Public License", ",", "3"),
+    "LGPL-3.0-notice-library": _GNU.format("library", ":", "Lesser General Public License", ",", "3"),
+    "AGPL-3.0-notice": _GNU.format("program", ":", "Affero General Public License", ",", "3"),
+    # The whole text is otherwise that of GPL-3.0 but for its preamble.
+    "AGPL-3.0-section-13": "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all "
+    "users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding "
+    "Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of "
+    "facilitating copying of software.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
     "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and "
     "by any means.",
 }
 
+
+
+def _catalogue() -> dict[str, str]:
+    """The templates above, the whole texts, and each name in each form; of equal words the first is kept."""
+    made = TEMPLATES | {name: pkgutil.get_data("tracemill.llm", f"licence_texts/{name}.txt").decode() for name in WHOLE}
+    for name, names in NAMES.items():
+        for k, text in enumerate(form.format(one) for one in names for form in FORMS):
+            made.setdefault(f"{name}-mention{f'-{k}' if k or f'{name}-mention' in TEMPLATES else ''}", text)
+    first: dict[str, str] = {}
+    for name, text in made.items():
+        first.setdefault(" ".join("".join(c if c.isalnum() else " " for c in text.lower()).split()), name)
+    return {name: made[name] for name in first.values()}
+
+
+TEMPLATES = _catalogue()
+
 SCHEMA = "doc_id long, licence string, dice double, word_at long, n_words long, quote string"
 # ASCII characters other than letters and digits part words, in place of white space alone.
 _PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -99,24 +180,31 @@ def spans(every: np.ndarray, at: list[int], size: int, least: float) -> list[tup
     ``every``: the text's bigrams; ``at``: the positions of those that the template has; ``size``: its distinct bigrams.
     """
     low, high = least / (2 - least) * size, (2 - least) / least * size
-    held = set(at)
     out = []
-    for k, first in enumerate(at):
-        seen: set[int] = set()
-        common, best, p = 0, (0.0, 0), first
-        last = at[-1]
-        while p <= last and len(seen) <= high:
-            gram = int(every[p])
-            if gram not in seen:
-                seen.add(gram)
-                common += p in held
-            if p in held and low <= len(seen) <= high:
-                dice = 2 * common / (len(seen) + size)
-                if dice >= least and dice > best[0]:
-                    best = (dice, p)
-            p += 1
-        if best[0]:
-            out.append((best[0], first, best[1]))
+    if not at:
+        return out
+    end = at[-1] + 1
+    held = np.zeros(end, bool)
+    held[at] = True
+    # Place of the same bigram before each: a bigram is new in a stretch if that lies before it.
+    order = np.argsort(every[:end], kind="stable")
+    before = np.full(end, -1, np.int64)
+    same = every[order[1:]] == every[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    for first in at:
+        length = int(2 * high) + 2
+        while True:
+            to = min(end, first + length)
+            new = before[first:to] < first
+            seen = np.cumsum(new)
+            if to == end or seen[-1] > high:
+                break
+            length *= 2
+        common = np.cumsum(new & held[first:to])
+        dice = np.where(held[first:to] & (seen >= low) & (seen <= high), 2 * common / (seen + size), 0.0)
+        best = int(dice.argmax())
+        if dice[best] >= least and dice[best] > 0:
+            out.append((float(dice[best]), first, first + best))
     return out
 
 
