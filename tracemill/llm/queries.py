@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat, compression, html_diff, langid, licences, mixing, ngram_join, sharding, tiling, warc
+from tracemill.llm import chat, compression, html_diff, langid, licences, mixing, ngram_join, sharding, simhash, tiling, warc
 from tracemill.session import scratch_folder
 from tracemill.queries import Registry
 
@@ -155,3 +155,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Word counts, base rules and compression verdict of each document."""
     return compression.measures(table(spark, folder, "documents"))
+
+
+@REGISTRY.add("op11_simhash_near_dedup")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 64-bit fingerprints differ in at most two bits."""
+    found = simhash.classes(table(spark, folder, "documents"), size=3, most=2)
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
