@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat, compression, html_diff, langid, licences, mixing, ngram_join, sharding, simhash, tiling, warc
+from tracemill.llm import chat, compression, gnat, html_diff, langid, licences, mixing, ngram_join, periodic, sharding, simhash, tiling, warc
 from tracemill.session import scratch_folder
 from tracemill.queries import Registry
 
@@ -162,3 +162,66 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 64-bit fingerprints differ in at most two bits."""
     found = simhash.classes(table(spark, folder, "documents"), size=3, most=2)
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): one document in ten repeats a part of itself up to its end; the others are as they were."""
+    split = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    split = split.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    split = split.withColumns({"n": F.size("words"), "g": F.floor(F.col("h") / 10)})
+    split = split.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    split = split.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    changed = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), F.col("n") - F.col("a")))
+    return split.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@REGISTRY.add("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in each document, and digests of them and of the text without the repeats."""
+    found = periodic.runs(with_repeats(table(spark, folder, "documents")), least=24, times=3)
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    more = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    found = found.withColumn("best", F.aggregate("runs", none, lambda best, r: F.when(more(best, r), r).otherwise(best)))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+HARD_NEGATIVES_SQL = """
+    WITH rows AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scores AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+        FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+    ),
+    positives AS (
+        SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+    )
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+        id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scores USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10
+"""
+
+
+@REGISTRY.add("op13_hard_negatives", HARD_NEGATIVES_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of one row in a hundred, among rows of other labels that are less alike than its nearest of the same."""
+    rows = table(spark, folder, "embeddings")
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    rows = rows.where(finite).select("vec_id", label.alias("label"), vector.alias("vector"))
+    return gnat.mine(rows, F.col("vec_id") % 100 == 0)
