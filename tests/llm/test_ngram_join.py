@@ -1,6 +1,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from tracemill.llm import ngram_join
@@ -45,15 +46,49 @@ def test_against_all_pairs(spark, monkeypatch, size, percent, postings, block):
 
 
 def test_edges(spark):
-    rows = [(5, "a b c d", None, None), (5, "a b c d", None, None), (2, "A B C D", "t", 1), (None, "a b c d", None, 3), (9, None, None, None)]
+    rows = [(5, "a b c d", None, None), (5, "a b c d", None, None), (2, "A B C D", "t", 1), (None, "a b c d", None, 3), (9, None, None, None), (9, None, None, 4)]
     got = ngram_join.classes(spark.createDataFrame(rows, SCHEMA), 3, 90).collect()
-    assert sorted(map(tuple, got), key=str) == sorted([(5, 2, 2), (5, 2, 2), (2, 2, 2), (None, 0, None), (9, 0, 9)], key=str)
+    assert sorted(map(tuple, got), key=str) == sorted([(5, 2, 2), (5, 2, 2), (2, 2, 2), (None, 0, None), (9, 0, 9), (9, 0, 9)], key=str)
     kept = ngram_join.one_of_each(spark.createDataFrame(rows, SCHEMA), 3, 90)
     assert sorted((r.doc_id, r.token) for r in kept.where("doc_id IS NOT NULL").collect()) == [(2, "t"), (9, None)]
     assert kept.where("doc_id IS NULL").count() == 1 and kept.columns == ["doc_id", "text", "token", "rep"]
     assert ngram_join.classes(spark.createDataFrame([], SCHEMA), 3, 90).count() == 0
 
 
+def test_one_id_and_several_texts(spark):
+    """Rows are told apart by their text, not by their id alone: an unlike row does not go with its namesake."""
+    x, y, z = "a b c d e f", "p q r s t u v", "1 2 3 4 5"
+    rows = [(1, x, "1x", 0), (2, x, "2x", 0), (2, y, "2y", 0), (3, z, "3z", 0), (3, z.replace("1", "1 "), "3z again", 0), (3, "", "3 empty", 0), (2, y, "2y", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.classes(df, 3, 90).collect())
+    assert got == [(1, 4, 1), (2, 4, 1), (2, 5, 2), (2, 5, 2), (3, 0, 3), (3, 3, 3), (3, 3, 3)]
+    for _ in range(2):
+        kept = sorted(r.token[:2] for r in ngram_join.one_of_each(df, 3, 90).collect())
+        assert kept == ["1x", "2y", "3 ", "3z"]
+
+
+def test_a_token_of_very_many(spark, monkeypatch):
+    """Every token counts as one of very many hits: nothing is dealt out by token, the links are the same."""
+    monkeypatch.setattr(ngram_join, "HOT_HITS", 0)
+    rows = corpus(3)
+    got = ngram_join.classes(spark.createDataFrame(rows, SCHEMA), 3, 90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components([(r[0], r[1]) for r in rows], 3, 90)
+
+
+def test_pairs_pass_both_filters():
+    """Pairs that share no prefix token under one of the orders are not verified, and no link is lost by it."""
+    rng = random.Random(2)
+    grade = np.array([[rng.randrange(256) for _ in range(1 << 12)] for _ in (0, 1)], np.uint8)
+    sets = [np.unique(np.array([rng.randrange(1, 1 << 62) for _ in range(rng.randrange(1, 40))], np.uint64)) for _ in range(20)]
+    for _ in range(60):
+        s = sets[rng.randrange(20)]
+        sets.append(np.unique(np.concatenate((s[rng.randrange(3) :], np.array([rng.randrange(1, 1 << 62) for _ in range(rng.randrange(3))], np.uint64)))))
+    with np.errstate(over="ignore"):
+        found = set(ngram_join._links_of(sets, sets, 80, grade))
+    size = lambda a, b: len(np.intersect1d(a, b))
+    assert found == {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * size(a, b) >= 80 * (len(a) + len(b) - size(a, b))}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(8, 60)] + [(1, 1), (None, 3), (7, 8)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}

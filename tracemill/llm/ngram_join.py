@@ -3,13 +3,15 @@
 Two shingle sets with Jaccard similarity of at least t share a token among the first ``n - ceil(t n) + 1`` tokens of
 both, whatever total order the tokens are sorted by. Two orders are used, both putting rare tokens first (frequencies
 are counted over the whole corpus into a table of fixed size; a collision moves a token, it never loses a pair) and
-breaking ties by unrelated hashes. A pair is a candidate when it shares a prefix token under both orders and its sizes
-allow the threshold. Candidates are gathered into families, whose texts travel once, and every pair of a family is
-verified on whole sets.
-
-Tokens that more than ``MAX_POSTINGS`` documents have in their prefix name no pairs: their documents form a family at
-once, and a family is verified in pairs of blocks of bounded size. A family that needs more than one block is first
-verified within blocks; after that, documents of its largest class need no test among themselves.
+breaking ties by unrelated hashes. A pair is verified on whole sets when its sizes allow the threshold and it shares a
+prefix token under both orders.
+
+Rows with equal sets form a class, named by a hash of its set, so rows that share a doc_id but not a text are told apart. One
+shuffle brings the prefix tokens of the first order together. Classes that share one, and whose marks of the second order
+(64 bits) meet, fall into one family. A token that more than ``MAX_POSTINGS`` classes share becomes a node that all of them
+are tied to, instead of naming their pairs; tokens whose counter shows thousands of hits do so at once and do not travel by
+their key. A family's texts travel once, and its pairs pass both filters there, in pairs of blocks of bounded size. A family
+of several blocks is first verified within blocks; after that, members of its largest class need no test among themselves.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm import words
-from tracemill.llm.graph import Kept, components, large_partitions
+from tracemill.llm.graph import components, forest, large_partitions
 from tracemill.session import broadcast_if_small, stored
 
-# Up to so many documents with one prefix token, pairs are named; beyond that they are verified block by block.
+# Up to so many classes with one prefix token, their pairs are named; beyond that they are tied to the token.
 MAX_POSTINGS = 32
+# A token whose counters have so many hits is tied to its classes without a shuffle by token.
+HOT_HITS = 1 << 14
 # A block holds about so many documents and so many shingles.
 BLOCK_DOCS = 128
 BLOCK_SHINGLES = 100_000
@@ -45,23 +49,26 @@ def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield words.shingle_set(found.of(k), size)
 
 
+def _class(s: np.ndarray) -> np.ndarray:
+    """The name of a set."""
+    return words.mixed(words.mixed(s, 3).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)), 4).view(np.int64)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, sig_a, sig_b) of each row; rows with equal sets have equal signatures."""
+    """(doc_id, text_key, n_shingles, class) of each row; rows with equal sets have one class."""
 
     def run(batches):
         for batch in batches:
-            n, a, b = [], [], []
+            n, names = [], []
             with np.errstate(over="ignore"):
-                for s in _sets(batch.column(1), size):
+                for s in _sets(batch.column(2), size):
                     n.append(len(s))
-                    a.append(words.mixed(s, 3).sum(dtype=np.uint64))
-                    b.append(words.mixed(s, 4).sum(dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))],
-                ["doc_id", "n_shingles", "sig_a", "sig_b"],
-            )
+                    names.append(_class(s))
+            names = np.concatenate(names) if names else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(names)], ["doc_id", "text_key", "n_shingles", "class"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig_a long, sig_b long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    return keyed.mapInArrow(run, "doc_id long, text_key long, n_shingles long, class long")
 
 
 def _frequencies(docs: DataFrame, size: int, bits: int) -> np.ndarray:
@@ -114,185 +121,224 @@ def _cell(tokens: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (words.mixed(tokens, 20 + row) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _prefixes(docs: DataFrame, size: int, percent: int, grades: np.ndarray) -> DataFrame:
-    """(doc_id, first array<long>, second array<int>): prefix tokens under the two orders, the second ones shortened."""
-    shared = docs.sparkSession.sparkContext.broadcast(grades)
-    bits = int(grades.shape[1]).bit_length() - 1
+def _prefixes(s: np.ndarray, percent: int, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix tokens of a set under the first order, their grades, and those under the second order."""
+    keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
+    bits = int(grade.shape[1]).bit_length() - 1
+    rare = np.minimum(grade[0][_cell(s, 0, bits)], grade[1][_cell(s, 1, bits)])
+    first = np.lexsort((s, rare))[:keep]
+    other = words.mixed(s, 5)
+    # The second order has coarser grades, so that its hash decides more often.
+    return s[first], rare[first], other[np.lexsort((other, rare >> np.uint8(3)))[:keep]]
+
+
+def _postings(docs: DataFrame, size: int, percent: int, grades) -> DataFrame:
+    """(key, token, class, n, marks): a row for each prefix token of the first order, with the size of its set.
+
+    ``key`` deals the rows out: it is the token, but a value of its own in each row of a token with very many hits, whose rows
+    carry the size with a minus sign.
+    """
+    hot = int(8 * np.log2(1 + HOT_HITS))
 
     def run(batches):
-        grade = shared.value
+        grade = grades.value
         for batch in batches:
-            first, second, sizes = [], [], []
+            parts: list[tuple] = []
             with np.errstate(over="ignore"):
-                for s in _sets(batch.column(1), size):
-                    keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
-                    rare = np.minimum(grade[0][_cell(s, 0, bits)], grade[1][_cell(s, 1, bits)])
-                    first.append(s[np.lexsort((s, rare))[:keep]])
-                    other = words.mixed(s, 5)
-                    # The second order has coarser grades, so that its hash decides more often.
-                    second.append((other[np.lexsort((other, rare >> np.uint8(3)))[:keep]] >> np.uint64(32)).astype(np.uint32))
-                    sizes.append(keep)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-            flat = lambda parts, kind: np.concatenate(parts).view(kind)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.ListArray.from_arrays(offsets, pa.array(flat(first, np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(flat(second, np.int32))),
-                ],
-                ["doc_id", "first", "second"],
-            )
-
-    return docs.mapInArrow(run, "doc_id long, first array<long>, second array<int>")
-
-
-def _links_of(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Links between two lists of (id, set), as a spanning forest of them."""
-    ids = [i for i, _ in left] + [i for i, _ in right]
-    sizes = np.array([len(s) for _, s in left] + [len(s) for _, s in right], np.int64)
-    at = np.repeat(np.arange(len(ids)), sizes)
-    tokens = np.concatenate([s for _, s in left] + [s for _, s in right])
+                for s in _sets(batch.column(0), size):
+                    if not len(s):
+                        continue
+                    first, rare, second = _prefixes(s, percent, grade)
+                    name = _class(s)
+                    marks = np.bitwise_or.reduce(np.uint64(1) << (second >> np.uint64(58)))
+                    often = rare >= hot
+                    key = np.where(often, words.mixed(first, 6) + name.view(np.uint64), first)
+                    n = np.where(often, -len(s), len(s))
+                    parts.append((key, first, np.repeat(name, len(first)), n, np.repeat(marks, len(first))))
+            if parts:
+                key, token, name, n, marks = (np.concatenate(c) for c in zip(*parts))
+                columns = [pa.array(c.view(np.int64)) for c in (key, token, name)] + [pa.array(n, pa.int64()), pa.array(marks.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "token", "class", "n", "marks"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, token long, class long, n long, marks long")
+
+
+def _ties(postings: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): classes that share a token under the first order and may do so under the second, or a class and a token of many."""
+    columns = ["key", "token", "class", "n", "marks"]
+
+    def tied(c: dict) -> pa.RecordBatch:
+        """From whole groups of rows, sorted by key and class."""
+        new = np.ones(len(c["key"]), bool)
+        new[1:] = (c["key"][1:] != c["key"][:-1]) | (c["class"][1:] != c["class"][:-1])
+        c = {k: v[new] for k, v in c.items()}
+        group = np.cumsum(np.concatenate(([0], c["key"][1:] != c["key"][:-1]))) if len(c["key"]) else np.zeros(0, np.int64)
+        members = np.bincount(group)[group] if len(group) else group
+        many = (members > MAX_POSTINGS) | (c["n"] < 0)
+        src, dst = [c["class"][many]], [words.mixed(c["token"][many].view(np.uint64), 9).view(np.int64)]
+        for d in range(1, min(MAX_POSTINGS, len(group))):
+            i = np.flatnonzero((group[d:] == group[:-d]) & ~many[d:])
+            if not len(i):
+                break
+            n, m = c["n"][i], c["n"][i + d]
+            i = i[(100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (c["marks"][i] & c["marks"][i + d] != 0)]
+            src.append(c["class"][i])
+            dst.append(c["class"][i + d])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (src, dst)], ["src", "dst"])
+
+    def run(batches):
+        held = None
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                now = {c: batch.column(k).to_numpy() for k, c in enumerate(columns)}
+                if held is not None:
+                    now = {c: np.concatenate((held[c], now[c])) for c in columns}
+                last = int(np.searchsorted(now["key"], now["key"][-1]))
+                if len(now["key"]) - last > MAX_POSTINGS and len(np.unique(now["class"][last:])) > MAX_POSTINGS:
+                    # A group of many is known as such: its rows need not wait, but for as many as mark it.
+                    yield tied(now)
+                    distinct = np.unique(now["class"][last:], return_index=True)[1][: MAX_POSTINGS + 1] + last
+                    held = {c: v[distinct] for c, v in now.items()}
+                    continue
+                if last:
+                    yield tied({c: v[:last] for c, v in now.items()})
+                held = {c: v[last:] for c, v in now.items()}
+            if held is not None:
+                yield tied(held)
+
+    return postings.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "src long, dst long")
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set on the left has in common with each on the right."""
+    sizes = np.array([len(s) for s in left + right], np.int64)
+    n, at = len(left), np.repeat(np.arange(len(sizes)), sizes)
+    tokens = np.concatenate([*left, *right])
     order = np.argsort(tokens, kind="stable")
     tokens, at = tokens[order], at[order]
+    out = np.zeros((n, len(right)), np.float32)
+    if not len(tokens):
+        return out.astype(np.int64)
     column = np.cumsum(np.concatenate(([0], tokens[1:] != tokens[:-1])))
     # Only tokens of two or more sets count for an intersection.
     often = np.bincount(column)[column] > 1
     column, at = column[often], at[often]
     if not len(column):
-        return []
+        return out.astype(np.int64)
     column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
-    n = len(left)
-    common = np.zeros((n, len(right)), np.float32)
     width = 4096
     for c in range(0, int(column[-1]) + 1, width):
         here = slice(*np.searchsorted(column, (c, c + width)))
-        dense = np.zeros((len(ids), width), np.float32)
+        dense = np.zeros((len(sizes), width), np.float32)
         dense[at[here], column[here] - c] = 1
-        common += dense[:n] @ dense[n:].T
-    common = common.astype(np.int64)
-    linked = 100 * common >= percent * (sizes[:n, None] + sizes[None, n:] - common)
-    root = {i: i for i in ids}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    forest = []
-    for a, b in zip(*np.nonzero(linked)):
-        x, y = ids[a], ids[n + b]
-        if x != y and find(x) != find(y):
-            root[find(x)] = find(y)
-            forest.append((x, y))
-    return forest
+        out += dense[:n] @ dense[n:].T
+    return out.astype(np.int64)
+
+
+def _links_of(left: list[np.ndarray], right: list[np.ndarray], percent: int, grade: np.ndarray) -> list[tuple[int, int]]:
+    """Links (places in left, in right) between two lists of sets, of the pairs that pass the filters under both orders."""
+    n, m = (np.array([len(s) for s in side], np.int64) for side in (left, right))
+    pairs = 100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m)
+    prefixes = [[_prefixes(s, percent, grade) for s in side] for side in (left, right)]
+    for order in (0, 2):
+        if pairs.any():
+            pairs &= _common([p[order] for p in prefixes[0]], [p[order] for p in prefixes[1]]) > 0
+    rows, columns = np.flatnonzero(pairs.any(1)), np.flatnonzero(pairs.any(0))
+    if not len(rows):
+        return []
+    common = _common([left[k] for k in rows], [right[k] for k in columns])
+    linked = pairs[np.ix_(rows, columns)] & (100 * common >= percent * (n[rows][:, None] + m[columns] - common))
+    return [(int(rows[a]), int(columns[b])) for a, b in zip(*np.nonzero(linked))]
 
 
-def _verified(tasks: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (src, dst) within tasks (family, i, j, doc_id, text, side): all of side 0 against all of side 1."""
+def _verified(tasks: DataFrame, size: int, percent: int, grades) -> DataFrame:
+    """Links (src, dst) within tasks (family, i, j, text, side): all of side 0 against all of side 1, of side 2 among
+    themselves; as many as connect the same classes."""
 
     def run(table: pa.Table) -> pa.Table:
-        sides: tuple[list, list] = ([], [])
-        seen: set[tuple[int, int]] = set()
         column = table.column("text").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        sides: tuple[dict, dict] = ({}, {})
         with np.errstate(over="ignore"):
-            for doc_id, side, s in zip(table.column("doc_id").to_pylist(), table.column("side").to_pylist(), _sets(column, size)):
-                for to in ((0, 1) if side == 2 else (side,)):
-                    if (doc_id, to) not in seen:
-                        seen.add((doc_id, to))
-                        sides[to].append((doc_id, s))
-        found = _links_of(*sides, percent) if sides[0] and sides[1] else []
-        return pa.table({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
+            for side, s in zip(table.column("side").to_pylist(), _sets(column, size)):
+                for to in (0, 1) if side == 2 else (side,):
+                    if len(s):
+                        sides[to].setdefault(int(_class(s)[0]), s)
+            names = [list(side) for side in sides]
+            found = _links_of(*([side[k] for k in name] for side, name in zip(sides, names)), percent, grades.value) if all(names) else []
+        ends = [(names[0][a], names[1][b]) for a, b in found if names[0][a] != names[1][b]]
+        nodes, roots = forest(*(np.array([e[k] for e in ends], np.int64) for k in (0, 1)))
+        return pa.table({"src": pa.array(nodes[nodes != roots]), "dst": pa.array(roots[nodes != roots])})
 
     return tasks.groupBy("family", "i", "j").applyInArrow(run, "src long, dst long")
 
 
-def links(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): classes (doc_id, n_shingles, rep), a row for each row of ``docs`` (doc_id long, text string);
-    links (src, dst) between representatives, enough of them to connect all that similar pairs connect.
+def links(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signed, classes, links): signed (doc_id, text_key, n_shingles, class) for each row of ``docs`` (doc_id long, text string);
+    classes (class, n_shingles, rep) of those with shingles, rep their smallest doc_id; links (src, dst) between classes, enough
+    of them to connect all that similar pairs connect.
 
-    Documents with equal sets form a class whose representative is its smallest doc_id. Rows with a null doc_id are
-    left out; null or empty texts have no shingles, and their own id as representative.
+    Rows with a null doc_id are left out; null or empty texts have no shingles and no class in ``classes``.
     """
-    kept = Kept()
     with large_partitions(docs.sparkSession):
-        out = _links(docs, size, percent, kept)
-    kept.release()
-    return out
-
-
-def _links(docs: DataFrame, size: int, percent: int, kept: Kept) -> tuple[DataFrame, DataFrame]:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    signed = kept(signatures(docs, size))
-    full = signed.where("n_shingles > 0")
-    reps = full.groupBy("n_shingles", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
-    joined = full.join(reps, ["n_shingles", "sig_a", "sig_b"]).select("doc_id", "n_shingles", "rep")
-    classes = stored(joined.union(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))))
+        return _links(docs, size, percent)
+
+
+def _links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    signed = stored(signatures(docs, size))
+    classes = stored(signed.where("n_shingles > 0").groupBy("class", "n_shingles").agg(F.min("doc_id").alias("rep")))
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     bits = min(24, max(12, int(total // TOKENS_PER_COUNTER).bit_length()))
-    prefixes = kept(_prefixes(docs, size, percent, _frequencies(docs.select("text"), size, bits)))
-
-    tokens = prefixes.select("doc_id", F.explode("first").alias("token"))
-    # A document has a token once, so one that comes twice is shared (or its row is repeated, which is sorted out below).
-    often = kept(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"))
-    ids = classes.where("n_shingles > 0").select("doc_id", "rep", "n_shingles").dropDuplicates(["doc_id"])
-    entries = (
-        tokens.join(often, "token")
-        .join(ids, "doc_id")
-        .select("token", "rep", "n_shingles")
-        .distinct()
-    )
-    entries = kept(entries)
-    sizes = entries.groupBy("token").agg(F.count("rep").alias("m"), F.min("rep").alias("least")).where("m > 1")
-    entries = stored(entries.join(sizes, "token"))
-
-    some = entries.where(F.col("m") <= MAX_POSTINGS)
-    one = some.select("token", F.col("rep").alias("src"), F.col("n_shingles").alias("n_src"))
-    two = some.select("token", F.col("rep").alias("dst"), F.col("n_shingles").alias("n_dst"))
-    fits = F.lit(100) * F.least("n_src", "n_dst") >= F.lit(percent) * F.greatest("n_src", "n_dst")
-    pairs = stored(one.join(two, "token").where((F.col("src") < F.col("dst")) & fits).select("src", "dst").distinct())
-    second = prefixes.select("doc_id", "second").dropDuplicates(["doc_id"])
-    second = kept(second.join(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    both = (
-        pairs.join(second.select(F.col("doc_id").alias("src"), F.col("second").alias("x")), "src")
-        .join(second.select(F.col("doc_id").alias("dst"), F.col("second").alias("y")), "dst")
-        .where(F.arrays_overlap("x", "y"))
-        .select("src", "dst")
-    )
-    hot = entries.where(F.col("m") > MAX_POSTINGS).select(F.col("rep").alias("src"), F.col("least").alias("dst"))
-    families = components(both.union(hot.distinct())).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    grades = docs.sparkSession.sparkContext.broadcast(_frequencies(docs.select("text"), size, bits))
+    families = components(_ties(_postings(docs, size, percent, grades), percent))
 
-    members = families.join(ids.where("doc_id = rep").select("rep", "n_shingles"), "rep")
-    shape = members.groupBy("family").agg(F.count("rep").alias("m"), F.sum("n_shingles").alias("n"))
+    members = stored(families.select(F.col("node").alias("class"), F.col("component").alias("family")).join(classes, "class"))
+    shape = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("n")).where("m > 1")
     shape = shape.select("family", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = kept(members.join(shape, "family").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")))
-    # Texts of family members; of rows that share a doc_id, the task takes one.
-    small = broadcast_if_small(members.select(F.col("rep").alias("doc_id"), "family", "block"), BROADCAST_ROWS)
-    within = docs.join(small, "doc_id").select("family", F.col("block").alias("i"), F.col("block").alias("j"), "doc_id", "text", F.lit(2).alias("side"))
-    found = stored(_verified(within, size, percent))
-    large = members.where("blocks > 1").select("family", "rep", "block", "blocks")
-    if large.limit(1).count():
-        found = stored(found.union(_between_blocks(large, docs, found, size, percent)))
-    return classes, found
-
-
-def _between_blocks(large: DataFrame, docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
+    members = members.join(stored(shape), "family").select("family", "class", F.col("rep").alias("doc_id"), "blocks", F.pmod(F.xxhash64("class"), "blocks").cast("int").alias("block"))
+    members = stored(members)
+    # One row's text for each class; rows of other classes that share its doc_id come along and only have links of their own.
+    rows = docs.join(broadcast_if_small(members.select("doc_id", "family", "block").distinct(), BROADCAST_ROWS), "doc_id")
+    within = rows.select("family", F.col("block").alias("i"), F.col("block").alias("j"), "text", F.lit(2).alias("side"))
+    found = stored(_verified(within, size, percent, grades))
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        found = found.union(_between_blocks(large, docs, found, size, percent, grades))
+    return signed, classes, found
+
+
+def _between_blocks(large: DataFrame, docs: DataFrame, found: DataFrame, size: int, percent: int, grades) -> DataFrame:
     """Links between blocks of families of several blocks, but for pairs of a family's largest class so far."""
-    so_far = components(found).select(F.col("node").alias("rep"), "component")
-    labelled = large.join(so_far, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    counts = labelled.groupBy("family", "component").agg(F.count("rep").alias("m"))
+    so_far = components(found).withColumnRenamed("node", "class")
+    labelled = large.join(so_far, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    counts = labelled.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy("family").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-    opened = labelled.join(main, "family").select("family", "rep", "block", "blocks", (F.col("component") != F.col("main")).alias("open"))
+    opened = labelled.join(main, "family").select("family", "doc_id", "block", "blocks", (F.col("component") != F.col("main")).alias("open"))
     # The open documents in blocks of their own, each against every block of the family.
-    groups = opened.where("open").groupBy("family").agg(F.ceil(F.count("rep") / BLOCK_DOCS).cast("int").alias("groups"))
-    placed = stored(opened.join(groups, "family").withColumnRenamed("rep", "doc_id"))
+    groups = opened.where("open").groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("groups"))
+    placed = stored(opened.join(groups, "family").groupBy("family", "doc_id", "block").agg(F.max("blocks").alias("blocks"), F.max("groups").alias("groups"), F.max("open").alias("open")))
     rows = docs.join(broadcast_if_small(placed, BROADCAST_ROWS), "doc_id")
     group = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), "groups").cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    right = rows.select("family", upto("groups").alias("i"), F.col("block").alias("j"), "doc_id", "text", F.lit(1).alias("side"))
-    left = rows.where("open").select("family", group.alias("i"), upto("blocks").alias("j"), "doc_id", "text", F.lit(0).alias("side"))
-    return _verified(left.union(right), size, percent)
+    right = rows.select("family", upto("groups").alias("i"), F.col("block").alias("j"), "text", F.lit(1).alias("side"))
+    left = rows.where("open").select("family", group.alias("i"), upto("blocks").alias("j"), "text", F.lit(0).alias("side"))
+    return _verified(left.union(right), size, percent, grades)
+
+
+def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component, component_id) for each row with a doc_id; ``component`` is null without shingles."""
+    signed, classes, found = links(docs, size, percent)
+    reached = components(found).withColumnRenamed("node", "class")
+    linked = stored(classes.join(reached, "class"))
+    least = stored(linked.groupBy("component").agg(F.min("rep").alias("least")))
+    named = linked.join(least, "component").select("class", "component", "least")
+    labels = classes.join(named, "class", "left").select("class", F.coalesce("component", "class").alias("component"), F.coalesce("least", "rep").alias("component_id"))
+    full = signed.where("n_shingles > 0").join(stored(labels), "class").select("doc_id", "text_key", "n_shingles", "component", "component_id")
+    bare = signed.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return full.union(bare)
 
 
 def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -301,11 +347,10 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     Two documents are linked when ``100 * intersection >= percent * union`` of their sets of distinct ``size``-word
     shingles (A-Z folded; with fewer words the whole sequence). ``component_id`` is the smallest doc_id that links
     reach. Null, empty and blank texts have 0 shingles and no link. Rows with a null doc_id come back with their
-    0 shingles and a null component; repeated rows come back as often as they came. An empty table gives none.
+    0 shingles and a null component; repeated rows come back as often as they came, and rows that share a doc_id but not a
+    text each have the component of their own text. An empty table gives none.
     """
-    held, found = links(docs, size, percent)
-    labels = components(found).select(F.col("node").alias("rep"), "component")
-    out = held.join(labels, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    out = _components(docs, size, percent).select("doc_id", "n_shingles", "component_id")
     nameless = docs.where("doc_id IS NULL").select(
         F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")
     )
@@ -313,14 +358,21 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, one for each; rows without doc_id stay."""
-    found = stored(classes(docs.select("doc_id", "text"), size, percent))
-    # Only the documents that go are looked up, so that texts need no shuffle unless these are many.
-    gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct())
-    again = stored(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
-    own = F.col("doc_id").cast("long") == F.col("_id")
+    """One row of ``docs`` for each component, that of the smallest doc_id (of several texts under that id, of one of them).
+
+    Rows without a doc_id and rows without words stay; of equal rows (doc_id and text) one stays.
+    """
+    found = stored(_components(docs.select("doc_id", "text"), size, percent))
+    pair = F.struct("doc_id", "text_key")
+    first = stored(found.where("component IS NOT NULL").groupBy("component").agg(F.min(pair).alias("first")))
+    apart = found.join(first, "component").where(pair != F.col("first"))
+    # Only the rows that go are looked up, so that texts need no shuffle unless these are many.
+    gone = stored(apart.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+    again = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().where("count > 1")
+    again = stored(again.select("_id", "_key").join(gone, ["_id", "_key"], "left_anti"))
+    own = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
     kept = docs.join(broadcast_if_small(gone, BROADCAST_ROWS), own, "left_anti")
     if again.isEmpty():
         return kept
     repeated = broadcast_if_small(again, BROADCAST_ROWS)
-    return kept.join(repeated, own, "left_anti").union(kept.join(repeated, own, "left_semi").dropDuplicates(["doc_id"]))
+    return kept.join(repeated, own, "left_anti").union(kept.join(repeated, own, "left_semi").dropDuplicates(["doc_id", "text"]))
