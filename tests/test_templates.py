@@ -63,9 +63,9 @@ def noisy_lines(n, seed=0):
     ]
 
 
-@pytest.mark.parametrize("at_once", [3, 20_000])
-def test_mining_finds_the_shapes_at_any_group_size(spark, at_once, monkeypatch):
-    monkeypatch.setattr(mining, "SIGNATURES_AT_ONCE", at_once)
+@pytest.mark.parametrize("tiers", [(None,), (2, 5, None)])
+def test_mining_finds_the_shapes_in_any_rounds(spark, tiers, monkeypatch):
+    monkeypatch.setattr(mining, "TIERS", tiers)
     lines = noisy_lines(300)
     result = mining.mine_messages(parsed(spark, lines).repartition(5)).collect()
     check_invariants(result)
@@ -78,16 +78,51 @@ def test_mining_finds_the_shapes_at_any_group_size(spark, at_once, monkeypatch):
     assert sum(1 for s in shapes if " " not in s) == 75
 
 
-@pytest.mark.parametrize("at_once", [400, 2000])
-def test_rare_signatures_of_a_large_leaf_join(spark, at_once, monkeypatch):
+def brute_most_similar(rows, sim_th):
+    """{id: up} of (leaf, size, [(n, at, key)], m, id) rows, by comparing all pairs of a leaf."""
+    out = {}
+    for leaf, size, items, m, i in rows:
+        keys, best = [k for _, _, k in sorted(items)], None
+        for leaf2, _, items2, m2, j in rows:
+            if leaf2 == leaf and (-m2, j) < (-m, i):
+                shared = [r for r, k in enumerate(keys) if k in {k for _, _, k in items2}]
+                if len(shared) >= sim_th * size:
+                    new = (-len(shared), min(shared, default=-1), -m2, j)
+                    best = new if best is None else min(best, new)
+        if best:
+            out[i] = best[3]
+    return out
+
+
+@pytest.mark.parametrize("tiers", [(None,), (3, 8, None), (1, 2, 3, 4, 6, 9, None)])
+def test_every_signature_finds_its_most_similar(spark, tiers, monkeypatch):
+    """Signatures of several lengths over tokens of all frequencies, against all pairs."""
+    monkeypatch.setattr(mining, "TIERS", tiers)
+    rnd = random.Random(len(tiers))
+    drawn = {}
+    for k in range(300):
+        size = rnd.choice([3, 5, 8, 12])
+        tokens = [None if rnd.random() < 0.15 else min(int(rnd.expovariate(0.25)), 20) for _ in range(size)]
+        drawn.setdefault((f"leaf {size}", size, tuple(tokens)), (rnd.randrange(1, 6), k))
+    n = Counter((leaf, at, t) for leaf, _, tokens in drawn for at, t in enumerate(tokens) if t is not None)
+    numbers = {key: i for i, key in enumerate(sorted(n))}
+    rows = [
+        (leaf, size, sorted((n[leaf, at, t], at, numbers[leaf, at, t]) for at, t in enumerate(tokens) if t is not None), m, k)
+        for (leaf, size, tokens), (m, k) in drawn.items()
+    ]
+    df = spark.createDataFrame(rows, "leaf string, size int, items array<struct<n:long,at:int,key:long>>, m long, id long").cache()
+    for sim_th in (0.0, 0.3, 0.5, 0.8):
+        got = {r.id: r.up for r in mining._most_similar(df, sim_th).collect()}
+        assert got == brute_most_similar(rows, sim_th), sim_th
+
+
+def test_rare_signatures_of_a_large_leaf_join(spark):
     """1,200 frequent signatures that resemble nothing stand before two rare ones that are alike."""
-    monkeypatch.setattr(mining, "SIGNATURES_AT_ONCE", at_once)
-    words = lambda k: [f"a{k // 100}", f"b{k % 100}", *"******"]
-    rows = [("big", 8, [x if x != "*" else "<*>" for x in words(k)], 5, k) for k in range(1200)]
-    rows += [("big", 8, [*"pqrs", *["<*>"] * 4], 1, 5000), ("big", 8, [*"pqrt", *["<*>"] * 4], 1, 5001), ("small", 1, ["<*>"], 9, 6000)]
-    signatures = spark.createDataFrame(rows, "leaf string, size int, signature array<string>, m long, id long")
-    got = {r.id: r.up for r in mining._joined(signatures, 0.375).collect()}
-    assert got == {5001: 5000}
+    shape = [f"a{k // 100} b{k % 100} x{k} y{k} z{k} u{k} v{k} w{k}" for k in range(1200)]
+    lines = [x for x in shape for _ in (0, 1)] + ["p q r s a b c d", "p q r t e f g h"]
+    rows = spark.createDataFrame([(k + 1, x) for k, x in enumerate(lines)], "line_id BIGINT, raw STRING")
+    got = {r.masked: r.event_template for r in mining.mine_messages(logs.parse(rows), sim_th=0.375).collect()}
+    assert got[lines[-1]] == got[lines[-2]] == "p q r <*> <*> <*> <*> <*>"
 
 
 def test_mining_a_leaf_of_many_messages(spark):

@@ -4,32 +4,32 @@ All steps are set operations on distinct messages, so the result depends on the
 order, partitions or tasks:
 
 1. Messages fall into leaves by token count and leading tokens; only messages of one leaf can share a template.
-2. At each position of a leaf, tokens that two or more messages share may be constants: the ``max_children`` most
-   frequent ones. A message's signature keeps its constants and has wildcards elsewhere. A message with fewer constants
-   than ``sim_th`` of its length resembles no other and is a template of its own.
-3. Signatures of a leaf stand in the order of their message counts. Each joins the most similar one of all before it (equal
-   constants over length, at least ``sim_th``); joined signatures form a cluster.
+2. A token that two or more messages of a leaf have at one position is a constant there; the other tokens are parameters. A
+   message's signature is its set of constants with their positions. A message with fewer constants than ``sim_th`` of its
+   length resembles no other and is a template of its own.
+3. Signatures of a leaf stand in the order of their message counts. Each joins the most similar one before it: the one with
+   the most constants in common (at least ``sim_th`` of the length); of equally similar ones the one that shares its rarest
+   constant, and of those the earliest. Joined signatures form a cluster.
 4. A cluster's template keeps a token where all of its messages agree.
+
+Step 3 reads an inverted index from (leaf, position, token) to signatures, rarest constants first. Once a signature has looked
+up its j rarest constants, one that it has not met shares at most the others; so it stops when its best match is that
+similar, and at the latest when what remains is below ``sim_th``. Frequent constants, with long lists, are read only for the
+few signatures that their rare ones leave open.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import WILDCARD
 from tracemill.operators import templates
 from tracemill.operators.lookup import lookup
-from tracemill.session import broadcast_if_small, materialise
+from tracemill.session import stored
 
-# Signatures of one leaf in a block; two blocks meet in one group.
-SIGNATURES_AT_ONCE = 2000
-# Signatures compared with a block in one step.
-ROWS_AT_ONCE = 256
-BROADCAST_LEAVES = 2_000
+# Constants are looked up in rounds, by the number of messages that have them.
+TIERS = (16, 256, 4096, None)
 
 
 def tokens(message: Column) -> Column:
@@ -61,109 +61,107 @@ def leaves(messages: DataFrame, depth: int, max_children: int) -> DataFrame:
     return joined.withColumn("leaf", F.concat_ws(" ", F.col("size").cast("string"), prefix)).drop("_prefix", "_own")
 
 
-def _constants(placed: DataFrame, max_children: int) -> DataFrame:
-    """(leaf, constants): for each leaf a map from position to its possible constants, at most ``max_children`` of them."""
-    seen = placed.select("leaf", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != WILDCARD)
-    shared = seen.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ranking = Window.partitionBy("leaf", "at").orderBy(F.desc("n"), "token")
-    often = shared.withColumn("_rank", F.row_number().over(ranking)).where(F.col("_rank") <= max_children)
-    held = often.groupBy("leaf", "at").agg(F.collect_list("token").alias("held"))
-    return held.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "held"))).alias("constants"))
-
-
-def _with_signatures(placed: DataFrame, max_children: int, sim_th: float) -> DataFrame:
-    """Add ``signature`` and ``alone``, for messages that resemble no other."""
-    known = broadcast_if_small(materialise(_constants(placed, max_children)), BROADCAST_LEAVES)
-    constant = lambda t, at: F.array_contains(F.coalesce(F.element_at("constants", at), F.array().cast("array<string>")), t)
-    kept = F.transform("tokens", lambda t, at: F.when(constant(t, at), t).otherwise(F.lit(WILDCARD)))
-    signed = placed.join(known, "leaf", "left").withColumn("signature", F.when(F.col("constants").isNull(), F.transform("tokens", lambda _: F.lit(WILDCARD))).otherwise(kept))
-    count = F.size(F.filter("signature", lambda t: t != WILDCARD))
-    return signed.withColumn("alone", count < F.lit(float(sim_th)) * F.col("size")).drop("constants")
-
-
-def _best_above(pairs: DataFrame, sim_th: float) -> DataFrame:
-    """(id, up, equal, place): for each signature of block ``_high`` its most similar earlier one of block ``_low``, by groups of two blocks."""
-
-    def run(batch: pa.Table) -> pa.Table:
-        size = batch.column("size")[0].as_py()
-        codes = pc.dictionary_encode(pc.list_flatten(batch.column("signature")).combine_chunks())
-        words = np.append(codes.dictionary.to_numpy(zero_copy_only=False), WILDCARD) == WILDCARD
-        tokens = codes.indices.to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
-        held = ~words[tokens]
-        place, block, ids = (batch.column(c).to_numpy() for c in ("_rank", "_block", "id"))
-        low, high = batch.column("_low")[0].as_py(), batch.column("_high")[0].as_py()
-        above, rows = (np.flatnonzero(block == b) for b in (low, high))
-        above = above[np.argsort(place[above])]
-        found: tuple[list, ...] = ([], [], [], [])
-        for first in range(0, len(rows), ROWS_AT_ONCE):
-            part = rows[first : first + ROWS_AT_ONCE]
-            equal = np.zeros((len(part), len(above)), np.int32)
-            for at in range(size):
-                own, its = np.flatnonzero(held[part, at]), np.flatnonzero(held[above, at])
-                if len(own) and len(its):
-                    equal[np.ix_(own, its)] += tokens[part[own], at][:, None] == tokens[above[its], at]
-            equal[place[above] >= place[part][:, None]] = -1
-            best = equal.argmax(1)  # the earliest of equally similar ones
-            most = equal[np.arange(len(part)), best]
-            take = most >= max(0.0, float(sim_th) * size)
-            for column, values in zip(found, (ids[part], ids[above[best]], most, place[above[best]])):
-                column.append(values[take])
-        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in found], ["id", "up", "equal", "place"])
-
-    return pairs.groupBy("leaf", "_high", "_low").applyInArrow(run, "id long, up long, equal long, place long")
-
-
-def _joined(signatures: DataFrame, sim_th: float) -> DataFrame:
-    """(id, up): the earlier signature of its leaf that each of ``signatures`` (leaf, size, signature, m, id) joins.
-
-    All pairs of a leaf are compared: its signatures fall into blocks by rank, and each two blocks meet in one group.
+def _constants(placed: DataFrame) -> DataFrame:
+    """(first_line, leaf, size, items): ``items`` holds (n, at, key) of each constant of a message, rarest first.
+
+    ``key`` is a 64-bit hash of leaf, position and token, ``n`` the number of messages that have it. ``leaf`` is a hash.
     """
-    ranked = signatures.withColumn("_rank", F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("m"), "id")))
-    ranked = ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / SIGNATURES_AT_ONCE).cast("int"))
-    ranked = materialise(ranked.withColumn("_blocks", F.max("_block").over(Window.partitionBy("leaf")) + 1))
-    several = ranked.select("leaf", "size", "signature", "_rank", "_block", "id", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    pairs = several.select(
-        "leaf", "size", "signature", F.col("_rank").cast("long").alias("_rank"), "_block", "id", F.greatest("_block", "_other").alias("_high"), F.least("_block", "_other").alias("_low")
-    )
-    best = _best_above(pairs, sim_th)
-    return best.groupBy("id").agg(F.min_by("up", F.struct(-F.col("equal"), F.col("place"))).alias("up"))
+    leaf = F.xxhash64("leaf")
+    keys = F.transform("tokens", lambda t, at: F.when(t != WILDCARD, F.struct(at.alias("at"), F.xxhash64(leaf, at, t).alias("key"))))
+    keyed = stored(placed.select("first_line", leaf.alias("leaf"), "size", F.filter(keys, lambda k: k.isNotNull()).alias("keys")))
+    counts = keyed.select(F.explode("keys.key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A message has one more row, without a key, so that those without constants are kept.
+    none = F.array(F.lit(None).cast("struct<at:int,key:bigint>"))
+    rows = keyed.select("first_line", "leaf", "size", F.explode(F.concat(none, "keys")).alias("k")).select("first_line", "leaf", "size", "k.at", "k.key")
+    counted = rows.join(stored(counts), "key", "left").where("n IS NOT NULL OR key IS NULL")
+    item = F.when(F.col("n").isNotNull(), F.struct("n", "at", "key"))
+    return counted.groupBy("first_line", "leaf", "size").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def _most_similar(signatures: DataFrame, sim_th: float) -> DataFrame:
+    """(id, up): the earlier signature that each of stored ``signatures`` (leaf, size, items, m, id) joins, if any."""
+    least = F.greatest(F.lit(1), F.ceil(F.lit(float(sim_th)) * F.col("size")).cast("int"))
+    # Of so many constants, the rarest ones, at least one is shared with any signature that is similar enough.
+    prefix = F.size("items") - least + 1
+    ends = signatures.select("id", "m", F.col("items.key").alias("keys"))
+    none = F.lit(None).cast("struct<less:int,rank:bigint,m:bigint,up:bigint>")
+    todo = signatures.where(prefix > 0).select("id", "m", "items", least.alias("least"), prefix.alias("prefix"), none.alias("best"))
+    found = None
+    low = 0
+    for high in TIERS:
+        here = F.filter("items", _between(low, high))
+        table = signatures.select(F.col("id").alias("up"), F.col("m").alias("m_up"), F.explode(here).alias("i")).select("i.key", "up", "m_up")
+        first = F.slice("items", F.lit(1), F.col("prefix"))
+        asked = todo.select("id", "m", F.explode(F.filter(first, _between(low, high))).alias("i")).select("i.key", "id", "m")
+        met = asked.join(table, "key").where("m_up > m OR m_up = m AND up < id").select("id", "up").distinct()
+        both = met.join(ends.select("id", "keys"), "id").join(ends.select(F.col("id").alias("up"), F.col("m").alias("m_up"), F.col("keys").alias("keys_up")), "up")
+        common = both.withColumn("common", F.array_intersect("keys", "keys_up"))
+        scored = common.select("id", F.struct(
+            (-F.size("common")).alias("less"), F.array_position("keys", F.get("common", F.lit(0))).alias("rank"), (-F.col("m_up")).alias("m"), "up"
+        ).alias("new"))
+        best = scored.groupBy("id").agg(F.min("new").alias("new"))
+        todo = todo.join(best, "id", "left").withColumn("best", F.least("best", "new")).drop("new")
+        seen = F.col("prefix") if high is None else F.least(F.col("prefix"), F.size(F.filter("items", _between(0, high))))
+        todo = stored(todo.withColumn("open", (seen < F.col("prefix")) & (F.coalesce(-F.col("best.less"), F.lit(0)) < F.size("items") - seen)))
+        done = todo.where("NOT open AND -best.less >= least").select("id", "best.up")
+        found = done if found is None else found.union(done)
+        todo = todo.where("open").drop("open")
+        if todo.isEmpty():
+            break
+        low = high
+    if sim_th > 0:
+        return found
+    # Without a threshold, signatures that share no constant join the first of their leaf.
+    lead = signatures.groupBy("leaf").agg(F.min_by("id", F.struct(-F.col("m"), F.col("id"))).alias("up"))
+    rest = signatures.join(found, "id", "left_anti").join(lead, "leaf").where("id != up").select("id", "up")
+    return found.union(rest)
+
+
+def _between(low: int, high: int | None):
+    return lambda i: i["n"] > low if high is None else (i["n"] > low) & (i["n"] <= high)
 
 
 def _roots(links: DataFrame) -> DataFrame:
     """(id, cluster): the end of each chain of ``links`` (id, up); chains shorten by doubling."""
-    at = materialise(links)
+    at = stored(links)
     while True:
         above = at.select(F.col("id").alias("up"), F.col("up").alias("_next"))
-        further = materialise(at.join(above, "up", "left").select("id", F.coalesce("_next", "up").alias("up"), F.col("_next").isNotNull().alias("_moved")))
+        further = stored(at.join(above, "up", "left").select("id", F.coalesce("_next", "up").alias("up"), F.col("_next").isNotNull().alias("_moved")))
         at = further.select("id", "up")
         if further.where("_moved").isEmpty():
             return at.withColumnRenamed("up", "cluster")
 
 
 def cluster_messages(messages: DataFrame, depth: int = 4, sim_th: float = 0.4, max_children: int = 100) -> DataFrame:
-    """Cluster of each distinct message: ``(masked, cluster)``, the cluster named by the first line of one of its messages.
+    """Cluster of each distinct message: ``(first_line, cluster, alone)``, the cluster named by the first line of one of its messages.
 
     ``messages`` holds ``(masked, n, first_line)``, one row per distinct message.
     """
-    placed = leaves(messages, depth, max_children)
-    signed = materialise(_with_signatures(placed, max_children, sim_th).select("leaf", "size", "masked", "first_line", "signature", "alone"))
-    alone = signed.where("alone").select("masked", F.col("first_line").alias("cluster"))
+    held = _constants(leaves(messages, depth, max_children))
+    name = F.xxhash64("leaf", "size", "items.key")
+    signed = stored(held.withColumns({"signature": name, "alone": F.size("items") < F.lit(float(sim_th)) * F.col("size")}))
+    alone = signed.where("alone").select("first_line", F.col("first_line").alias("cluster"), "alone")
     alike = signed.where("NOT alone")
-    signatures = materialise(alike.groupBy("leaf", "size", "signature").agg(F.count(F.lit(1)).alias("m"), F.min("first_line").alias("id")))
-    roots = _roots(_joined(signatures, sim_th))
-    named = signatures.select("leaf", "signature", "id").join(roots, "id", "left").select("leaf", "signature", F.coalesce("cluster", "id").alias("cluster"))
-    return alone.unionByName(alike.join(named, ["leaf", "signature"]).select("masked", "cluster"))
+    signatures = stored(
+        alike.groupBy("signature")
+        .agg(F.first("leaf").alias("leaf"), F.first("size").alias("size"), F.first("items").alias("items"), F.count(F.lit(1)).alias("m"), F.min("first_line").alias("id"))
+    )
+    roots = _roots(_most_similar(signatures, sim_th))
+    named = stored(signatures.select("signature", "id").join(roots, "id", "left").select("signature", F.coalesce("cluster", "id").alias("cluster")))
+    return alone.unionByName(alike.join(named, "signature").select("first_line", "cluster", "alone"))
 
 
 def _final_templates(members: DataFrame) -> DataFrame:
     """Template of each cluster: the token where all its messages agree, else the wildcard."""
-    placed = members.select("cluster", F.posexplode_outer(tokens(F.col("masked"))).alias("_at", "_token"))
+    single = members.where("alone").select("cluster", F.array_join(tokens(F.col("masked")), " ").alias("event_template"))
+    placed = members.where("NOT alone").select("cluster", F.posexplode_outer(tokens(F.col("masked"))).alias("_at", "_token"))
     agreed = placed.groupBy("cluster", "_at").agg(F.min("_token").alias("_low"), F.max("_token").alias("_high"))
     token = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.lit(WILDCARD))
     parts = agreed.groupBy("cluster").agg(
         F.sort_array(F.collect_list(F.struct("_at", token.alias("_token")))).alias("_parts")
     )
-    return parts.select("cluster", F.concat_ws(" ", F.transform("_parts", lambda p: p["_token"])).alias("event_template"))
+    several = parts.select("cluster", F.concat_ws(" ", F.transform("_parts", lambda p: p["_token"])).alias("event_template"))
+    return single.union(several)
 
 
 def mine_messages(parsed: DataFrame, depth: int = 4, sim_th: float = 0.4, max_children: int = 100) -> DataFrame:
@@ -171,18 +169,16 @@ def mine_messages(parsed: DataFrame, depth: int = 4, sim_th: float = 0.4, max_ch
 
     Lines are reduced to distinct messages first; all mining works on those. ``line_id`` must be unique.
     """
-    distinct = materialise(
-        parsed.groupBy("masked").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("first_line"))
-    )
+    distinct = stored(parsed.groupBy("masked").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("first_line")))
     if not distinct.groupBy("first_line").count().where("count > 1").isEmpty():
         raise ValueError("line_id is not unique: two messages begin at one line")
     clustered = cluster_messages(distinct, depth, sim_th, max_children)
-    members = materialise(distinct.join(clustered, "masked"))
+    members = stored(distinct.join(clustered, "first_line"))
     first = members.groupBy("cluster").agg(F.min("first_line").alias("first_line"))
-    named = templates.with_event_ids(materialise(first.join(_final_templates(members), "cluster")))
+    named = templates.with_event_ids(stored(first.join(_final_templates(members), "cluster")))
     # As many rows as templates, joined to distinct messages; AQE picks the strategy from its size.
     events = named.select("cluster", "event_id", "event_template")
-    return materialise(members.join(events, "cluster").select("masked", "n", "event_id", "event_template"))
+    return stored(members.join(events, "cluster").select("masked", "n", "event_id", "event_template"))
 
 
 def mine(parsed: DataFrame, depth: int = 4, sim_th: float = 0.4, max_children: int = 100) -> DataFrame:

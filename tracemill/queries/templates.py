@@ -192,13 +192,9 @@ placed AS (
   SELECT s.masked, s.first_line, s.size, s.size || ' ' || coalesce(o.prefix, '<*>') AS leaf
   FROM sized s LEFT JOIN own o ON s.size = o.size AND s.prefix = o.prefix),
 placed_words AS (SELECT p.masked, p.first_line, p.size, p.leaf, w.spot, w.token FROM placed p JOIN words w ON p.masked = w.masked),
-constants AS (
-  SELECT leaf, spot, token FROM (
-    SELECT leaf, spot, token, row_number() OVER (PARTITION BY leaf, spot ORDER BY count(*) DESC, token) AS r, count(*) AS c
-    FROM placed_words WHERE token <> '<*>' GROUP BY 1, 2, 3 HAVING count(*) > 1)
-  WHERE r <= 100),
+constants AS (SELECT leaf, spot, token, count(*) AS n FROM placed_words WHERE token <> '<*>' GROUP BY 1, 2, 3 HAVING count(*) > 1),
 signed_words AS (
-  SELECT p.masked, p.first_line, p.size, p.leaf, p.spot, CASE WHEN c.token IS NULL THEN '<*>' ELSE p.token END AS token
+  SELECT p.masked, p.first_line, p.size, p.leaf, p.spot, CASE WHEN c.token IS NULL THEN '<*>' ELSE p.token END AS token, c.n
   FROM placed_words p LEFT JOIN constants c ON p.leaf = c.leaf AND p.spot = c.spot AND p.token = c.token),
 signed AS (
   SELECT masked, first_line, size, leaf, string_agg(token, ' ' ORDER BY spot) AS signature, count(*) FILTER (token <> '<*>') AS held
@@ -206,11 +202,13 @@ signed AS (
 signatures AS (
   SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY m DESC, id) AS place FROM (
     SELECT leaf, size, signature, count(*) AS m, min(first_line) AS id FROM signed WHERE held >= 0.4::DOUBLE * size GROUP BY 1, 2, 3)),
-marks AS (SELECT s.leaf, s.id, s.size, s.place, w.spot, w.token FROM signatures s JOIN signed_words w ON s.id = w.first_line WHERE w.token <> '<*>'),
+marks AS (
+  SELECT s.leaf, s.id, s.size, s.place, w.spot, w.token, row_number() OVER (PARTITION BY s.id ORDER BY w.n, w.spot) AS rarity
+  FROM signatures s JOIN signed_words w ON s.id = w.first_line WHERE w.n IS NOT NULL),
 pairs AS (
-  SELECT a.id, b.id AS up, b.place, count(*) AS equal FROM marks a JOIN marks b ON a.leaf = b.leaf AND a.spot = b.spot AND a.token = b.token
-  WHERE b.place < a.place AND b.place <= 1000 GROUP BY a.id, b.id, b.place, a.size HAVING count(*) >= 0.4::DOUBLE * a.size),
-links AS (SELECT id, up FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY equal DESC, place) AS r FROM pairs) WHERE r = 1),
+  SELECT a.id, b.id AS up, b.place, count(*) AS equal, min(a.rarity) AS rarest FROM marks a JOIN marks b ON a.leaf = b.leaf AND a.spot = b.spot AND a.token = b.token
+  WHERE b.place < a.place GROUP BY a.id, b.id, b.place, a.size HAVING count(*) >= 0.4::DOUBLE * a.size),
+links AS (SELECT id, up FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY equal DESC, rarest, place) AS r FROM pairs) WHERE r = 1),
 chains AS (
   SELECT id, id AS spot FROM signatures
   UNION ALL SELECT c.id, l.up FROM chains c JOIN links l ON c.spot = l.id),
