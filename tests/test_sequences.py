@@ -139,10 +139,23 @@ def test_running_totals_by_group(spark):
     rnd = random.Random(5)
     rows = {(g, round(rnd.uniform(0, 50), 2)): rnd.randrange(9) for g in "ab" for _ in range(400)}
     df = spark.createDataFrame([(g, x, n) for (g, x), n in rows.items()], "g STRING, x DOUBLE, n BIGINT")
-    for r in order.running_totals(df, "x", ["n"], ["g"], splitters=7).collect():
+    for r in order.running_totals(df, "x", ["n"], ["g"], bucket_rows=100).collect():
         assert r.before_n == sum(n for (g, x), n in rows.items() if g == r.g and x < r.x)
 
 
+def test_ranges_hold_a_bounded_number_of_rows(spark):
+    """Keys in clusters and of any type: buckets follow the order and stay near the size asked for."""
+    rnd = random.Random(8)
+    keys = sorted({f"{rnd.choice('aaaaaaab')}{rnd.randrange(10**5)}" for _ in range(6000)})
+    df = spark.createDataFrame([(k, 1) for k in keys], "key STRING, n BIGINT").repartition(5).cache()
+    placed = {r.key: r._bucket for r in order.ranged(df, ["key"], 500).collect()}
+    assert [placed[k] for k in keys] == sorted(placed.values())
+    sizes = [list(placed.values()).count(b) for b in set(placed.values())]
+    assert len(sizes) >= len(keys) // 500 and max(sizes) <= 1500
+    before = {r.key: r.before_n for r in order.running_totals(df, "key", ["n"], bucket_rows=500).collect()}
+    assert [before[k] for k in keys] == list(range(len(keys)))
+
+
 def test_argument_errors(spark):
     df = log(spark, [(1, "a", 0)])
     with pytest.raises(ValueError, match="time_column"):

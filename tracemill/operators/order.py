@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.session import stored
+
 # Rows of one integer key bucket; also the bound on rows of a group that is cut by line id.
 BUCKET_ROWS = 1_000_000
 # Number of splitters that cut the range of an arbitrary key.
@@ -71,34 +73,37 @@ def with_bucket(df: DataFrame, key: str, splitters: int = SPLITTERS) -> DataFram
     return placed.withColumn("_bucket", count.cast("long")).drop("_bounds")
 
 
+def ranged(rows: DataFrame, keys: Sequence[str], bucket_rows: int | None = None) -> DataFrame:
+    """Stored ``rows`` with ``_bucket``: ranges of about ``bucket_rows`` rows in the order of ``keys``, numbered in that order.
+
+    The cuts come from Spark's range partitioning, which samples every partition in proportion to its rows and finds the
+    range of a row by binary search, so buckets stay of that size whatever the input and however its keys are spread.
+    Rows with equal keys share a bucket. Call it on stored rows: they are counted first.
+    """
+    parts = max(1, -(-rows.count() // (bucket_rows or BUCKET_ROWS)))
+    return stored(rows.repartitionByRange(parts, *keys).withColumn("_bucket", F.spark_partition_id().cast("long")))
+
+
 def running_totals(
-    df: DataFrame,
-    key: str,
-    sums: Sequence[str],
-    by: Sequence[str] = (),
-    splitters: int = SPLITTERS,
+    df: DataFrame, key: str, sums: Sequence[str], by: Sequence[str] = (), bucket_rows: int | None = None
 ) -> DataFrame:
     """Add ``before_<s>``: the total of ``s`` over rows with a smaller ``key`` (within ``by``, if given).
 
-    ``(by, key)`` must be unique. Meant for inputs that an aggregation has already reduced: distinct
-    events, distinct scores, distinct values with their counts.
+    ``(by, key)`` must be unique and ``df`` stored. Two levels: totals within buckets of ``ranged``, and of the buckets before.
     """
     by = list(by)
-    bucketed = with_bucket(df, key, splitters)
-    # At most splitters + 1 rows for each value of ``by``.
+    bucketed = ranged(df, [*by, key], bucket_rows)
+    # A row for each bucket, and one more for each value of ``by``.
     totals = bucketed.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(s) for s in sums])
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *by, "_bucket", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_offset_{s}") for s in sums]
-    )
+    offsets = carry_totals(totals, "_bucket", sums, by).drop(*sums)
     local = Window.partitionBy(*by, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     inside = bucketed.select("*", *[F.coalesce(F.sum(s).over(local), F.lit(0)).alias(f"_local_{s}") for s in sums])
     return inside.join(offsets, [*by, "_bucket"]).select(
-        *df.columns, *[(F.col(f"_local_{s}") + F.col(f"_offset_{s}")).alias(f"before_{s}") for s in sums]
+        *df.columns, *[(F.col(f"_local_{s}") + F.col(f"before_{s}")).alias(f"before_{s}") for s in sums]
     )
 
 
 def rank_of(df: DataFrame, key: str, name: str, start: int = 1) -> DataFrame:
     """Number the rows of ``df`` from ``start`` in the order of a unique ``key``."""
-    ranked = running_totals(df.withColumn("_one", F.lit(1).cast("long")), key, ["_one"])
+    ranked = running_totals(stored(df.withColumn("_one", F.lit(1).cast("long"))), key, ["_one"])
     return ranked.withColumn(name, (F.col("before__one") + F.lit(start)).cast("long")).drop("_one", "before__one")

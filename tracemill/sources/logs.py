@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
-from tracemill.session import stored
+from tracemill.operators import order
+from tracemill.session import broadcast_if_small, stored
 
+# Splits up to this number are sent to all tasks (about 48 bytes each); more of them meet the lines in a shuffle.
+BROADCAST_SPLITS = 1_000_000
 LOCAL_BITS = 33  # monotonically_increasing_id: task number above, row number within the task below
 
 
@@ -20,14 +23,15 @@ def read_logs(spark: SparkSession, path: str | list[str], sample_size: int | Non
     among the lines kept; several files follow each other in path order. ``sample_size`` keeps the first N
     lines kept.
 
-    Lines are numbered without a shuffle: each input split knows its rows in order, so the number is the
-    split's offset plus the position in the split. Offsets come from one count per split. Splits are cut
-    by ``spark.sql.files.maxPartitionBytes`` alone once the input outgrows the cores; should the two scans
-    ever cut them differently, the query fails instead of numbering lines wrongly.
+    Lines are numbered without a shuffle: each input split knows its rows in order, so the number is the split's offset
+    plus the position in the split. Offsets are prefix sums over one count per split: within a file, within a range of
+    files, and over the ranges. Splits are cut by ``spark.sql.files.maxPartitionBytes`` alone once the input outgrows the
+    cores; should the two scans ever cut them differently, the query fails instead of numbering lines wrongly.
     """
     files = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
+        F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_line"),
         "value",
         text.trimmed(F.col("value")).alias("raw"),
@@ -36,44 +40,33 @@ def read_logs(spark: SparkSession, path: str | list[str], sample_size: int | Non
     # The filter stays above the first counter, and the second one counts the rows that pass it.
     kept = files.where(not_blank).withColumn("_kept", F.monotonically_increasing_id())
 
-    split = ["_file", "_block"]
     task = F.shiftright("_first_line", LOCAL_BITS)
-    counts = files.groupBy(*split).agg(
-        F.min("_line").alias("_first_line"), F.count(F.lit(1)).alias("_lines"), F.count_if(not_blank).alias("_rows")
-    )
-
-    def total(column: str, *partition, order_by: str | None = None):
-        window = Window.partitionBy(*partition)
-        if order_by is None:
-            return F.sum(column).over(window)
-        earlier = window.orderBy(order_by).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(column).over(earlier), F.lit(0))
-
-    # A task reads a few splits one after the other, a file has one row per split.
-    in_file = counts.select(
-        *split,
-        "_first_line",
-        "_lines",
-        (F.shiftleft(task, LOCAL_BITS) + total("_rows", task, order_by="_first_line")).alias("_first_kept"),
-        total("_lines", "_file", order_by="_block").alias("_line_offset"),
-        total("_rows", "_file", order_by="_block").alias("_row_offset"),
-        total("_lines", "_file").alias("_file_lines"),
-        total("_rows", "_file").alias("_file_rows"),
-    )
-    # One row per file.
-    totals = in_file.groupBy("_file").agg(
-        F.first("_file_lines").alias("_file_lines"), F.first("_file_rows").alias("_file_rows")
+    # One row per split, that is per maxPartitionBytes of input.
+    counts = stored(
+        files.groupBy("_file", "_block", "_split").agg(
+            F.min("_line").alias("_first_line"), F.count(F.lit(1)).alias("_lines"), F.count_if(not_blank).alias("_rows")
+        )
     )
-    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    file_offsets = totals.select(
-        "_file",
-        F.coalesce(F.sum("_file_lines").over(earlier), F.lit(0)).alias("_lines_before"),
-        F.coalesce(F.sum("_file_rows").over(earlier), F.lit(0)).alias("_rows_before"),
+    # A file has a few splits, and a task reads a few of them one after the other.
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    in_task = Window.partitionBy(task).orderBy("_first_line").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda column, window: F.coalesce(F.sum(column).over(window), F.lit(0))
+    placed = counts.select(
+        "*",
+        (F.shiftleft(task, LOCAL_BITS) + before("_rows", in_task)).alias("_first_kept"),
+        before("_lines", in_file).alias("_line_offset"),
+        before("_rows", in_file).alias("_row_offset"),
     )
-    splits = in_file.drop("_file_lines", "_file_rows").join(F.broadcast(file_offsets), "_file")
-
-    # One row per split, that is per maxPartitionBytes of input.
-    numbered = kept.join(F.broadcast(splits), split, "left")
+    totals = stored(counts.groupBy("_file").agg(F.sum("_lines").alias("lines"), F.sum("_rows").alias("rows")))
+    offsets = order.running_totals(totals, "_file", ["lines", "rows"])
+    splits = placed.join(offsets, "_file").select(
+        "_split", "_first_line", "_lines", "_first_kept",
+        (F.col("before_lines") + F.col("_line_offset")).alias("_lines_before"),
+        (F.col("before_rows") + F.col("_row_offset")).alias("_rows_before"),
+    )
+
+    # Six numbers for each split.
+    numbered = kept.join(broadcast_if_small(stored(splits), BROADCAST_SPLITS), "_split", "left")
     consistent = (F.shiftright("_line", LOCAL_BITS) == F.shiftright("_first_line", LOCAL_BITS)) & (
         F.col("_line").between(F.col("_first_line"), F.col("_first_line") + F.col("_lines") - 1)
     )
@@ -81,8 +74,8 @@ def read_logs(spark: SparkSession, path: str | list[str], sample_size: int | Non
         F.raise_error(F.lit("input splits changed between two scans of the same files"))
     )
     out = numbered.select(
-        (F.col("_lines_before") + F.col("_line_offset") + local + 1).alias("line_id"),
-        (F.col("_rows_before") + F.col("_row_offset") + F.col("_kept") - F.col("_first_kept")).alias("row_idx"),
+        (F.col("_lines_before") + local + 1).alias("line_id"),
+        (F.col("_rows_before") + F.col("_kept") - F.col("_first_kept")).alias("row_idx"),
         "raw",
     )
     return out if sample_size is None else out.where(F.col("row_idx") < sample_size)
