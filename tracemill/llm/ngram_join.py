@@ -7,11 +7,12 @@ breaking ties by unrelated hashes. A pair is verified on whole sets when its siz
 prefix token under both orders.
 
 Rows with equal sets form a class, named by a hash of its set, so rows that share a doc_id but not a text are told apart. One
-shuffle brings the prefix tokens of the first order together. Classes that share one, and whose marks of the second order
-(64 bits) meet, fall into one family. A token that more than ``MAX_POSTINGS`` classes share becomes a node that all of them
-are tied to, instead of naming their pairs; tokens whose counter shows thousands of hits do so at once and do not travel by
-their key. A family's texts travel once, and its pairs pass both filters there, in pairs of blocks of bounded size. A family
-of several blocks is first verified within blocks; after that, members of its largest class need no test among themselves.
+shuffle brings the prefix tokens of the first order together and names the pairs of classes that share one; those that
+also share one under the second order are candidates, and candidates fall into families. A token that more than
+``MAX_POSTINGS`` classes share becomes a node that all of them are tied to, instead of naming their pairs; tokens whose counter
+shows thousands of hits do so at once and do not travel by their key. A family's texts travel once; there all of its pairs
+pass both filters before they are verified, in pairs of blocks of bounded size. A family of several blocks is first
+verified within blocks; after that, members of its largest class need no test among themselves.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def _prefixes(s: np.ndarray, percent: int, grade: np.ndarray) -> tuple[np.ndarra
 
 
 def _postings(docs: DataFrame, size: int, percent: int, grades) -> DataFrame:
-    """(key, token, class, n, marks): a row for each prefix token of the first order, with the size of its set.
+    """(key, token, class, n): a row for each prefix token of the first order, with the size of its set.
 
     ``key`` deals the rows out: it is the token, but a value of its own in each row of a token with very many hits, whose rows
     carry the size with a minus sign.
@@ -148,24 +149,22 @@ def _postings(docs: DataFrame, size: int, percent: int, grades) -> DataFrame:
                 for s in _sets(batch.column(0), size):
                     if not len(s):
                         continue
-                    first, rare, second = _prefixes(s, percent, grade)
+                    first, rare, _ = _prefixes(s, percent, grade)
                     name = _class(s)
-                    marks = np.bitwise_or.reduce(np.uint64(1) << (second >> np.uint64(58)))
                     often = rare >= hot
                     key = np.where(often, words.mixed(first, 6) + name.view(np.uint64), first)
                     n = np.where(often, -len(s), len(s))
-                    parts.append((key, first, np.repeat(name, len(first)), n, np.repeat(marks, len(first))))
+                    parts.append((key, first, np.repeat(name, len(first)), n))
             if parts:
-                key, token, name, n, marks = (np.concatenate(c) for c in zip(*parts))
-                columns = [pa.array(c.view(np.int64)) for c in (key, token, name)] + [pa.array(n, pa.int64()), pa.array(marks.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "token", "class", "n", "marks"])
+                columns = [pa.array(c.view(np.int64)) for c in map(np.concatenate, zip(*parts))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "token", "class", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, token long, class long, n long, marks long")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, token long, class long, n long")
 
 
 def _ties(postings: DataFrame, percent: int) -> DataFrame:
-    """(src, dst): classes that share a token under the first order and may do so under the second, or a class and a token of many."""
-    columns = ["key", "token", "class", "n", "marks"]
+    """(src, dst, of_many): pairs of classes that share a token under the first order, or a class and a token of many."""
+    columns = ["key", "token", "class", "n"]
 
     def tied(c: dict) -> pa.RecordBatch:
         """From whole groups of rows, sorted by key and class."""
@@ -181,10 +180,11 @@ def _ties(postings: DataFrame, percent: int) -> DataFrame:
             if not len(i):
                 break
             n, m = c["n"][i], c["n"][i + d]
-            i = i[(100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (c["marks"][i] & c["marks"][i + d] != 0)]
+            i = i[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]
             src.append(c["class"][i])
             dst.append(c["class"][i + d])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (src, dst)], ["src", "dst"])
+        ties = np.unique(np.column_stack((np.concatenate(src), np.concatenate(dst), np.arange(sum(map(len, src))) < len(src[0]))), axis=0)
+        return pa.RecordBatch.from_arrays([*(pa.array(ties[:, k]) for k in (0, 1)), pa.array(ties[:, 2] == 1)], ["src", "dst", "of_many"])
 
     def run(batches):
         held = None
@@ -208,7 +208,38 @@ def _ties(postings: DataFrame, percent: int) -> DataFrame:
             if held is not None:
                 yield tied(held)
 
-    return postings.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "src long, dst long")
+    return postings.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "src long, dst long, of_many boolean")
+
+
+def _second(docs: DataFrame, size: int, percent: int, grades) -> DataFrame:
+    """(class, second array<long>) of each text: its prefix tokens under the second order."""
+
+    def run(batches):
+        for batch in batches:
+            names, tokens = [np.zeros(0, np.int64)], []
+            with np.errstate(over="ignore"):
+                for s in _sets(batch.column(0), size):
+                    if len(s):
+                        names.append(_class(s))
+                        tokens.append(_prefixes(s, percent, grades.value)[2].view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), lists], ["class", "second"])
+
+    return docs.select("text").mapInArrow(run, "class long, second array<long>")
+
+
+def _candidates(ties: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, grades) -> DataFrame:
+    """(src, dst) of stored ``ties``: pairs that share a prefix token under the second order too, and ties to a token of many."""
+    pairs = stored(ties.where("NOT of_many").select("src", "dst").distinct())
+    asked = pairs.select(F.explode(F.array("src", "dst")).alias("class")).distinct().join(classes, "class").select(F.col("rep").alias("doc_id")).distinct()
+    # A class has one of its rows here, and maybe another by a namesake.
+    second = stored(_second(docs.join(broadcast_if_small(stored(asked), BROADCAST_ROWS), "doc_id"), size, percent, grades).dropDuplicates(["class"]))
+    both = (
+        pairs.join(second.withColumnsRenamed({"class": "src", "second": "x"}), "src")
+        .join(second.withColumnsRenamed({"class": "dst", "second": "y"}), "dst")
+        .where(F.arrays_overlap("x", "y"))
+    )
+    return both.select("src", "dst").union(ties.where("of_many").select("src", "dst"))
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -293,7 +324,8 @@ def _links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     bits = min(24, max(12, int(total // TOKENS_PER_COUNTER).bit_length()))
     grades = docs.sparkSession.sparkContext.broadcast(_frequencies(docs.select("text"), size, bits))
-    families = components(_ties(_postings(docs, size, percent, grades), percent))
+    ties = stored(_ties(_postings(docs, size, percent, grades), percent))
+    families = components(_candidates(ties, docs, classes, size, percent, grades))
 
     members = stored(families.select(F.col("node").alias("class"), F.col("component").alias("family")).join(classes, "class"))
     shape = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("n")).where("m > 1")
