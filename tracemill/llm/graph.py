@@ -7,53 +7,34 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.session import stored
 
+# Rows of a table of texts that a Python task gets at once.
+ROWS_AT_ONCE = 1000
 # So many edges meet in one task at once.
 EDGES_AT_ONCE = 1 << 20
 
 
-class Kept:
-    """Intermediate tables on the executors' disks while they are needed; what is lost is recomputed.
-
-    They are filled at once: several uses in one job would each begin to fill them.
-    """
-
-    def __init__(self) -> None:
-        self.tables: list[DataFrame] = []
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.tables.append(df.persist(StorageLevel.DISK_ONLY))
-        self.tables[-1].count()
-        return self.tables[-1]
-
-    def drop(self, df: DataFrame) -> None:
-        """Release one table that no later step reads."""
-        self.tables.remove(df)
-        df.unpersist()
-
-    def release(self) -> None:
-        while self.tables:
-            self.tables.pop().unpersist()
-
-
 @contextmanager
 def large_partitions(spark: SparkSession) -> Iterator[None]:
-    """While this holds, adaptive execution merges small shuffle partitions up to its advised size, not to one per core.
+    """While this holds, adaptive execution merges small shuffle partitions up to its advised size, not to one per core, and
+    rows go to Python tasks ``ROWS_AT_ONCE`` at a time.
 
-    The tables of a graph's rounds are small next to the texts; written in a few files they cost fewer tasks.
+    The tables of a graph's rounds are small next to the texts; written in a few files they cost fewer tasks. Texts in small
+    batches keep the tasks' memory low.
     """
-    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
+    held = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS_AT_ONCE)}
+    before = {name: spark.conf.get(name) for name in held}
+    for name, value in held.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
