@@ -88,15 +88,19 @@ def test_pages_with_an_article_are_compared(spark):
     own = lambda k: [f"own text of page {k}, part {j}, and some more of it" for j in range(4)]
     article = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
     long = "a long passage that one page quotes from another " * 8
-    rows = [(k, f"http://a.example/{k}", article("Sign up for our letter", *own(k), *([long] if k in (1, 2) else [])), "", 0) for k in range(4)]
-    rows += [(k, f"http://b.example/{k}", page("Home", article("Teaser"), *own(k)), "", 0) for k in range(10, 14)]  # text beside a teaser
+    said = "One sentence that some pages share."
+    rows = [(k, f"http://a.example/{k}", article("Sign up for our letter", *own(k), *([long] if k in (1, 2) else []), *([said] if k < 5 else [])), "", 0) for k in range(12)]
+    rows += [(k, f"http://b.example/{k}", page("Home", article("Teaser"), *own(k)), "", 0) for k in range(100, 112)]  # text beside a teaser
     rows += [(k, f"http://c.example/{k}", article(*own(7), "x"[: k % 2]), "", 0) for k in (20, 21)]  # copies
     rows += [(30, "http://d.example/", page("out", article("in")), "", 0)]  # alone on its host
+    rows += [(k, f"http://e.example/{k}", article(said, *own(k)), "", 0) for k in range(40, 44)]  # a host of few pages
     got = {r.page_id: (r.text.split("\n\n"), r.n_shared) for r in h.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
-    for k in range(4):
-        assert got[k] == (own(k) + ([long.strip()] if k in (1, 2) else []), 1)
-    for k in range(10, 14):
+    for k in range(12):
+        assert got[k] == (own(k) + ([long.strip()] if k in (1, 2) else []) + ([said] if k < 5 else []), 1)
+    for k in range(100, 112):
         assert got[k] == (own(k), 2)
+    for k in range(40, 44):
+        assert got[k] == ([said, *own(k)], 0)
     assert got[20] == (own(7), 0) and got[21] == (own(7) + ["x"], 0) and got[30] == (["in"], 0)
 
 
@@ -108,12 +112,13 @@ def test_neighbours_across_cuts(spark, at_once, monkeypatch):
     assert got == {k: f"own text of page {k}" for k, *_ in rows}
 
 
-def test_whole_pages(spark):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_whole_pages(spark, sf):
     """The pages of the test tables have all their text but furniture in one article, whose blocks are p and h1."""
     import html
     import re
 
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
     got = {r.page_id: r.text for r in h.main_text(pages).collect()}
     for r in pages.collect():
         inner = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]

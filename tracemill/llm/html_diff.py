@@ -7,7 +7,8 @@ are aligned by longest common subsequence with the lines of the pages before and
 lines with all lines of the neighbour and main text with its main text:
 
 * Shared doubtful lines are deleted, and doubtful lines that no neighbour shares are kept.
-* Shared main text is deleted if it is short, or if all neighbours that are compared share it: one neighbour may be quoted at length.
+* Shared main text is deleted only if it belongs to the template of the host: the line stands in the main text of at least half of the
+  host's distinct pages, of which there are ten or more. Sentences that pages quote from each other stay.
 * A neighbour that has all of a page's lines, or that leaves almost nothing unshared in either page, is a copy and deletes nothing. If both neighbours
   leave little, but something, on either side, what all three pages share outside main text is their template: short posts look like that.
 * Main text is not compared with a neighbour that has so much of it that this is most of the page.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.operators.order import with_bucket
-from tracemill.session import stored
+from tracemill.session import broadcast_if_small, stored
 
 # Pages of one host between two cuts of the path order, on average; at most so many cuts are made.
 PAGES_AT_ONCE = 2000
@@ -36,8 +37,11 @@ MOST_CUTS = 1000
 COPY_REST = 0.05
 # Main text is not compared with a neighbour whose share of it is more than this part of the page's characters.
 COPY_SHARE = 0.5
-# Main text up to so many characters is deleted if any neighbour shares it.
-SHORT = 200
+# Main text is a host's template if it stands on so large a part of its pages, of which there are at least so many.
+TEMPLATE_SHARE = 0.5
+TEMPLATE_PAGES = 10
+# Hosts with a template, and pages that differ from what structure alone says, are sent to all tasks up to this number.
+BROADCAST_ROWS = 200_000
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -217,30 +221,32 @@ def _hash(text: str) -> int:
 
 
 _LINES = "key long, sort_key string, host string, page struct<lines: array<long>, kinds: array<int>, sizes: array<int>>"
-_TEXTS = "key long, page_id long, url string, text array<string>"
+_TEXTS = "key long, page_id long, url string, text array<string>, plain array<int>"
 
 
 def _parsed(pages: DataFrame, schema: str) -> DataFrame:
     """_LINES: the hash, kind and characters of all lines of each page, or _TEXTS: the text of all but furniture."""
     texts = schema == _TEXTS
-    names = [x.split()[0] for x in re.sub("<.*>", "", schema).split(", ")]
+    names = ["key", "page_id", "url", "text", "plain"] if texts else ["key", "sort_key", "host", "page"]
     page_kind = pa.struct([("lines", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))])
 
     def run(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                keys, made = [], []
+                keys, made, alone = [], [], []
                 for k, page in enumerate(part.column(4)):
                     page = page.as_py() or ""
                     every = lines(page)
                     keys.append(_hash(f"{part.column(0)[k]}\n{part.column(1)[k]}\n{page}"))
                     if texts:
                         made.append([t for t, kind in every if kind != FURNITURE])
+                        alone.append(plain([kind for _, kind in every]))
                     else:
                         made.append({"lines": [_hash(t) for t, _ in every], "kinds": [kind for _, kind in every], "sizes": [len(t) for t, _ in every]})
                 ends = (part.column(0), part.column(1)) if texts else (part.column(2), part.column(3))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *ends, pa.array(made, pa.list_(pa.string()) if texts else page_kind)], names)
+                columns = [pa.array(made, pa.list_(pa.string())), pa.array(alone, pa.list_(pa.int32()))] if texts else [pa.array(made, page_kind)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *ends, *columns], names)
 
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
@@ -249,8 +255,11 @@ def _parsed(pages: DataFrame, schema: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def compared(page: dict, others: list[dict | None]) -> tuple[list[int], int]:
-    """Places of the main text among a page's lines that are no furniture, and how many of these neighbours deleted."""
+def compared(page: dict, others: list[dict | None], template: set[int] = frozenset()) -> tuple[list[int], int]:
+    """Places of the main text among a page's lines that are no furniture, and how many of these neighbours deleted.
+
+    ``template``: the main lines that stand on most pages of the host.
+    """
     own = [k for k, kind in enumerate(page["kinds"]) if kind != FURNITURE]
     kinds, sizes = [page["kinds"][k] for k in own], [page["sizes"][k] for k in own]
     chars = lambda places: sum(sizes[k] for k in places)
@@ -273,17 +282,32 @@ def compared(page: dict, others: list[dict | None]) -> tuple[list[int], int]:
             found.append(anywhere)
         elif left > 0 and its_left > 0:
             alike.append(anywhere)
-    if not found and len(alike) > 1 and (template := set.intersection(*alike)):
-        found = [template]
+    if not found and len(alike) > 1 and (same := set.intersection(*alike)):
+        found = [same]
     gone = set.union(set(), *found)
     if main:
-        if quoted:
-            gone |= {k for k in set.union(*quoted) if sizes[k] <= SHORT} | set.intersection(*quoted)
+        gone |= {k for k in set.union(set(), *quoted) if page["lines"][own[k]] in template}
         if not found:
             return [k for k in main if k not in gone], len(gone)
     return [k for k in range(len(own)) if k not in gone], len(gone)
 
 
+def plain(kinds: list[int]) -> list[int]:
+    """Places that structure alone keeps, among those that are no furniture."""
+    kinds = [kind for kind in kinds if kind != FURNITURE]
+    least = MAIN if MAIN in kinds else DOUBTFUL
+    return [k for k, kind in enumerate(kinds) if kind >= least]
+
+
+def _templates(places: DataFrame) -> DataFrame:
+    """(host, template array<long>): the lines in the main text of most pages of a host, of which each page has its own few."""
+    of_main = F.array_distinct(F.transform(F.filter(F.arrays_zip("page.lines", "page.kinds"), lambda x: x["kinds"] == MAIN), lambda x: x["lines"]))
+    pages = places.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= TEMPLATE_PAGES)
+    lines = places.select("host", F.explode(of_main).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    often = lines.join(stored(pages), "host").where(F.col("n") >= F.col("pages") * TEMPLATE_SHARE)
+    return often.groupBy("host").agg(F.collect_list("line").alias("template"))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_shared) for each row of ``pages`` (page_id, url, html; no others are read).
 
@@ -304,16 +328,24 @@ def main_text(pages: DataFrame) -> DataFrame:
     buckets = Window.partitionBy("host").orderBy("_bucket")
     ends = ends.select("host", "_bucket", F.lag("last").over(buckets).alias("_last"), F.lead("first").over(buckets).alias("_first"))
     near = near.join(ends.where("_last IS NOT NULL OR _first IS NOT NULL"), ["host", "_bucket"], "left")
-    near = near.select("key", "page", F.coalesce("before", "_last").alias("before"), F.coalesce("after", "_first").alias("after"))
+    near = near.join(broadcast_if_small(stored(_templates(places)), BROADCAST_ROWS), "host", "left")
+    near = near.select("key", "page", F.coalesce("before", "_last").alias("before"), F.coalesce("after", "_first").alias("after"), "template")
 
     def run(batches):
         for batch in batches:
-            made = [compared(page, others) for page, *others in zip(*(batch.column(c).to_pylist() for c in range(1, 4)))]
-            kinds = (pa.list_(pa.int32()), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[c] for m in made], kind) for c, kind in enumerate(kinds))], ["key", "kept", "n_shared"])
-
-    kept = near.mapInArrow(run, "key long, kept array<int>, n_shared long")
-    blocks = F.transform("kept", lambda k: F.get("text", k))
-    found = _parsed(pages, _TEXTS).join(kept, "key").select("page_id", "url", blocks.alias("blocks"), "n_shared")
+            keys, made = [], []
+            for key, page, *others, template in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                places, deleted = compared(page, others, set(template or ()))
+                if deleted or places != plain(page["kinds"]):
+                    keys.append(key)
+                    made.append((places, deleted))
+            columns = [pa.array([m[c] for m in made], kind) for c, kind in enumerate((pa.list_(pa.int32()), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *columns], ["key", "kept", "n_shared"])
+
+    # Pages whose neighbours change what structure alone keeps; the texts of the others need not meet them.
+    changed = stored(near.mapInArrow(run, "key long, kept array<int>, n_shared long"))
+    found = _parsed(pages, _TEXTS).join(broadcast_if_small(changed, BROADCAST_ROWS), "key", "left")
+    blocks = F.transform(F.coalesce("kept", "plain"), lambda k: F.get("text", k))
+    found = found.select("page_id", "url", blocks.alias("blocks"), F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared"))
     text = F.array_join("blocks", "\n\n")
     return found.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), F.size("blocks").cast("long").alias("n_blocks"), "n_shared")
