@@ -11,8 +11,10 @@ no distance in its range is one that a row of the annulus could have. What is le
 Each query first reads the leaf that comes closest below the upper end of its window; the score of the last wanted row there
 raises the lower end of the window for all other leaves.
 
-Rows of a leaf are dealt into blocks of about ``BLOCK_ROWS`` and its queries into chunks of about ``CHUNK_QUERIES``; one block
-meets one chunk in one task, so neither a large leaf nor a popular one gathers in one place.
+Neighbouring leaves share a bin of about ``BLOCK_ROWS`` rows, and a leaf of more is a bin that is dealt into several blocks. The
+queries of a bin are dealt into chunks of about ``CHUNK_QUERIES``; one block meets one chunk in one task, where each query
+reads the leaves that it has not eliminated. So neither a large leaf nor a popular one gathers in one place, and a query
+takes as many rows from a bin as it wants, not from each leaf.
 """
 
 from __future__ import annotations
@@ -66,9 +68,10 @@ class Tree:
     width: int
     nodes: list[Node] = field(default_factory=list)
     leaves: int = 0
-    # Of each leaf: rows, least and greatest squared norm.
+    # Of each leaf: rows, least and greatest squared norm, bin.
     rows: np.ndarray | None = None
     norms: np.ndarray | None = None
+    bins: np.ndarray | None = None
 
     def place(self, x: np.ndarray, seen=None) -> np.ndarray:
         """The leaf of each row; ``seen(node, squared distances, child of each row)`` is told of every step."""
@@ -224,51 +227,70 @@ def _with_ranges(tree: Tree, placed: DataFrame) -> Tree:
     tree.rows, tree.norms = np.zeros(tree.leaves, np.int64), np.zeros((2, tree.leaves))
     for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("squared").alias("low"), F.max("squared").alias("high")).collect():
         tree.rows[r.leaf], tree.norms[:, r.leaf] = r.n, (r.low, r.high)
+    tree.bins, filled = np.zeros(tree.leaves, np.int64), 0
+    for leaf in range(1, tree.leaves):
+        filled += tree.rows[leaf - 1]
+        full = filled + tree.rows[leaf] > BLOCK_ROWS
+        tree.bins[leaf] = tree.bins[leaf - 1] + full
+        filled = 0 if full else filled
     return tree
 
 
 def _leaves_of(queries: DataFrame, tree: Tree, first: bool) -> DataFrame:
-    """A row of (key, id, label, vector, windows, leaf) for each leaf that a query must read, with all of its windows; ``first``: the
-    leaf to begin with, for each window."""
+    """A row of (key, id, label, vector, windows, leaves, bin) for each bin of which a query must read ``leaves``, with all of its windows;
+    ``first``: the leaf to begin with, for each window."""
     shared = queries.sparkSession.sparkContext.broadcast(tree)
     kept = ["key", "id", "label", "vector"]
 
     def run(batches):
+        bins = shared.value.bins
         for whole in batches:
             for k in range(0, whole.num_rows, QUERIES_AT_ONCE):
                 batch = whole.slice(k, QUERIES_AT_ONCE)
                 windows = batch.column("windows").to_pylist()
                 least, greatest = shared.value.bounds(_matrix(batch.column("vector"), shared.value.width))
-                out: tuple[list, list, list] = ([], [], [])
+                out: tuple[list, ...] = ([], [], [], [])
                 for row, own in enumerate(windows):
                     alive = [np.flatnonzero((greatest[row] >= w["low"]) & (least[row] <= w["high"])) for w in own]
                     if first:
-                        reads: dict[int, list] = {}
+                        begun: dict[int, list] = {}
                         for w, at in zip(own, alive):
                             if len(at):
-                                reads.setdefault(int(at[least[row][at].argmax()]), []).append(w)
+                                begun.setdefault(int(at[least[row][at].argmax()]), []).append(w)
+                        reads = [(bins[leaf], [leaf], some) for leaf, some in begun.items()]
                     else:
-                        reads = dict.fromkeys(np.unique(np.concatenate(alive)).tolist() if alive else (), own)
-                    for leaf, some in reads.items():
-                        for column, value in zip(out, (row, some, leaf)):
+                        left = np.unique(np.concatenate(alive)) if alive else np.zeros(0, np.int64)
+                        reads = [(at, left[bins[left] == at].tolist(), own) for at in np.unique(bins[left])]
+                    for at, leaves, some in reads:
+                        for column, value in zip(out, (row, some, leaves, int(at))):
                             column.append(value)
                 taken = batch.select(kept).take(pa.array(out[0], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(out[1], batch.column("windows").type), pa.array(out[2], pa.int64())], [*kept, "windows", "leaf"])
+                yield pa.RecordBatch.from_arrays(
+                    [*taken.columns, pa.array(out[1], batch.column("windows").type), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int64())],
+                    [*kept, "windows", "leaves", "bin"],
+                )
 
-    return queries.select(*kept, "windows").mapInArrow(run, f"key long, id long, label string, vector binary, windows {WINDOWS}, leaf long")
+    return queries.select(*kept, "windows").mapInArrow(run, f"key long, id long, label string, vector binary, windows {WINDOWS}, leaves array<long>, bin long")
 
 
 def _scored(pairs: DataFrame, placed: DataFrame, tree: Tree, same: bool, take: int) -> DataFrame:
-    """(key, need, id, score): of each leaf block the ``take`` best rows in each window of each query of stored ``pairs``."""
+    """(key, need, id, score): of each block the ``take`` best rows in each window of each query of stored ``pairs``."""
     spark = placed.sparkSession
-    asked = {r.leaf: r["count"] for r in pairs.groupBy("leaf").count().collect()}  # at most a row for each leaf
-    shape = [(leaf, -(-int(tree.rows[leaf]) // BLOCK_ROWS), -(-n // CHUNK_QUERIES)) for leaf, n in asked.items()]
-    # As many rows as leaves, which the sample bounds.
-    shape = F.broadcast(spark.createDataFrame(shape, "leaf long, blocks long, chunks long"))
+    asked = {r.bin: r["count"] for r in pairs.groupBy("bin").count().collect()}  # at most a row for each bin
+    held = np.bincount(tree.bins, tree.rows).astype(np.int64)
+    shape = [(at, -(-int(held[at]) // BLOCK_ROWS), -(-n // CHUNK_QUERIES)) for at, n in asked.items()]
+    # As many rows as leaves at most, which the sample bounds.
+    shape = F.broadcast(spark.createDataFrame(shape, "bin long, blocks long, chunks long"))
+    bins = F.broadcast(spark.createDataFrame(list(enumerate(tree.bins.tolist())), "leaf long, bin long"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    none = lambda kind: F.lit(None).cast(kind)
-    left = pairs.join(shape, "leaf").select("leaf", upto("blocks").alias("block"), F.pmod(F.xxhash64("key"), "chunks").alias("chunk"), "key", "id", "label", "vector", "windows")
-    right = placed.join(shape, "leaf").select("leaf", F.pmod("number", "blocks").alias("block"), upto("chunks").alias("chunk"), none("long").alias("key"), "id", "label", "vector", none(WINDOWS).alias("windows"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    left = pairs.join(shape, "bin").select(
+        "bin", upto("blocks").alias("block"), F.pmod(F.xxhash64("key"), "chunks").alias("chunk"), "key", "id", "label", "vector", "windows", "leaves", none("long", "leaf")
+    )
+    right = placed.join(bins, "leaf").join(shape, "bin").select(
+        "bin", F.pmod("number", "blocks").alias("block"), upto("chunks").alias("chunk"), none("long", "key"), "id", "label", "vector",
+        none(WINDOWS, "windows"), none("array<long>", "leaves"), "leaf",
+    )
     width = tree.width
 
     def run(table: pa.Table) -> pa.Table:
@@ -282,13 +304,20 @@ def _scored(pairs: DataFrame, placed: DataFrame, tree: Tree, same: bool, take: i
         labels = one("label").dictionary_encode().indices.to_numpy(zero_copy_only=False)
         rows = np.flatnonzero(~queries)
         rows = rows[np.argsort(ids[rows], kind="stable")]
-        asking, keys, windows = np.flatnonzero(queries), one("key"), one("windows")
+        asking, keys, windows, reads = np.flatnonzero(queries), one("key"), one("windows"), one("leaves")
+        leaf = one("leaf").fill_null(-1).to_numpy(zero_copy_only=False)[rows]
+        first = leaf.min()
+        alive = np.zeros(leaf.max() - first + 1, bool)
         found: tuple[list, ...] = ([], [], [], [])
         for k in range(0, len(asking), QUERIES_AT_ONCE):
             part = asking[k : k + QUERIES_AT_ONCE]
             scores = (x[part] @ x[rows].T).astype(np.int64)
             fits = ((labels[part][:, None] == labels[rows]) == same) & (ids[part][:, None] != ids[rows])
             for q, score, fit in zip(part.tolist(), scores, fits):
+                some = np.array(reads[q].as_py()) - first
+                alive[:] = False
+                alive[some[(some >= 0) & (some < len(alive))]] = True
+                fit &= alive[leaf - first]
                 for w in windows[q].as_py():
                     at = np.flatnonzero(fit & (score >= w["low"]) & (score <= w["high"]))
                     if len(at) > take:
@@ -299,7 +328,7 @@ def _scored(pairs: DataFrame, placed: DataFrame, tree: Tree, same: bool, take: i
                         column.append(values)
         return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in found], ["key", "need", "id", "score"]) if found[0] else empty
 
-    return left.unionByName(right).groupBy("leaf", "block", "chunk").applyInArrow(run, "key long, need long, id long, score long")
+    return left.unionByName(right).groupBy("bin", "block", "chunk").applyInArrow(run, "key long, need long, id long, score long")
 
 
 def _best(found: DataFrame, take: int) -> DataFrame:
