@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.operators import features, sequences
 from tracemill.plans import experiments, preprocess, report
 from tracemill.sources import logs, summary, tables
 from tracemill.streaming import lines as stream_lines
@@ -41,7 +42,7 @@ def test_full_run_then_load(spark, tmp_path):
     assert {len(r.ids) for r in out["padded"].collect()} == {10}
     assert out["occurrence"].count() == out["statistics"].count() == 11
     assert spark.read.parquet(str(tmp_path / "out_full/parsed")).count() == 60
-    wide = spark.read.options(header=True).csv(str(tmp_path / "out_full/occurrence_matrix"))
+    wide = spark.read.options(header=True).csv(str(tmp_path / "out_full/occurrence_matrix/00000"))
     assert wide.columns[0] == "seq_id" and wide.columns[-1] == "label" and len(wide.columns) == 6 and wide.count() == 11
     metadata = spark.read.parquet(str(tmp_path / "out_full/metadata"))
     assert metadata.count() == 11 and metadata.agg(F.max("window_end")).first()[0] == 60
@@ -120,6 +121,55 @@ def test_vocabulary_files(spark, tmp_path):
     assert {r.idx: r.event for r in tables.read_reverse_vocabulary(spark, str(tmp_path / "r.json")).collect()} == {0: "E1", 1: "E10"}
 
 
+@pytest.mark.parametrize("events, columns", [(2_001, 2_000), (30, 7)])
+def test_a_run_writes_the_same_tables_at_any_width(spark, tmp_path, monkeypatch, events, columns):
+    """More events than columns of a block, and a sequence longer than a dense row may be."""
+    monkeypatch.setattr(features, "BLOCK_COLUMNS", columns)
+    monkeypatch.setattr(features, "MAX_ROW", 100)
+    word = lambda k: "".join(chr(97 + int(d)) for d in f"{k:04d}")
+    lines = [f"blk_1 {word(k)} {word(k)}x {word(k)}y" for k in range(events)] + [f"blk_2 {word(3)} {word(3)}x {word(3)}y"] * 3
+    (tmp_path / "raw.log").write_text("\n".join(lines) + "\n")
+    (tmp_path / "t.csv").write_text("EventId,EventTemplate\n" + "".join(f"E{k:04d},<*> {word(k)} {word(k)}x {word(k)}y\n" for k in range(events)))
+    out = preprocess.run(spark, {
+        "dataset": {"mode": "match", "raw_log_path": str(tmp_path / "raw.log"), "output_dir": str(tmp_path / "out")},
+        "parsing": {"templates_file": str(tmp_path / "t.csv")},
+        "features": {"save_occurrence_matrix": True},
+    })
+    width, blocks = events, -(-events // columns)
+    ids = {(r.seq_id, r.block): r.ids for r in out["padded"].collect()}
+    assert [len(ids["blk_1", k]) for k in range(blocks)] == [columns] * (blocks - 1) + [width - columns * (blocks - 1)]
+    assert sum((ids["blk_1", k] for k in range(blocks)), []) == list(range(1, events + 1))
+    assert {k: v for k, v in ids.items() if k[0] == "blk_2"} == {("blk_2", 0): [4] * 3 + [0] * (min(columns, width) - 3)}
+    counts = {(r.seq_id, r.block): r.counts for r in out["occurrence"].collect()}
+    blocks = -(-(events + 1) // columns)
+    assert sum((counts["blk_1", k] for k in range(blocks)), []) == [0] + [1] * events
+    assert [k for s, k in counts if s == "blk_2"] == [0] and counts["blk_2", 0][4] == 3 and sum(counts["blk_2", 0]) == 3
+    seen = {}
+    for k in range(blocks):
+        part = spark.read.options(header=True).csv(str(tmp_path / f"out/occurrence_matrix/{k:05d}"))
+        assert part.count() == 2 and part.columns[0] == "seq_id" and part.columns[-1] == "label"
+        for r in part.collect():
+            seen.setdefault(r.seq_id, []).extend(zip(part.columns[1:-1], map(int, r[1:-1])))
+    assert [e for e, _ in seen["blk_1"]] == ["<PAD>"] + [f"E{k:04d}" for k in range(events)]
+    assert [n for _, n in seen["blk_1"]] == [0] + [1] * events
+    assert {e: n for e, n in seen["blk_2"] if n} == {"E0003": 3}
+
+
+def test_padded_blocks_of_cut_sequences(spark):
+    """Pieces that do not end where blocks do, in both forms of a sequence."""
+    rows = [(k % 3, chr(97 + (k * k) % 11), k) for k in range(100)] + [(9, "z", 1000)]
+    log = spark.createDataFrame([(i, str(b), e, 0) for b, e, i in rows], "line_id BIGINT, block_id STRING, event_id STRING, label INT")
+    for piece in (7, 1000):
+        seqs = sequences.by_block(log, max_piece=piece)
+        vocab = features.vocabulary(seqs)
+        whole = {r.seq_id: r.ids for r in features.padded(sequences.by_block(log), vocab).collect()}
+        got = {}
+        for r in features.padded_blocks(seqs, vocab, columns=10).orderBy("seq_id", "block").collect():
+            assert r.block == len(got.get(r.seq_id, [])) // 10
+            got[r.seq_id] = got.get(r.seq_id, []) + r.ids
+        assert {s: v + [0] * (len(whole[s]) - len(v)) for s, v in got.items()} == whole
+
+
 def test_occurrence_matrix_file(spark, tmp_path):
     (tmp_path / "m.csv").write_text("BlockId,Label,Type,E1,E2\nb1,Success,x,2,0\nb2,Anomaly,y,0,3\n")
     wide = tables.read_occurrence_matrix(spark, str(tmp_path / "m.csv"), ["E1", "E2"])

@@ -17,6 +17,8 @@ MAP_VOCABULARY = 2_000
 BROADCAST_VOCABULARY = 5_000_000
 # Longest dense row that ``padded`` will build.
 MAX_ROW = 1_000_000
+# Columns of one block of a matrix that may be of any width.
+BLOCK_COLUMNS = 2_000
 
 
 def events_of(seqs: DataFrame, *more: str | Column) -> DataFrame:
@@ -42,9 +44,10 @@ def inverse(vocab: DataFrame) -> DataFrame:
     return vocab.select("idx", "event")
 
 
-def _translate(seqs: DataFrame, vocab: DataFrame, source: str, key: str, value: str, missing: Column) -> DataFrame:
-    """Translate the array ``source`` entry by entry into an array column ``_out``."""
-    if vocab.limit(MAP_VOCABULARY + 1).count() <= MAP_VOCABULARY:
+def _translate(seqs: DataFrame, vocab: DataFrame, source: str, key: str, value: str, missing: Column, most: int | None = None) -> DataFrame:
+    """Translate the array ``source`` entry by entry into an array column ``_out``, by a map of up to ``most`` entries or a join."""
+    most = MAP_VOCABULARY if most is None else most
+    if vocab.limit(most + 1).count() <= most:
         lookup = vocab.agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
         found = F.transform(source, lambda e: F.coalesce(F.try_element_at("_lookup", e), missing))
         return seqs.withColumn("_lookup", lookup).withColumn("_out", found).drop("_lookup")
@@ -59,9 +62,9 @@ def _translate(seqs: DataFrame, vocab: DataFrame, source: str, key: str, value:
     )
 
 
-def encode(seqs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Add ``ids`` (0 for events outside the vocabulary) and ``oov_count``."""
-    out = _translate(seqs, vocab, "events", "event", "idx", F.lit(0)).withColumnRenamed("_out", "ids")
+def encode(seqs: DataFrame, vocab: DataFrame, most: int | None = None) -> DataFrame:
+    """Add ``ids`` (0 for events outside the vocabulary) and ``oov_count``; vocabularies beyond ``most`` entries are joined."""
+    out = _translate(seqs, vocab, "events", "event", "idx", F.lit(0), most).withColumnRenamed("_out", "ids")
     return out.withColumn("oov_count", F.size("ids") - F.size(arrays.without_padding(F.col("ids"))))
 
 
@@ -118,12 +121,74 @@ def padded(
     return both.withColumn("ids", arrays.padded(F.col("ids"), width.cast("int")))
 
 
+def padded_blocks(seqs: DataFrame, vocab: DataFrame, max_length: int | None = None, columns: int = BLOCK_COLUMNS) -> DataFrame:
+    """``(seq_id, label, block, ids, oov_count)``: the matrix of ``padded`` in blocks of ``columns`` columns, for any width.
+
+    Block k holds the columns from ``k * columns`` on, the last one those that are left. Every sequence has block 0; further
+    blocks that would hold padding alone are left out, so the rows grow with the events, not with the longest sequence.
+    """
+    most = seqs.agg(F.max("length")).first()[0] or 0 if max_length is None else max_length
+    zero, step, width = (F.lit(x).cast("long") for x in (0, columns, most))
+    cut = seqs.withColumn("events", arrays.overlap(F.col("events"), F.col("start"), zero, width))
+    coded = encode(cut, vocab).where((F.size("ids") > 0) | (F.col("start") == 0))
+    first = F.floor(F.col("start") / step)
+    last = F.greatest(first, F.floor((F.col("start") + F.size("ids") - 1) / step))
+    parts = coded.select("seq_id", "label", "start", "length", "ids", F.explode(F.sequence(first, last)).alias("block"))
+    low = F.col("block") * step
+    parts = parts.withColumn("_part", arrays.overlap(F.col("ids"), F.col("start"), low, low + step))
+    whole = F.size("ids") == F.least("length", width)
+    joined = (
+        parts.where(~whole).groupBy("seq_id", "label", "block")
+        .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("start", "_part"))), lambda x: x["_part"])).alias("_part"))
+    )
+    both = parts.where(whole).select("seq_id", "label", "block", "_part").unionByName(joined)
+    here = F.least(step, width - F.col("block") * step).cast("int")
+    oov = F.size(F.filter("_part", lambda x: x == 0))
+    return both.select("seq_id", "label", "block", arrays.padded(F.col("_part"), here).alias("ids"), oov.alias("oov_count"))
+
+
+def occurrence_blocks(seqs: DataFrame, vocab: DataFrame, columns: int = BLOCK_COLUMNS) -> DataFrame:
+    """``(seq_id, label, block, counts)``: the matrix of ``occurrence_dense`` in blocks of ``columns`` vocabulary entries.
+
+    Every sequence has block 0, which begins with the padding column; further blocks of zeros alone are left out.
+    """
+    events = F.concat("events", F.array(F.lit(PADDING)))
+    counted = seqs.select("seq_id", "label", F.explode(events).alias("event")).groupBy("seq_id", "label", "event").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    counted = counted.join(broadcast_if_small(vocab, BROADCAST_VOCABULARY), "event")
+    n = F.when(F.col("idx") == 0, 0).otherwise(F.col("n"))
+    cells = counted.select("seq_id", "label", F.floor(F.col("idx") / columns).alias("block"), (F.col("idx") % columns).alias("at"), n.alias("n"))
+    maps = cells.groupBy("seq_id", "label", "block").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("_n"))
+    maps = maps.withColumn("_size", vocab.agg(F.max("idx") + 1).scalar())
+    here = F.least(F.lit(columns).cast("long"), F.col("_size") - F.col("block") * columns).cast("int")
+    dense = F.transform(F.sequence(F.lit(0), here - 1), lambda k: F.coalesce(F.try_element_at("_n", k), F.lit(0)))
+    return maps.select("seq_id", "label", "block", dense.alias("counts"))
+
+
+def _whole(seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sequences that lie in one row, with ``counts`` (event, n) of their distinct events, and the pieces of the others.
+
+    Once a sequence is sorted, the counts are the lengths of its stretches of equal events.
+    """
+    whole = F.size("events") == F.col("length")
+    # Each step is a column of its own: an expression inside a lambda would be computed for every element.
+    rows = seqs.where(whole).withColumn("_sorted", F.array_sort(F.filter("events", lambda e: e.isNotNull())))
+    places = F.sequence(F.lit(0), F.size("_sorted"))
+    starts = F.filter(places, lambda k: (k == 0) | F.coalesce(F.get("_sorted", k) != F.get("_sorted", k - 1), F.lit(True)))
+    rows = rows.withColumn("_starts", F.when(F.size("_sorted") > 0, starts).otherwise(F.array().cast("array<int>")))
+    # The last start is the end.
+    rows = rows.withColumn("_ends", F.slice("_starts", F.lit(2), F.size("_starts")))
+    counts = F.transform("_ends", lambda to, j: F.struct(F.get("_sorted", to - 1).alias("event"), (to - F.get("_starts", j)).cast("long").alias("n")))
+    return rows.withColumn("counts", counts).drop("_sorted", "_starts", "_ends"), seqs.where(~whole)
+
+
 def occurrence(seqs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """Long form ``(seq_id, event, n)``; events outside a given vocabulary are left out."""
-    events = events_of(seqs, "seq_id")
-    if vocab is not None:
-        events = events.join(broadcast_if_small(vocab.select("event"), BROADCAST_VOCABULARY), "event", "left_semi")
-    return events.groupBy("seq_id", "event").agg(F.count(F.lit(1)).alias("n"))
+    """Long form ``(seq_id, event, n)``; events outside a given vocabulary are left out. Only pieces of cut sequences are shuffled."""
+    whole, pieces = _whole(seqs)
+    known = broadcast_if_small(vocab.select("event"), BROADCAST_VOCABULARY) if vocab is not None else None
+    limited = lambda df: df if known is None else df.join(known, "event", "left_semi")
+    inside = limited(whole.select("seq_id", F.inline("counts")))
+    across = limited(events_of(pieces, "seq_id").where("event IS NOT NULL")).groupBy("seq_id", "event").agg(F.count(F.lit(1)).alias("n"))
+    return inside.unionByName(across)
 
 
 def occurrence_dense(seqs: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -163,20 +228,23 @@ def unpivoted(wide: DataFrame, key: str, events: Sequence[str]) -> DataFrame:
 def statistics(seqs: DataFrame) -> DataFrame:
     """Length, distinct events, entropy, top count, repetition rate and diversity of each sequence.
 
-    Works on counts per (sequence, event), which combine before the shuffle, so a long sequence costs no
-    task more than its number of distinct events.
+    Events are counted within the row where it holds the whole sequence. Pieces of cut sequences are counted per (sequence, event),
+    which combines before the shuffle, so a long sequence costs no task more than its number of distinct events.
     """
-    counts = (
-        seqs.select("seq_id", "label", "length", F.explode_outer("events").alias("event"))
-        .groupBy("seq_id", "label", "length", "event")
-        .agg(F.count("event").alias("n"))
-    )
-    p = F.col("n") / F.col("length")
-    stats = counts.groupBy("seq_id", "label", "length").agg(
-        F.count("event").alias("unique_events"),
-        F.sum(F.when(F.col("n") > 0, -p * F.log2(p + F.lit(1e-10)))).alias("entropy"),
-        F.max("n").alias("max_event_freq"),
+    whole, pieces = _whole(seqs)
+    share = lambda n: n / F.col("length")
+    part = lambda n: -share(n) * F.log2(share(n) + F.lit(1e-10))
+    columns = ["seq_id", "label", "length"]
+    inside = whole.select(
+        *columns, F.size("counts").cast("long").alias("unique_events"),
+        F.aggregate("counts", F.lit(0.0), lambda total, c: total + part(c["n"])).alias("entropy"),
+        F.coalesce(F.array_max(F.transform("counts", lambda c: c["n"])), F.lit(0).cast("long")).alias("max_event_freq"),
+    )
+    counts = pieces.select(*columns, F.explode("events").alias("event")).where("event IS NOT NULL").groupBy(*columns, "event").agg(F.count("event").alias("n"))
+    across = counts.groupBy(*columns).agg(
+        F.count("event").alias("unique_events"), F.sum(part(F.col("n"))).alias("entropy"), F.max("n").alias("max_event_freq")
     )
+    stats = inside.unionByName(across)
     length = F.col("length")
     return stats.select(
         "seq_id",

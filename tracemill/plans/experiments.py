@@ -9,8 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators import explore, features, iforest, metrics, nextevent, split
-from tracemill.session import materialise
+from tracemill.operators import explore, features, iforest, matching, metrics, nextevent, sequences, split
+from tracemill.session import broadcast_if_small, materialise
 
 
 @dataclass
@@ -22,9 +22,19 @@ class Result:
 
 
 def vectors_of(seqs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Occurrence vectors ``(seq_id, label, vector)``."""
-    dense = features.occurrence_dense(seqs, vocab)
-    return dense.select("seq_id", "label", F.col("counts").cast("array<double>").alias("vector"))
+    """Sparse occurrence vectors ``(seq_id, label, vector)``: (index, value) of the events that a sequence has.
+
+    The index is that of the vocabulary; sequences without a known event have an empty vector. No row is as wide as the
+    vocabulary.
+    """
+    counted = (
+        seqs.select("seq_id", "label", F.explode_outer("events").alias("event"))
+        .groupBy("seq_id", "label", "event")
+        .agg(F.count("event").cast("double").alias("value"))
+        .join(broadcast_if_small(vocab.select("event", "idx"), features.BROADCAST_VOCABULARY), "event", "left")
+    )
+    entry = F.when(F.col("idx").isNotNull(), F.struct(F.col("idx").alias("index"), "value"))  # NULL entries are not collected
+    return counted.groupBy("seq_id", "label").agg(F.sort_array(F.collect_list(entry)).alias("vector"))
 
 
 def wide_vectors(wide: DataFrame, events: Sequence[str]) -> DataFrame:
@@ -103,6 +113,18 @@ def cross_dataset_next_event(train_seqs: DataFrame, other_seqs: DataFrame, order
     return Result(model, detected, evaluated, evaluated)
 
 
+def cross_catalogue_next_event(
+    train_seqs: DataFrame, known: DataFrame, lines: DataFrame, catalogue: DataFrame, least: float = 0.5, order: int = 3, top_k: int = 4
+) -> Result:
+    """Learn from the normal sequences of one dataset and test on another that has other event ids.
+
+    ``known`` and ``catalogue`` (event_id, event_template) are the templates of the two. The events of ``lines`` (line_id,
+    block_id, event_id, label) take the id of the most similar known template; others are unknown to the model.
+    """
+    translated = matching.in_known_events(lines, matching.aligned(catalogue, known, least))
+    return cross_dataset_next_event(train_seqs, sequences.by_block(translated), order, top_k)
+
+
 def cross_dataset_forest(train_seqs: DataFrame, other_seqs: DataFrame, n_estimators: int = 100, seed: int = 42) -> Result:
     """Fit on one dataset's occurrence vectors, score another's in the same vocabulary; unknown events are counted."""
     vocab = features.vocabulary(train_seqs)

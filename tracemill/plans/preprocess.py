@@ -24,8 +24,6 @@ KEYS = {
     "output": "save_templates save_metadata save_parsed_logs",
     "loading": "source_dir num_templates files",
 }
-# Vocabularies up to this size are also written as a CSV with one column per event.
-WIDE_EVENTS = 2_000
 _METADATA = ("seq_id", "strategy", "block_id", "session_id", "window_start", "window_end", "time_span_seconds", "length")
 
 
@@ -139,14 +137,9 @@ def preprocess(raw: DataFrame, config: Mapping[str, Any]) -> dict[str, DataFrame
 def _features(out: dict[str, DataFrame], options: Mapping[str, Any]) -> None:
     seqs = out["sequences"]
     out["vocabulary"] = features.vocabulary(seqs)
-    width = options.get("max_length")
-    if width is None and (seqs.agg(F.max("length")).first()[0] or 0) > features.MAX_ROW:
-        # No dense row for the longest sequence: ids are given whole, piece by piece.
-        out["encoded"] = features.encode(seqs, out["vocabulary"])
-    else:
-        out["padded"] = features.padded(seqs, out["vocabulary"], width)
+    out["padded"] = features.padded_blocks(seqs, out["vocabulary"], options.get("max_length"), features.BLOCK_COLUMNS)
     if options.get("save_occurrence_matrix", False):
-        out["occurrence"] = features.occurrence_dense(seqs, out["vocabulary"])
+        out["occurrence"] = features.occurrence_blocks(seqs, out["vocabulary"], features.BLOCK_COLUMNS)
     if options.get("save_statistical", False):
         out["statistics"] = features.statistics(seqs)
 
@@ -192,12 +185,11 @@ def run(
         _features(out, _section(config, "features"))
         if options.get("save_metadata", True):
             out["metadata"] = split.heads(out["sequences"]).select(*_METADATA)
-        for table in ("vocabulary", "padded", "encoded", "occurrence", "statistics", "metadata"):
+        for table in ("vocabulary", "padded", "occurrence", "statistics", "metadata"):
             store(table)
         if folder and "occurrence" in out:
-            events = [r["event"] for r in out["vocabulary"].orderBy("idx").limit(WIDE_EVENTS + 1).collect()]
-            if len(events) <= WIDE_EVENTS:
-                tables.write_occurrence(tables.wide_occurrence(out["occurrence"], events), f"{folder}/occurrence_matrix")
+            labels = split.heads(out["sequences"]).select("seq_id", "label")
+            tables.write_occurrence_blocks(labels, out["occurrence"], out["vocabulary"], f"{folder}/occurrence_matrix", features.BLOCK_COLUMNS)
         if options.get("save_templates", True):
             store("templates")
         if options.get("save_parsed_logs", False):

@@ -27,10 +27,10 @@ class Registry:
 
 
 def registry() -> Registry:
-    from tracemill.queries import explore, features, ingest, models, sequences, templates
+    from tracemill.queries import explore, features, ingest, models, sequences, stores, streams, templates
 
     merged = Registry()
-    for module in (ingest, templates, sequences, features, explore, models):
+    for module in (ingest, templates, sequences, features, explore, models, stores, streams):
         merged.queries.update(module.REGISTRY.queries)
         merged.sql.update(module.REGISTRY.sql)
     return merged

@@ -190,17 +190,26 @@ def feature_quality(spark, folder):
     return rounded(explore.feature_quality(stats(spark, folder)))
 
 
+# Steps of the integral behind a p-value.
+_STEPS = 4000
+
+
 @add(
     "t_test",
     f"""WITH {i.SEQUENCES}, m AS (SELECT count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1,
       avg(length) FILTER (WHERE label = 0) AS m0, avg(length) FILTER (WHERE label = 1) AS m1,
-      var_samp(length) FILTER (WHERE label = 0) AS v0, var_samp(length) FILTER (WHERE label = 1) AS v1 FROM seqs)
-    SELECT round((m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)), 6) AS t_statistic,
-      CAST(n0 + n1 - 2 AS DOUBLE) AS degrees_of_freedom FROM m""",
+      var_samp(length) FILTER (WHERE label = 0) AS v0, var_samp(length) FILTER (WHERE label = 1) AS v1 FROM seqs),
+    s AS (
+      SELECT (m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) AS t, CAST(n0 + n1 - 2 AS DOUBLE) AS v FROM m),
+    density AS (
+      SELECT k, exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + pow(abs(t) * k / {_STEPS}, 2) / v, -(v + 1) / 2) AS d
+      FROM s, range({_STEPS} + 1) r(k)),
+    p AS (SELECT CASE WHEN (SELECT t FROM s) IS NOT NULL THEN greatest(0, 1 - 2 * sum(d * CASE WHEN k IN (0, {_STEPS}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * (SELECT abs(t) FROM s) / {_STEPS} / 3) END AS p FROM density)
+    SELECT round(t, 6) AS t_statistic, v AS degrees_of_freedom, round(p, 6) AS p_value, p < {explore.SIGNIFICANCE} AS significant FROM s, p""",
 )
 def t_test(spark, folder):
-    """The p-value has no SQL equivalent; unit tests check it against tables."""
-    return rounded(explore.t_test(event_sequences(spark, folder), "length").select("t_statistic", "degrees_of_freedom"))
+    """The SQL integrates the density of t by Simpson's rule."""
+    return rounded(explore.t_test(event_sequences(spark, folder), "length"))
 
 
 def _histogram_sql(source: str, column: str, bins: int, by: str | None, shared: bool) -> str:
@@ -287,6 +296,19 @@ def align_check(spark, folder):
     return split.alignment(seqs.select("seq_id", "label"), features.occurrence_wide(seqs, EVENTS))
 
 
+@add(
+    "align_mismatches",
+    f"""WITH {i.SEQUENCES}, pairs AS (SELECT CAST(seq_id AS BIGINT) % 7 AS seven, CAST(seq_id AS BIGINT) % 5 AS five FROM seqs)
+    SELECT count(*) FILTER (seven <> 0 AND five <> 1) AS aligned, count(*) FILTER (seven = 0 OR five = 1) AS mismatches FROM pairs""",
+)
+def align_mismatches(spark, folder):
+    """Sequences against a matrix that lacks one in seven and has another label for one in five."""
+    seqs = event_sequences(spark, folder)
+    wide = features.occurrence_wide(seqs, EVENTS).where(F.col("seq_id").cast("bigint") % 7 != 0)
+    flipped = F.when(F.col("seq_id").cast("bigint") % 5 == 1, 1 - F.col("label")).otherwise(F.col("label"))
+    return split.alignment(seqs.select("seq_id", "label"), wide.withColumn("label", flipped))
+
+
 @add(
     "occurrence_label_join",
     f"""WITH {i.BLOCK_SEQUENCES}, n AS (SELECT seq_id, event, count(*) AS n FROM (SELECT seq_id, unnest(events) AS event FROM block_seqs) GROUP BY 1, 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
-from tracemill.operators import explore, features, iforest, metrics, nextevent, split
+from tracemill.operators import explore, features, iforest, matching, metrics, nextevent, split
 from tracemill.plans import experiments, preprocess
 from tracemill.queries import Registry
 from tracemill.queries import inputs as i
@@ -13,21 +13,22 @@ from tracemill.queries.explore import rounded
 from tracemill.queries.sequences import block_log_sequences, event_sequences
 from tracemill.queries.templates import mining_sql
 from tracemill.session import materialise
+from tracemill.sources import logs
 
 REGISTRY = Registry()
 add = REGISTRY.add
 
 ORDER, TOP_K = 2, 3
 
-def split_sql(seqs: str = "seqs") -> str:
+def split_sql(seqs: str = "seqs", train: float = 0.7, val: float = 0.15, test: float = 0.15) -> str:
     """``splits`` (seq_id, label, split) of the sequences in ``seqs``."""
     return f"""
 split_ranked AS (
   SELECT seq_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || seq_id)) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM {seqs}),
-split_sized AS (SELECT *, floor(n * CAST(0.15 AS DOUBLE) + 0.5) AS n_test FROM split_ranked),
+split_sized AS (SELECT *, floor(n * CAST({test} AS DOUBLE) + 0.5) AS n_test FROM split_ranked),
 splits AS (
   SELECT seq_id, label, CASE WHEN r < n_test THEN 'test'
-    WHEN r < n_test + floor((n - n_test) * (CAST(0.15 AS DOUBLE) / (CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE))) + 0.5) THEN 'val' ELSE 'train' END AS split
+    WHEN r < n_test + floor((n - n_test) * (CAST({val} AS DOUBLE) / (CAST({train} AS DOUBLE) + CAST({val} AS DOUBLE))) + 0.5) THEN 'val' ELSE 'train' END AS split
   FROM split_sized)"""
 
 
@@ -237,6 +238,58 @@ def cross_dataset_detect(spark, folder):
     return experiments.cross_dataset_next_event(seqs.where(even), seqs.where(~even), 2, TOP_K).predictions
 
 
+def _tokens_sql(catalogue: str) -> str:
+    return f"(SELECT DISTINCT t, unnest(regexp_split_to_array(t, '\\s+')) AS w FROM (SELECT DISTINCT masked AS t FROM {catalogue}))"
+
+
+LEAST_ALIKE = 0.2
+ALIGN_SQL = f"""{i.BLOCK_SEQUENCES}, {i.ALERT_MASKED},
+known_tokens AS (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM {_tokens_sql("block_masked")} WHERE w NOT IN ('', '<*>')),
+other_tokens AS (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM {_tokens_sql("alert_masked")} WHERE w NOT IN ('', '<*>')),
+alike AS (SELECT o.t, k.t AS known_id, 2.0::DOUBLE * count(*) / (max(o.n) + max(k.n)) AS similarity FROM other_tokens o JOIN known_tokens k USING (w) GROUP BY 1, 2),
+alignment AS (
+  SELECT t AS event_id, known_id, similarity FROM alike WHERE similarity >= {LEAST_ALIKE}::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY similarity DESC, known_id) = 1)"""
+
+
+def catalogue_of(lines):
+    """Distinct masked messages as templates under their own text."""
+    return lines.select(F.col("masked").alias("event_id"), F.col("masked").alias("event_template")).distinct()
+
+
+def both_catalogues(spark, folder):
+    alerts = logs.parse(i.alert_lines(spark, folder), i.ALERT_LOG_PATTERN, i.ALERT_LOG_MASKS).select("line_id", "masked")
+    blocks = logs.parse(i.block_lines(spark, folder), i.BLOCK_LOG_PATTERN, i.BLOCK_LOG_MASKS).select("masked")
+    return alerts, materialise(catalogue_of(alerts)), materialise(catalogue_of(blocks))
+
+
+@add("catalogue_alignment", f"WITH {ALIGN_SQL} SELECT event_id, known_id, round(similarity, 6) AS similarity FROM alignment")
+def catalogue_alignment(spark, folder):
+    """For each message shape of one log the most similar one of the other."""
+    _, other, known = both_catalogues(spark, folder)
+    return rounded(matching.aligned(other, known, LEAST_ALIKE))
+
+
+@add(
+    "cross_catalogue_detect",
+    f"""WITH {ALIGN_SQL},
+    texts AS (
+      SELECT 'a' || m.block_id AS seq_id, s.label, m.line_id, m.masked AS t FROM block_masked m JOIN block_seqs s ON m.block_id = s.seq_id
+      UNION ALL SELECT 'b' || e.user_id, max(CASE WHEN e.value > {i.ANOMALOUS_VALUE} THEN 1 ELSE 0 END) OVER (PARTITION BY e.user_id), a.line_id, coalesce(known_id, '<UNK>')
+      FROM alert_masked a JOIN events e ON a.line_id = e.event_id LEFT JOIN alignment l ON a.masked = l.event_id),
+    log AS (SELECT seq_id, label, line_id, 'e' || lpad(CAST(dense_rank() OVER (ORDER BY t) AS VARCHAR), 9, '0') AS event FROM texts),
+    {detected_sql(2, 2, "label = 0 AND seq_id LIKE 'a%'")}
+    SELECT substr(seq_id, 2) AS seq_id, label, pred, misses, transitions FROM detected WHERE seq_id LIKE 'b%'""",
+)
+def cross_catalogue_detect(spark, folder):
+    """Learn from the block log, test on the alert log in the block log's events."""
+    alerts, other, known = both_catalogues(spark, folder)
+    log = i.event_log(spark, folder).select("line_id", "block_id", "label")
+    lines = alerts.withColumnRenamed("masked", "event_id").join(log, "line_id")
+    seqs = materialise(block_log_sequences(spark, folder))
+    return experiments.cross_catalogue_next_event(seqs, known, lines, other, LEAST_ALIKE, 2, 2).predictions
+
+
 SCORED = f"SELECT CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label, CASE WHEN value > 60 THEN 1 ELSE 0 END AS pred, value AS score FROM events"
 
 
@@ -296,27 +349,148 @@ def min_max_scores(spark, folder):
     return rounded(metrics.min_max_flipped(i.table(spark, folder, "events"), "value").select("event_id", "proba"))
 
 
-@add("iforest_scores")
+def _h(*parts: str) -> str:
+    joined = " || '/' || ".join(f"({p})::VARCHAR" for p in parts)
+    return f"('0x' || substr(md5({joined}), 1, 15))::BIGINT"
+
+
+def _average_path(n: str) -> str:
+    return f"CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2.0::DOUBLE * (ln({n} - 1.0::DOUBLE) + {iforest.EULER_GAMMA}::DOUBLE) - 2.0::DOUBLE * ({n} - 1) / {n} END"
+
+
+def forest_sql(trees: int = 100, samples: int = 256, seed: int = 42, max_features: float = 1.0, width: str = "0") -> str:
+    """``forest_raw`` (seq_id, raw) of all ``scored_rows`` by a forest fitted on ``fitted_rows`` (seq_id VARCHAR both), whose non-zero
+    entries are in ``entries`` (seq_id, idx, value). Levels are written out, as many as a sample can have."""
+    p, depth = iforest.PRIME, max(1, (samples - 1).bit_length())
+    allowed = "true" if max_features >= 1 else "(tree, idx) IN (SELECT (tree, idx) FROM forest_features)"
+    out = [f"""
+forest_trees AS (SELECT t::INTEGER AS tree, 1 + {_h(str(seed), "'a'", "t")} % {p - 1} AS a, {_h(str(seed), "'b'", "t")} % {p} AS b FROM range({trees}) r(t)),
+forest_size AS (SELECT least({samples}, count(*)) AS psi, ceil(log2(greatest(least({samples}, count(*)), 2))) AS deepest FROM fitted_rows),
+forest_features AS (
+  SELECT tree, idx FROM (SELECT tree, f AS idx, row_number() OVER (PARTITION BY tree ORDER BY {_h(str(seed), "'feature'", "tree", "f")}, f) AS k
+  FROM forest_trees, range({width}) r(f)) WHERE k <= greatest(1, round_even({max_features}::DOUBLE * {width}, 0))),
+level_0 AS MATERIALIZED (
+  SELECT tree, seq_id, 0 AS node FROM (
+    SELECT tree, seq_id, row_number() OVER (PARTITION BY tree ORDER BY ({_h("seq_id")} % {p} * a + b) % {p}, seq_id) AS k FROM fitted_rows, forest_trees)
+  WHERE k <= (SELECT psi FROM forest_size))"""]
+    for d in range(depth + 1):
+        out.append(f"size_{d} AS MATERIALIZED (SELECT tree, node, count(*) AS size FROM level_{d} GROUP BY 1, 2)")
+        if d == depth:
+            out.append(f"nodes_{d} AS (SELECT tree, node, NULL::BIGINT AS feature, NULL::DOUBLE AS threshold, size, {d} AS depth FROM size_{d})")
+            break
+        out.append(f"""
+range_{d} AS (
+  SELECT s.tree, s.node, s.idx, CASE WHEN n < size THEN least(low, 0) ELSE low END AS low, CASE WHEN n < size THEN greatest(high, 0) ELSE high END AS high
+  FROM (SELECT tree, node, idx, min(value) AS low, max(value) AS high, count(*) AS n FROM level_{d} JOIN entries USING (seq_id) GROUP BY 1, 2, 3) s
+  JOIN size_{d} z ON s.tree = z.tree AND s.node = z.node),
+pick_{d} AS MATERIALIZED (
+  SELECT tree, node, idx AS feature, low + ({_h(str(seed), "tree", "node")}::DOUBLE / {float(1 << 60)}::DOUBLE) * (high - low) AS threshold FROM (
+    SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY {_h(str(seed), "tree", "node", "idx")}, idx) AS k FROM range_{d} WHERE high > low AND {allowed})
+  WHERE k = 1 AND {d} < (SELECT deepest FROM forest_size)),
+nodes_{d} AS (SELECT tree, node, feature, threshold, size, {d} AS depth FROM size_{d} LEFT JOIN pick_{d} USING (tree, node)),
+level_{d + 1} AS MATERIALIZED (
+  SELECT l.tree, l.seq_id, 2 * l.node + 1 + (coalesce(value, 0) > threshold)::INTEGER AS node FROM level_{d} l
+  JOIN pick_{d} k ON l.tree = k.tree AND l.node = k.node LEFT JOIN entries e ON l.seq_id = e.seq_id AND k.feature = e.idx)""")
+    nodes = " UNION ALL ".join(f"SELECT * FROM nodes_{d}" for d in range(depth + 1))
+    out.append(f"forest_nodes AS MATERIALIZED ({nodes})")
+    out.append("walk_0 AS (SELECT tree, seq_id, 0 AS node FROM scored_rows, forest_trees)")
+    for d in range(depth):
+        out.append(f"""walk_{d + 1} AS (
+  SELECT w.tree, w.seq_id, CASE WHEN feature IS NULL THEN w.node ELSE 2 * w.node + 1 + (coalesce(value, 0) > threshold)::INTEGER END AS node
+  FROM walk_{d} w JOIN forest_nodes n ON w.tree = n.tree AND w.node = n.node LEFT JOIN entries e ON w.seq_id = e.seq_id AND n.feature = e.idx)""")
+    path = f"round((depth + {_average_path('size')}) * {float(iforest.PATH_UNIT)}::DOUBLE)::BIGINT"
+    out.append(f"""forest_raw AS MATERIALIZED (
+  SELECT seq_id, -pow(2.0::DOUBLE, -(sum({path})::DOUBLE / {trees} / {float(iforest.PATH_UNIT)}::DOUBLE
+    / (SELECT CASE WHEN psi <= 1 THEN 1 ELSE {_average_path('psi')} END FROM forest_size))) AS raw
+  FROM walk_{depth} w JOIN forest_nodes n ON w.tree = n.tree AND w.node = n.node GROUP BY seq_id)""")
+    return ",\n".join(out)
+
+
+def _judged_sql(rows: str, offset: str) -> str:
+    """``judged`` (seq_id, score, pred, proba) of the ``rows``."""
+    return f"""forest_scored AS (SELECT seq_id, raw - ({offset}) AS score FROM forest_raw WHERE seq_id IN (SELECT seq_id FROM {rows})),
+judged AS (
+  SELECT seq_id, score, CASE WHEN score < 0 THEN 1 ELSE 0 END AS pred,
+    1 - coalesce((score - min(score) OVER ()) / nullif(max(score) OVER () - min(score) OVER (), 0), 0) AS proba FROM forest_scored)"""
+
+
+_EVENT_ENTRIES = f"""{i.STATS},
+vocab AS (SELECT event, row_number() OVER (ORDER BY event) AS idx FROM (SELECT DISTINCT event FROM event_n)),
+entries AS (SELECT seq_id, idx, n::DOUBLE AS value FROM event_n JOIN vocab USING (event)),
+fitted_rows AS (SELECT seq_id FROM seqs), scored_rows AS (SELECT seq_id FROM seqs)"""
+
+
+@add(
+    "iforest_scores",
+    f"""WITH {_EVENT_ENTRIES}, {forest_sql()}, {_judged_sql("seqs", "SELECT quantile_cont(raw, 0.1::DOUBLE) FROM forest_raw")}
+    SELECT seq_id, label, round(score, 6) AS score, pred, round(proba, 6) AS proba FROM judged JOIN seqs USING (seq_id)""",
+)
 def iforest_scores(spark, folder):
-    seqs = event_sequences(spark, folder)
+    """Occurrence vectors of all sequences, scored by a forest fitted on them; one in ten is anomalous."""
+    seqs = materialise(event_sequences(spark, folder))
     vectors = materialise(experiments.vectors_of(seqs, features.vocabulary(seqs)))
     forest = iforest.fit(vectors, contamination=0.1)
-    return iforest.score(forest, vectors).drop("vector")
+    return rounded(iforest.score(forest, vectors).drop("vector"))
+
+
+_EMBEDDING_ENTRIES = """
+vectors AS (SELECT vec_id::VARCHAR AS seq_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+cells AS (SELECT seq_id, unnest(v) AS value, generate_subscripts(v, 1) - 1 AS idx FROM vectors),
+entries AS MATERIALIZED (SELECT * FROM cells WHERE value <> 0),
+fitted_rows AS (SELECT seq_id FROM vectors), scored_rows AS (SELECT seq_id FROM vectors)"""
+
+
+def embedding_vectors(spark, folder):
+    rows = i.table(spark, folder, "embeddings").where("embedding IS NOT NULL")
+    return rows.select(F.col("vec_id").cast("string").alias("seq_id"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
-@add("iforest_embeddings")
+@add(
+    "iforest_embeddings",
+    f"WITH {_EMBEDDING_ENTRIES}, {forest_sql()}, {_judged_sql('vectors', '-0.5')} SELECT seq_id, round(score, 6) AS score, pred, round(proba, 6) AS proba FROM judged",
+)
 def iforest_embeddings(spark, folder):
-    vectors = i.table(spark, folder, "embeddings").select(
-        F.col("vec_id").cast("string").alias("seq_id"), F.col("embedding").cast("array<double>").alias("vector")
-    )
-    return iforest.score(iforest.fit(vectors), vectors).drop("vector")
+    vectors = embedding_vectors(spark, folder)
+    return rounded(iforest.score(iforest.fit(vectors), vectors).drop("vector"))
 
 
-@add("forest_experiment")
+@add(
+    "iforest_some_features",
+    f"""WITH {_EMBEDDING_ENTRIES}, {forest_sql(30, 64, 7, 0.25, "(SELECT max(idx) + 1 FROM cells)")}, {_judged_sql('vectors', '-0.5')}
+    SELECT seq_id, round(score, 6) AS score, pred, round(proba, 6) AS proba FROM judged""",
+)
+def iforest_some_features(spark, folder):
+    """A smaller forest whose trees each split on a quarter of the features."""
+    vectors = embedding_vectors(spark, folder)
+    forest = iforest.fit(vectors, n_estimators=30, max_samples=64, seed=7, max_features=0.25)
+    return rounded(iforest.score(forest, vectors).drop("vector"))
+
+
+@add(
+    "forest_experiment",
+    f"""WITH {i.BLOCK_SEQUENCES}, {split_sql("block_seqs", 0.6, 0.2, 0.2)},
+    block_n AS (SELECT block_id AS seq_id, masked AS event, count(*) AS n FROM block_masked WHERE block_id IS NOT NULL GROUP BY 1, 2),
+    vocab AS (SELECT event, row_number() OVER (ORDER BY event) AS idx FROM (SELECT DISTINCT event FROM block_n)),
+    entries AS MATERIALIZED (SELECT seq_id, idx, n::DOUBLE AS value FROM block_n JOIN vocab USING (event)),
+    fitted_rows AS MATERIALIZED (SELECT seq_id FROM splits WHERE split = 'train'), scored_rows AS MATERIALIZED (SELECT seq_id FROM splits WHERE split <> 'val'),
+    tested AS (SELECT seq_id FROM splits WHERE split = 'test'),
+    {forest_sql()}, train_raw AS (
+      SELECT raw, row_number() OVER (ORDER BY raw) - 1 AS r, (count(*) OVER () - 1) * (SELECT avg(label) FROM splits WHERE split = 'train') AS place
+      FROM forest_raw WHERE seq_id IN (SELECT seq_id FROM fitted_rows)),
+    ends AS (SELECT max(raw) FILTER (r = floor(place)) AS low, max(raw) FILTER (r = ceil(place)) AS high, max(place) AS place FROM train_raw),
+    {_judged_sql("tested", "SELECT low + (high - low) * (place - floor(place)) FROM ends")},
+    scored AS (SELECT label, pred, proba AS score FROM judged JOIN splits USING (seq_id)),
+    c AS (SELECT count(*) FILTER (WHERE label = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
+                 count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp FROM scored),
+    {AUC_SQL}
+    SELECT round((tp + tn) / (tn + fp + fn + tp), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
+      round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
+      tn, fp, fn, tp, round(coalesce(auc, 0), 6) AS auc FROM c, area""",
+)
 def forest_experiment(spark, folder):
     """Split, fit, score, evaluate on the block log's occurrence vectors."""
     seqs = materialise(block_log_sequences(spark, folder))
-    return experiments.forest_experiment(experiments.vectors_of(seqs, features.vocabulary(seqs))).metrics
+    return rounded(experiments.forest_experiment(experiments.vectors_of(seqs, features.vocabulary(seqs))).metrics)
 
 
 @add(

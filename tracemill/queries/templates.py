@@ -176,6 +176,47 @@ def match_statistics(spark, folder):
     return templates.match_statistics(template_match(spark, folder), catalogue(spark))
 
 
+LARGE_CATALOGUE_SQL = f"""{i.ALERT_LINES},
+catalogue(event_id, event_template) AS (
+  SELECT DISTINCT 'S' || u || '-' || k, 'user ' || u || ' selected plane B item ' || k || ' of <*>' FROM alert_parts
+  UNION SELECT DISTINCT 'P' || u, 'user ' || u || ' paid <*> units' FROM alert_parts
+  UNION SELECT DISTINCT 'R' || u || '-' || k, 'r' || k || '<*>x' || lpad(u, 8, '0') FROM alert_parts WHERE event_type IN ('signup', 'view')
+  UNION SELECT DISTINCT 'N' || u, 'r<*>' || right(u, 2) FROM alert_parts
+  UNION VALUES ('C1', 'm<*> check <*>'), ('C2', 'c<*>2'), ('B1', '<*> <*> <*> <*> <*>'), ('B2', '<*> <*> <*> <*> <*>'))"""
+
+
+@add(
+    "large_catalogue_match",
+    f"""WITH {LARGE_CATALOGUE_SQL},
+    candidates AS (
+      SELECT m.content, c.event_id, c.event_template, row_number() OVER (
+          PARTITION BY m.content ORDER BY length(replace(c.event_template, '<*>', '')) DESC, c.event_id) AS r
+      FROM (SELECT DISTINCT content FROM alert_content) m JOIN catalogue c ON m.content LIKE {_LIKE} ESCAPE '\\')
+    SELECT line_id, coalesce(c.event_id, '<UNK>') AS event_id, coalesce(c.event_template, '<UNK>') AS event_template
+    FROM alert_content a LEFT JOIN candidates c ON a.content = c.content AND c.r = 1""",
+)
+def large_catalogue_match(spark, folder):
+    """Unmasked messages against thousands of templates, many of them without a whole word."""
+    lines = materialise(logs.parse(i.alert_lines(spark, folder), i.ALERT_LOG_PATTERN).select("line_id", "content"))
+    parts = i.table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("u"), F.regexp_extract("props", r"(\d+)", 1).alias("k"), "event_type"
+    )
+    text_of = lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    u, k = F.col("u"), F.col("k")
+    made = [
+        parts.select(text_of("S", u, "-", k), text_of("user ", u, " selected plane B item ", k, " of <*>")),
+        parts.select(text_of("P", u), text_of("user ", u, " paid <*> units")),
+        parts.where(F.col("event_type").isin("signup", "view")).select(text_of("R", u, "-", k), text_of("r", k, "<*>x", F.lpad(u, 8, "0"))),
+        parts.select(text_of("N", u), text_of("r<*>", F.right(u, F.lit(2)))),
+        spark.createDataFrame([("C1", "m<*> check <*>"), ("C2", "c<*>2"), ("B1", "<*> <*> <*> <*> <*>"), ("B2", "<*> <*> <*> <*> <*>")], "a string, b string"),
+    ]
+    known = made[0]
+    for more in made[1:]:
+        known = known.union(more)
+    known = materialise(known.toDF("event_id", "event_template").distinct())
+    return matching.match(lines, known, "content").select("line_id", "event_id", "event_template")
+
+
 def mining_sql(lines: str) -> str:
     """Common table expressions from ``lines`` (line_id, masked) to ``mined`` (masked, event_id, event_template)."""
     return f"""

@@ -150,16 +150,28 @@ def load_preprocessed(spark: SparkSession, folder: str, files: Sequence[str] = (
     return out
 
 
-def wide_occurrence(dense: DataFrame, events: Sequence[str]) -> DataFrame:
-    """Dense counts ``(seq_id, label, counts)`` as one column per event, in the order of ``events``, then the label."""
-    return dense.select("seq_id", *[F.element_at("counts", k + 1).alias(e) for k, e in enumerate(events)], "label")
-
-
 def write_occurrence(wide: DataFrame, path: str) -> None:
     """Wide occurrence matrix with its label column as CSV."""
     wide.write.mode("overwrite").options(header=True).csv(path)
 
 
+def write_occurrence_blocks(rows: DataFrame, blocks: DataFrame, vocab: DataFrame, path: str, columns: int) -> list[str]:
+    """The labelled wide matrix as CSV files of ``columns`` events each, in ``path``/00000 and so on; returns their folders.
+
+    ``rows`` has (seq_id, label) of all sequences and ``blocks`` the counts by block of ``columns`` entries of ``vocab``. Every file has all
+    rows, by ``read_occurrence_matrix`` or any CSV reader; a block's column names pass through the driver, no counts do.
+    """
+    size = vocab.agg(F.max("idx") + 1).first()[0] or 0
+    written = []
+    for k in range(-(-size // columns)):
+        names = [r["event"] for r in vocab.where((F.col("idx") >= k * columns) & (F.col("idx") < (k + 1) * columns)).orderBy("idx").collect()]
+        joined = rows.select("seq_id", "label").join(blocks.where(F.col("block") == k).select("seq_id", "counts"), "seq_id", "left")
+        counts = [F.coalesce(F.get("counts", F.lit(c)), F.lit(0)).alias(e) for c, e in enumerate(names)]
+        written.append(f"{path}/{k:05d}")
+        write_occurrence(joined.select("seq_id", *counts, "label"), written[-1])
+    return written
+
+
 def write_result(result: DataFrame, path: str) -> None:
     """One-row experiment results as JSON."""
     result.write.mode("overwrite").json(path)
