@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text that are worked on at once, unless one text alone is longer.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _ONE = np.uint64(1)
 BLANK = np.zeros(256, bool)
