@@ -5,9 +5,10 @@ segment in the record itself and the rest in ``continuation`` records. Equal pay
 largest id is the response, the others revisit it. Records are packed into rows of about ``CHUNK_BYTES``, and Spark
 writes these rows as gzip files of at most ``ROWS_PER_FILE`` rows to the given folder, wherever that is.
 
-Reading: archives are inflated piece by piece and every segment becomes a chunk row (record, number, bytes) with the
-SHA-1 of the payload so far. No step holds more than one chunk beside the file it inflates. A record that goes on in
-another file is digested in a second pass over its sorted chunk rows.
+Reading: archives of WARC 1.0 or 1.1, whoever wrote them, are inflated piece by piece; the payload of every record, of any type
+and length, becomes chunk rows (record, segment, number, bytes) of at most ``CHUNK_BYTES`` with the SHA-1 of the payload so far.
+No step holds more than two chunks beside the compressed file, whatever the length of a record. A record that goes on in another file
+is digested in a second pass over its sorted chunk rows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tracemill.session import broadcast_if_small, stored
 
 CHUNK_BYTES = 1 << 20
 ROWS_PER_FILE = 16
+# A record or HTTP header of more bytes is none.
+MOST_HEADER = 1 << 20
 BROADCAST_ROWS = 200_000
 # Pages carry no time; WARC asks for one.
 DATE = "1970-01-01T00:00:00Z"
@@ -34,7 +37,7 @@ DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 CHUNKS = (
-    "record_id string, page_id long, url string, record_type string, refers_to long, chunk_no int, last boolean, chunk_bytes long, "
+    "record_id string, page_id long, url string, record_type string, refers_to long, segment int, chunk_no int, last boolean, chunk_bytes long, "
     "stated_digest string, stated_bytes long, digest_so_far string, data binary"
 )
 
@@ -126,16 +129,28 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, chunk_bytes: int
 
 
 def _inflated(blob: memoryview, step: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a gzip file of any number of members, in pieces."""
     inflate = zlib.decompressobj(31)
     for at in range(0, len(blob), step):
-        piece = inflate.decompress(blob[at : at + step], 4 * step)
-        while piece:
-            yield piece
-            piece = inflate.decompress(inflate.unconsumed_tail, 4 * step)
+        rest = blob[at : at + step]
+        while rest:
+            if inflate.eof:
+                inflate = zlib.decompressobj(31)
+            if piece := inflate.decompress(rest, 4 * step):
+                yield piece
+            rest = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+    if piece := inflate.flush():
+        yield piece
 
 
-def parsed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of an archive that comes in pieces."""
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by their lower-case names."""
+    parts = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in parts}
+
+
+def parsed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str] | None, bytes]]:
+    """The records of an archive that comes in pieces: (header fields, b"") and then (None, part) for the parts of its block."""
     buffer, at = bytearray(), 0
 
     def more() -> bool:
@@ -149,54 +164,103 @@ def parsed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         return True
 
     while True:
+        while buffer.startswith(b"\r\n", at) or len(buffer) - at < 2 and more():
+            at += 2 * buffer.startswith(b"\r\n", at)  # a record is followed by blank lines
         while (end := buffer.find(b"\r\n\r\n", at)) < 0:
+            if len(buffer) - at > MOST_HEADER:
+                raise ValueError("a record header does not end")
             if not more():
                 if buffer[at:].strip():
                     raise ValueError("an archive ends within a record header")
                 return
-        lines = buffer[at:end].decode().split("\r\n")
-        if lines[0] != "WARC/1.1":
-            raise ValueError(f"no record begins with {lines[0][:40]!r}")
-        fields = dict(line.split(": ", 1) for line in lines[1:])
-        at = end + 4
-        length = int(fields["Content-Length"])
-        while len(buffer) - at < length + 4:
-            if not more():
+        head = bytes(buffer[at:end])
+        if not head.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n")):
+            raise ValueError(f"no record begins with {head[:40]!r}")
+        fields = _fields(head)
+        at, left = end + 4, int(fields["content-length"])
+        yield fields, b""
+        while left:
+            if at == len(buffer) and not more():
                 raise ValueError("an archive ends within a record")
-        yield fields, bytes(memoryview(buffer)[at : at + length])
-        at += length + 4
-
-
-def _chunk_rows(pieces: Iterator[bytes], data: bool) -> Iterator[tuple]:
-    name, digest, stated, facts = None, None, None, ()
-    for fields, block in parsed(pieces):
-        kind = fields["WARC-Type"]
-        if kind == "continuation":
-            origin, number = fields["WARC-Segment-Origin-ID"], int(fields["WARC-Segment-Number"])
-            if origin != name:
-                name, digest, facts = origin, None, (None, None, None, None, None)
-            last = "WARC-Segment-Total-Length" in fields
+            part = bytes(memoryview(buffer)[at : at + left])
+            at += len(part)
+            left -= len(part)
+            yield None, part
+
+
+class _Record:
+    """A record's payload on its way into chunk rows."""
+
+    def __init__(self, fields: dict[str, str], before: _Record | None) -> None:
+        self.kind = fields.get("warc-type", "unknown").lower()
+        self.more = self.kind == "continuation"
+        self.segment = int(fields.get("warc-segment-number", 1))
+        self.ends = "warc-segment-total-length" in fields if self.more else "warc-segment-number" not in fields
+        self.name = fields["warc-segment-origin-id" if self.more else "warc-record-id"]
+        self.number, self.held = 0, bytearray()
+        # The header of the HTTP response is no part of the payload.
+        self.http = bytearray() if not self.more and fields.get("content-type", "").lower().startswith("application/http") else None
+        if self.more:
+            # Digested only if the segments before it stand just before it.
+            self.digest = before.digest if before is not None and before.name == self.name else None
+            self.facts = (None,) * 4
+            self.stated = self.size = None
+            return
+        self.digest = hashlib.sha1()
+        page, other = (re.match(r"<urn:tracemill:page:(-?\d+)\b", fields.get(f"warc-{c}", "")) for c in ("record-id", "refers-to"))
+        self.facts = (int(page[1]) if page else None, fields.get("warc-target-uri"), self.kind, int(other[1]) if other else None)
+        digest = fields.get("warc-payload-digest", "" if self.http is not None else fields.get("warc-block-digest", ""))
+        self.stated = digest[5:].upper() if digest.lower().startswith("sha1:") else None
+        self.size = None if self.http is not None or not self.ends else int(fields["content-length"])
+
+    def take(self, part: bytes) -> None:
+        if self.http is None:
+            self.held += part
+            return
+        self.http += part
+        end = self.http.find(b"\r\n\r\n")
+        if end >= 0:
+            length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", self.http[:end])
+            self.size = int(length[1]) if length else None
+            self.held += self.http[end + 4 :]
+            self.http = None
+        elif len(self.http) > MOST_HEADER:
+            self.held, self.http = self.http, None
+
+    def rows(self, data: bool, size: int, end: bool = False) -> Iterator[tuple]:
+        """The full chunks so far; at the ``end`` of the record what is left, at least one chunk."""
+        if end and self.http is not None:
+            self.held, self.http = self.http, None
+        while len(self.held) > size or end and (self.held or not self.number):
+            block = bytes(memoryview(self.held)[:size])
+            del self.held[:size]
+            self.number += 1
+            if self.digest is not None:
+                self.digest.update(block)
+            last = end and self.ends and not self.held
+            so_far = base32(self.digest.digest()) if self.digest is not None else None
+            yield self.name, *self.facts, self.segment, self.number, last, len(block), self.stated, self.size, so_far, block if data else None
+
+
+def _chunk_rows(pieces: Iterator[bytes], data: bool, size: int = CHUNK_BYTES) -> Iterator[tuple]:
+    now = None
+    for fields, part in parsed(pieces):
+        if fields is not None:
+            if now is not None:
+                yield from now.rows(data, size, True)
+            now = _Record(fields, now)
         else:
-            name, number = fields["WARC-Record-ID"], int(fields.get("WARC-Segment-Number", 1))
-            cut = block.index(b"\r\n\r\n") + 4
-            n = int(re.search(rb"Content-Length: (\d+)", block[:cut])[1])
-            block, digest = block[cut:], hashlib.sha1()
-            page = name.split(":")[3]
-            other = re.search(r"page:(-?\d+)>", fields.get("WARC-Refers-To", ""))
-            facts = (None if page == "none" else int(page), fields["WARC-Target-URI"], kind, int(other[1]) if other else None, n)
-            stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-            last = "WARC-Segment-Number" not in fields
-        if digest is not None:
-            digest.update(block)
-        page_id, url, record_type, refers_to, n = facts
-        yield name, page_id, url, record_type, refers_to, number, last, len(block), stated if record_type else None, n, base32(digest.digest()) if digest is not None else None, block if data else None
-
-
-_CHUNK_KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+            now.take(part)
+            yield from now.rows(data, size)
+    if now is not None:
+        yield from now.rows(data, size, True)
+
+
+_CHUNK_KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 _CHUNK_NAMES = [x.split()[0] for x in CHUNKS.split(", ")]
 
 
-def chunks(spark: SparkSession, folder: str, data: bool = True) -> DataFrame:
+def chunks(spark: SparkSession, folder: str, data: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunk rows of all archives in ``folder``, see CHUNKS; facts of the record are in its first chunk alone if the
     record goes on in another file, and ``digest_so_far`` is null there. Without ``data`` the bytes are left out."""
 
@@ -204,16 +268,17 @@ def chunks(spark: SparkSession, folder: str, data: bool = True) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 rows, held = [], 0
-                for row in _chunk_rows(_inflated(memoryview(batch.column(0)[k].as_buffer())), data):
+                for row in _chunk_rows(_inflated(memoryview(batch.column(0)[k].as_buffer())), data, chunk_bytes):
                     rows.append(row)
-                    held += row[7] if data else 100
-                    if held >= CHUNK_BYTES:
+                    held += row[8] if data else 100
+                    if held >= chunk_bytes:
                         yield _as_batch(rows)
                         rows, held = [], 0
                 if rows:
                     yield _as_batch(rows)
 
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+    # Spark's reader hands over a compressed file as one value, so a file has at most 2 GB.
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
     return archives.mapInArrow(run, CHUNKS)
 
 
@@ -224,14 +289,15 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, intact.
 
-    For responses size and digest come from the bytes read, and ``intact`` says that they are what the record states;
-    revisits have those stated for the payload that they refer to.
+    For responses and other records size and digest come from the bytes read, and ``intact`` says that they are what the record states,
+    as far as it does; revisits have those stated for the payload that they refer to. Records that this module did not write
+    have a null page_id.
     """
     seen = stored(chunks(spark, folder, data=False).drop("data"))
-    first = lambda c: F.max(F.when(F.col("chunk_no") == 1, F.col(c))).alias(c)
-    facts = ("page_id", "url", "record_type", "refers_to", "stated_digest", "stated_bytes")
+    first = lambda c: F.max(F.when((F.col("segment") == 1) & (F.col("chunk_no") == 1), F.col(c))).alias(c)
+    facts = ("page_id", "url", "record_type", "refers_to", "stated_digest")
     whole = seen.groupBy("record_id").agg(
-        *[first(c) for c in facts], F.sum("chunk_bytes").alias("read_bytes"), F.max(F.when(F.col("last"), F.col("digest_so_far"))).alias("digest")
+        *[first(c) for c in facts], F.max("stated_bytes").alias("stated_bytes"), F.sum("chunk_bytes").alias("read_bytes"), F.max(F.when(F.col("last"), F.col("digest_so_far"))).alias("digest")
     )
     whole = stored(whole)
     if whole.where("digest IS NULL").limit(1).count():
@@ -242,7 +308,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return whole.select(
         "page_id", "url", F.when(revisit, F.col("stated_bytes")).otherwise(F.col("read_bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("stated_digest")).otherwise(F.col("digest")).alias("payload_digest"), "record_type", "refers_to",
-        (revisit | ((F.col("digest") == F.col("stated_digest")) & (F.col("read_bytes") == F.col("stated_bytes")))).alias("intact"),
+        (revisit | ((F.col("digest") == F.coalesce("stated_digest", "digest")) & (F.col("read_bytes") == F.coalesce("stated_bytes", "read_bytes")))).alias("intact"),
     )
 
 
@@ -263,7 +329,8 @@ def _digests(rows: DataFrame) -> DataFrame:
         if name is not None:
             yield _pairs([(name, base32(digest.digest()))])
 
-    ordered = rows.select("record_id", "data", "chunk_no").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    order = ["record_id", "segment", "chunk_no"]
+    ordered = rows.select("data", *order).repartition("record_id").sortWithinPartitions(*order)
     return ordered.select("record_id", "data").mapInArrow(run, "record_id string, later string")
 
 
