@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import arrays
+from tracemill import session
 from tracemill.operators import explore, features, sequences
 from tracemill.sources.tables import as_sequences
 
@@ -117,3 +118,10 @@ def test_t_test_verdict(spark):
     df = spark.createDataFrame([(0, float(k % 5)) for k in range(50)] + [(1, 10.0 + k % 5) for k in range(50)], "label INT, x DOUBLE")
     row = explore.t_test(df, "x").first()
     assert row.significant and row.t_statistic < 0 and row.degrees_of_freedom == 98
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    df = spark.createDataFrame([(k, "x" * 1000, [1, 2]) for k in range(20)], "id LONG, text STRING, ids ARRAY<INT>").cache()
+    assert session.is_small(df, 20) and not session.is_small(df, 19)
+    assert session.is_small(df, 100, 30_000) and not session.is_small(df, 100, 20_000)
+    assert session.is_small(df.limit(0), 0) and session.is_small(df.select(F.lit(None).cast("string").alias("a b")), 100)

@@ -1,6 +1,9 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill import session
 from tracemill.operators import features, sequences
 from tracemill.plans import experiments, preprocess, report
 from tracemill.sources import logs, summary, tables
@@ -121,6 +124,42 @@ def test_vocabulary_files(spark, tmp_path):
     assert {r.idx: r.event for r in tables.read_reverse_vocabulary(spark, str(tmp_path / "r.json")).collect()} == {0: "E1", 1: "E10"}
 
 
+def test_a_run_goes_on_after_its_last_finished_stage(spark, tmp_path, monkeypatch):
+    """Stopped after mining, it does not mine again; another configuration or another file does. Nothing is left behind."""
+    alert_file(tmp_path / "raw.log")
+    conf = config(tmp_path)
+    kept = tmp_path / "out_full/_stages"
+    mined, real = [], preprocess.mining.mine_messages
+    monkeypatch.setattr(preprocess.mining, "mine_messages", lambda *a: mined.append(1) or real(*a))
+
+    def stopped(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(preprocess.templates, "counts_of_messages", stopped)
+        for times in (1, 1):
+            with pytest.raises(RuntimeError, match="stopped"):
+                preprocess.run(spark, conf)
+            assert len(mined) == times
+        with pytest.raises(RuntimeError, match="stopped"):
+            preprocess.run(spark, conf | {"parsing": conf["parsing"] | {"sim_threshold": 0.5}})
+        assert len(mined) == 2
+        with pytest.raises(RuntimeError, match="stopped"):
+            preprocess.run(spark, conf)
+        assert len(mined) == 3 and sorted(p.name for p in kept.iterdir()) == ["lines", "lines.manifest", "messages", "messages.manifest"]
+    # A table that was cut off has no manifest and is made again.
+    (kept / "messages.manifest").rename(kept / "gone")
+    made = []
+    real_folder = session.scratch_folder
+    monkeypatch.setattr(session, "scratch_folder", lambda *a: made.append(real_folder(*a)) or made[-1])
+    out = preprocess.run(spark, conf)
+    assert len(mined) == 4 and out["summary"].first().num_sequences == 11
+    assert not kept.exists() and made and not [p for p in made if os.path.exists(p.removeprefix("file:"))]
+    assert "events" not in out and out["padded"].count() == 11
+    alert_file(tmp_path / "raw.log", 70)
+    assert preprocess.run(spark, conf)["summary"].first().num_sequences == 13 and len(mined) == 5
+
+
 @pytest.mark.parametrize("events, columns", [(2_001, 2_000), (30, 7)])
 def test_a_run_writes_the_same_tables_at_any_width(spark, tmp_path, monkeypatch, events, columns):
     """More events than columns of a block, and a sequence longer than a dense row may be."""

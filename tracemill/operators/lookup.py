@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.session import is_small
+
 # A key is hot when it holds more than this share of the weight; at most 1/share keys can be hot.
 HOT_SHARE = 0.001
 BROADCAST_ROWS = 200_000
 
 
 def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
-    """Left join stored ``small`` (unique ``key``) onto ``big``: broadcast if its rows are few, else spread."""
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """Left join stored ``small`` (unique ``key``) onto ``big``: broadcast if its rows and bytes are few, else spread."""
+    if is_small(small, BROADCAST_ROWS):
         return big.join(F.broadcast(small.drop(weight)), key, "left")
     return spread_lookup(big, small, key, weight, spread)
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from contextlib import nullcontext
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import text
 from tracemill.operators import features, matching, mining, sequences, split, templates
-from tracemill.session import materialise, stored
+from tracemill.plans import stages
+from tracemill.session import materialise, scratch_scope, stored
 from tracemill.sources import logs, summary, tables
 
+Stage = Callable[[str, Callable[[], DataFrame]], DataFrame]
+
 MODES = ("full", "match", "load")
 KEYS = {
     "dataset": "name mode raw_log_path output_dir label_file",
@@ -53,8 +57,11 @@ def _line_label(parsing: Mapping[str, Any]):
     return text.alert_tag_label if parsing.get("label_extraction") == "bgl" else parsing.get("label")
 
 
-def parsed_events(raw: DataFrame, config: Mapping[str, Any], mode: str) -> dict[str, DataFrame]:
-    """Lines with events, and the template table: mined in mode ``full``, given in mode ``match``."""
+def parsed_events(raw: DataFrame, config: Mapping[str, Any], mode: str, stage: Stage = lambda name, make: stored(make())) -> dict[str, DataFrame]:
+    """Lines with events, and the template table: mined in mode ``full``, given in mode ``match``.
+
+    ``stage`` stores the parsed lines and the mined messages, or gives what an earlier run stored.
+    """
     spark, parsing, dataset = raw.sparkSession, _section(config, "parsing"), _section(config, "dataset")
     if mode == "match" and not parsing.get("templates_file"):
         raise ValueError("templates_file must be specified for 'match' mode.")
@@ -70,14 +77,14 @@ def parsed_events(raw: DataFrame, config: Mapping[str, Any], mode: str) -> dict[
     if "block_id" not in parsed.columns and sequencing.get("grouping_strategy", "block_id") == "block_id":
         parsed = logs.with_block_id(parsed, sequencing.get("block_id_regex", text.DEFAULT_BLOCK_ID))
     whole = _section(config, "output").get("save_parsed_logs", False)
-    parsed = stored(parsed if whole else parsed.drop("raw", "content"))
+    lines = parsed if whole else parsed.drop("raw", "content")
+    parsed = stage("lines", lambda: lines)
     if mode == "match":
         catalogue = materialise(tables.read_catalogue(spark, parsing["templates_file"]))
         matched = matching.match(parsed, catalogue)
         return {"parsed": matched, "templates": materialise(templates.match_statistics(matched, catalogue))}
-    messages = mining.mine_messages(
-        parsed, parsing.get("depth", 4), parsing.get("sim_threshold", 0.4), parsing.get("max_children", 100)
-    )
+    options = parsing.get("depth", 4), parsing.get("sim_threshold", 0.4), parsing.get("max_children", 100)
+    messages = stage("messages", lambda: mining.mine_messages(parsed, *options))
     mined = mining.with_events(parsed, messages)
     found = materialise(templates.counts_of_messages(messages))
     out = {"discovered": found, "templates": found, "parsed": mined}
@@ -124,10 +131,10 @@ def sequence_summary(
     )
 
 
-def preprocess(raw: DataFrame, config: Mapping[str, Any]) -> dict[str, DataFrame]:
+def preprocess(raw: DataFrame, config: Mapping[str, Any], stage: Stage = lambda name, make: stored(make())) -> dict[str, DataFrame]:
     """Parsed lines, templates, events and sequences of numbered raw lines."""
     mode = _section(config, "dataset").get("mode", "full")
-    out = parsed_events(raw, config, mode)
+    out = parsed_events(raw, config, mode, stage)
     times = _section(config, "sequencing").get("time_column")
     out["events"] = logs.stored_events(out["parsed"], more=(times,) if times else ())
     out["sequences"] = build_sequences(out["events"], config)
@@ -151,10 +158,28 @@ def run(
 
     With ``dataset.output_dir`` every table is written there once and returned as stored; without it
     sequences are checkpointed, as several tables follow from them. ``raw`` replaces ``raw_log_path``.
+
+    A run with ``output_dir`` that reads files keeps its parsed lines and mined messages in ``output_dir``/_stages while it
+    lasts. If it breaks off, the next run of the same configuration over the same files goes on from there. When it ends
+    well, these and its other intermediate tables are deleted, and only tables of ``output_dir`` are returned.
     """
     config = load_config(config)
     check_keys(config)
+    folder = _section(config, "dataset").get("output_dir")
+    with scratch_scope(spark) if folder else nullcontext():
+        out, written, kept = _run(spark, config, sample_size, raw)
+    if kept is not None:
+        kept.clear()
+    return {name: table for name, table in out.items() if name in written} if folder else out
+
+
+def _run(
+    spark: SparkSession, config: Mapping[str, Any], sample_size: int | None, raw: DataFrame | None
+) -> tuple[dict[str, DataFrame], set[str], stages.Stages | None]:
+    """The tables of a run, the names of those that are written, and its stages."""
     started = time.time()
+    written: set[str] = set()
+    kept = None
     dataset, options = _section(config, "dataset"), _section(config, "output")
     mode, name, folder = dataset.get("mode", "full"), dataset.get("name", ""), dataset.get("output_dir")
     if mode not in MODES:
@@ -163,6 +188,7 @@ def run(
     def store(table: str, partition_by=()) -> None:
         if folder and table in out:
             out[table] = tables.write_table(out[table], f"{folder}/{table}", partition_by)
+            written.add(table)
 
     if mode == "load":
         loading = _section(config, "loading")
@@ -177,7 +203,11 @@ def run(
         lines = raw if raw is not None else logs.read_logs(spark, dataset["raw_log_path"], sample_size)
         if raw is not None and sample_size is not None:
             lines = sequences.indexed(raw).where(F.col("row_idx") < sample_size)
-        out = preprocess(lines, config)
+        if folder and raw is None:
+            inputs = [dataset["raw_log_path"], dataset.get("label_file"), _section(config, "parsing").get("templates_file")]
+            mark = stages.fingerprint(spark, {**config, "sample_size": sample_size}, [str(p) for p in inputs if p])
+            kept = stages.Stages(spark, f"{folder}/_stages", mark)
+        out = preprocess(lines, config, kept.table) if kept else preprocess(lines, config)
         if folder:
             store("sequences")
         else:
@@ -196,8 +226,7 @@ def run(
             store("parsed")
         # The number of templates is that before filtering; the kept ones are reported beside it.
         row = sequence_summary(out["sequences"], out["vocabulary"], out.get("discovered", out["templates"]), name)
-        kept = out["templates"].agg(F.count(F.lit(1))).scalar()
-        row = row.withColumn("kept_templates", kept)
+        row = row.withColumn("kept_templates", out["templates"].agg(F.count(F.lit(1))).scalar())
     row = materialise(row)
     out["summary"] = row.select(
         "*",
@@ -205,6 +234,6 @@ def run(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
     )
     if folder:
-        out["summary"] = tables.write_table(out["summary"], f"{folder}/summary")
+        store("summary")
         summary.write_summary(out["summary"], name, f"{folder}/summary_text")
-    return out
+    return out, written, kept

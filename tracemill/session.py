@@ -6,9 +6,12 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cores: int | str = 8, app: str = "tracemill", shuffle_partitions: int | None = None) -> SparkSession:
@@ -38,10 +41,35 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured)
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_folder(spark: SparkSession, kind: str) -> str:
     """A new path under the checkpoint folder, which every executor can reach."""
     _ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{kind}/{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{kind}/{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system its path names; one that is not there is fine."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch folders made within are deleted when it ends well; after an error they stay, for a look at them."""
+    scope: list[str] = []
+    _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope)
+    for path in scope:
+        delete_folder(spark, path)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -65,13 +93,33 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Values that are sent to all tasks have at most so many bytes, whatever the number of rows.
+BROADCAST_BYTES = 256 << 20
+
+
+def _bytes(column: str, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.length(F.to_json(F.struct(column))), F.lit(0))
+    return F.lit(8)
+
+
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes; reads at most ``max_rows + 1`` rows."""
+    size = sum((_bytes(f"`{f.name}`", f.dataType) for f in df.schema.fields), F.lit(0)).cast("long")
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return seen.n <= max_rows and seen.bytes <= max_bytes
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after seeing that ``df`` has at most ``max_rows`` rows.
+    """Hint a broadcast only after seeing that ``df`` has at most ``max_rows`` rows, and ``BROADCAST_BYTES`` bytes.
 
-    The check reads at most ``max_rows + 1`` rows; call it on stored or materialised tables. Beyond the
-    limit the hint is left off and the join becomes a shuffle join, whose skewed partitions AQE splits.
+    Call it on stored or materialised tables. Beyond the limits the hint is left off and the join becomes a shuffle join,
+    whose skewed partitions AQE splits.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def ship_package(spark: SparkSession) -> None:
