@@ -2,6 +2,10 @@
 
 Every query is run whole and its rows are consumed by the no-op sink. Rates are lines or sequences per
 second of the query beside them.
+
+``python bench.py --lines N`` times one full run (parse, mask, mine, filter, window, features, all written) over N lines made
+from the events of the same folder, repeated with other numbers, in place of the queries: 5,000,000 is the size of the
+published run.
 """
 
 from __future__ import annotations
@@ -9,10 +13,14 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from tracemill.plans import preprocess  # noqa: E402
 from tracemill.queries import inputs, registry  # noqa: E402
 from tracemill.session import local_session  # noqa: E402
 from tracemill.sources import logs  # noqa: E402
@@ -46,6 +54,33 @@ QUERIES = [
 ]
 
 
+def long_run(lines: int) -> None:
+    """One full run over ``lines`` lines from a text file."""
+    spark = local_session(CPUS, "tracemill-bench", 4 * CPUS)
+    spark.sparkContext.setLogLevel("ERROR")
+    some = inputs.alert_lines(spark, FOLDER)
+    copies = -(-lines // max(1, some.count()))
+    again = some.select(F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"), "raw")
+    with tempfile.TemporaryDirectory(prefix="tracemill-bench-") as folder:
+        # The amount at the end of a line differs from copy to copy; half a dozen masks apply as before.
+        again.select(F.concat("raw", F.lit(" "), (F.col("copy") * 7919 % 10_007).cast("string")).alias("value")).write.text(f"{folder}/raw")
+        config = {
+            "dataset": {"name": "alerts", "mode": "full", "raw_log_path": f"{folder}/raw", "output_dir": f"{folder}/out"},
+            "parsing": {
+                "log_line_pattern": inputs.ALERT_LOG_PATTERN, "label_extraction": "bgl", "min_template_occurrence": 5,
+                "masking_patterns": [{"pattern": p, "mask": m} for p, m in inputs.ALERT_LOG_MASKS],
+            },
+            "sequencing": {"grouping_strategy": "sliding_window", "window_size": 20, "stride": 5},
+        }
+        started = time.perf_counter()
+        row = preprocess.run(spark, config)["summary"].first()
+        seconds = time.perf_counter() - started
+    total = copies * some.count()
+    out = {"metric": "full_run_seconds", "value": round(seconds, 3), "unit": "sec", "lines": total, "lines_per_sec": round(total / seconds), "sequences_per_sec": round(row.num_sequences / seconds), "templates": row.num_templates, "cpus": CPUS}
+    print(json.dumps(out))
+    spark.stop()
+
+
 def main() -> None:
     spark = local_session(CPUS, "tracemill-bench")
     spark.sparkContext.setLogLevel("ERROR")
@@ -84,4 +119,4 @@ def main() -> None:
 
 
 if __name__ == "__main__":
-    main()
+    long_run(int(sys.argv[2])) if sys.argv[1:2] == ["--lines"] else main()
