@@ -162,3 +162,28 @@ def test_argument_errors(spark):
         sequences.build(df, "time_window")
     with pytest.raises(ValueError, match="Unknown grouping strategy"):
         sequences.build(df, "other")
+
+
+@pytest.mark.parametrize("max_piece", [7, 1_000_000])
+def test_texts_of_cut_sequences_are_one_row(spark, max_piece):
+    rows = [(k, None if k % 3 == 0 and k > 20 else f"e{k}", f"b{k % 2}", k % 5, f"s{k % 3}") for k in range(60)]
+    df = spark.createDataFrame(rows, "line_id BIGINT, event_id STRING, block_id STRING, t INT, session_id STRING").repartition(4)
+    df = df.withColumn("t", F.timestamp_seconds("t"))
+
+    def expected(key, order=lambda r: r[0]):
+        groups = {}
+        for r in sorted(rows, key=order):
+            groups.setdefault(key(r), []).append(r[1])
+        return {k: (" ".join(e for e in v if e is not None), len(v)) for k, v in groups.items()}
+
+    def found(seqs):
+        got = [(r.seq_id, (r.events, r.length)) for r in seqs.collect()]
+        assert len(got) == len(dict(got))
+        return dict(got)
+
+    assert found(sequences.by_block(df, max_piece=max_piece, sep=" ")) == expected(lambda r: r[2])
+    assert found(sequences.by_session(df, max_piece=max_piece, sep=" ")) == expected(lambda r: r[4])
+    by_time = sequences.by_time_gap(df.drop("session_id"), "t", time_window_seconds=10, max_piece=max_piece, sep=" ")
+    assert found(by_time) == expected(lambda r: "0", lambda r: (r[3], r[0]))
+    nulls = df.withColumn("event_id", F.when(F.col("line_id") < 14, F.col("event_id")))
+    assert found(sequences.by_block(nulls, max_piece=max_piece, sep=" "))["b0"][0] == "e0 e2 e4 e6 e8 e10 e12"

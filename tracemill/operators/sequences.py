@@ -81,6 +81,7 @@ def assemble(
     time: str | None = None,
     max_piece: int = MAX_PIECE,
     extra: Mapping[str, Column] | None = None,
+    sep: str | None = None,
 ) -> DataFrame:
     """Group ``(keys, line_id, event, label)`` rows into pieces of ``max_piece`` events.
 
@@ -88,6 +89,9 @@ def assemble(
     sequences can exceed the limit, so that list is safe to broadcast. The others are grouped by key in one
     shuffle; rows of long ones get their position first and are grouped by ``(key, position div max_piece)``.
     AQE drops the second branch when no sequence is long. ``extra`` are aggregates over the whole sequence.
+
+    With ``sep``, ``events`` is one text and every sequence is one row: the texts of the pieces are put together, so that a task
+    holds the text of a long sequence but never its rows.
     """
     keys = list(keys)
     order = [*([time] if time else []), "line_id"]
@@ -108,6 +112,14 @@ def assemble(
         .agg(_ordered_events("position").alias("events"))
         .join(F.broadcast(long_ones), keys)
     )
+    if sep is not None:
+        short = short.withColumn("events", F.array_join("events", sep))
+        # Events that are NULL have no place in a text, and a piece of them alone has none either.
+        text_of = F.when(F.exists("events", lambda e: e.isNotNull()), F.array_join("events", sep))
+        texts = pieces.groupBy(*keys, *[c for c in short.columns if c not in (*keys, "events", "piece")]).agg(
+            F.sort_array(F.collect_list(F.struct("piece", text_of.alias("t")))).alias("_texts")
+        )
+        pieces = texts.withColumn("events", F.array_join("_texts.t", sep)).withColumn("piece", F.lit(0).cast("long"))
     both = short.unionByName(pieces.select(*short.columns))
     return both.withColumn("start", F.col("piece") * F.lit(max_piece))
 
@@ -125,11 +137,12 @@ def by_block(
     line: str = "line_id",
     block_id_regex: str = text.DEFAULT_BLOCK_ID,
     max_piece: int = MAX_PIECE,
+    sep: str | None = None,
 ) -> DataFrame:
     """One sequence per block id; lines without one are left out. A ``block_id`` column is used if there."""
     block = F.col("block_id") if "block_id" in df.columns else text.block_id(F.col(content), block_id_regex)
     tokens = _tokens(df, event, label, line, block.cast("string").alias("block_id")).where("block_id IS NOT NULL")
-    return _shape(assemble(tokens, ["block_id"], max_piece=max_piece).withColumn("seq_id", F.col("block_id")), "block_id")
+    return _shape(assemble(tokens, ["block_id"], max_piece=max_piece, sep=sep).withColumn("seq_id", F.col("block_id")), "block_id")
 
 
 def by_session(
@@ -140,11 +153,12 @@ def by_session(
     session: str = "session_id",
     window_size: int = 20,
     max_piece: int = MAX_PIECE,
+    sep: str | None = None,
 ) -> DataFrame:
     """One sequence per session id; without that column, chunks of ``window_size`` lines, the last one partial."""
     if session in df.columns:
         tokens = _tokens(df, event, label, line, F.col(session).alias("_session"))
-        out = assemble(tokens.where("_session IS NOT NULL"), ["_session"], max_piece=max_piece)
+        out = assemble(tokens.where("_session IS NOT NULL"), ["_session"], max_piece=max_piece, sep=sep)
         numeric = df.schema[session].dataType.typeName() in ("byte", "short", "integer", "long")
         session_id = F.col("_session") if numeric else F.expr("try_cast(_session AS BIGINT)")
         return _shape(out.withColumn("seq_id", F.col("_session")).withColumn("session_id", session_id), "session")
@@ -159,6 +173,8 @@ def by_session(
         .withColumn("start", F.lit(0))
         .withColumn("length", F.size("events"))
     )
+    if sep is not None:
+        out = out.withColumn("events", F.array_join("events", sep))
     return _shape(out, "session")
 
 
@@ -259,6 +275,7 @@ def by_time_gap(
     time_window_seconds: float = 3600,
     key: str | None = None,
     max_piece: int = MAX_PIECE,
+    sep: str | None = None,
 ) -> DataFrame:
     """One sequence per gap session, in time order (ties by line); with its span in seconds.
 
@@ -269,7 +286,7 @@ def by_time_gap(
     more = [F.col("session_id"), F.col("_us")] + ([F.col(key).cast("string").alias("_key")] if key else [])
     tokens = _tokens(sessions, event, label, line, *more)
     bounds = {"_from": F.min("_us"), "_to": F.max("_us")}
-    out = assemble(tokens, keys, "_us", max_piece, bounds)
+    out = assemble(tokens, keys, "_us", max_piece, bounds, sep)
     return _shape(
         out.withColumn("seq_id", F.concat_ws("/", *[F.col(k).cast("string") for k in keys])).withColumn(
             "time_span_seconds", timestamps.seconds_between(F.col("_from"), F.col("_to"))
