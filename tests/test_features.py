@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,12 @@ def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
     assert session.is_small(df, 20) and not session.is_small(df, 19)
     assert session.is_small(df, 100, 30_000) and not session.is_small(df, 100, 20_000)
     assert session.is_small(df.limit(0), 0) and session.is_small(df.select(F.lit(None).cast("string").alias("a b")), 100)
+
+
+def test_counts_within_the_row_are_computed_once(spark):
+    events = [f"e{k * 7 % 5}" if k % 11 else None for k in range(3000)]
+    seqs = seqs_of(spark, events, [None], [])
+    counted = features.occurrence(seqs)
+    # A second copy of the sort would stand inside a lambda function and run for every element.
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("sort_array(") == 1
+    assert {(r.seq_id, r.event): r.n for r in counted.collect()} == {("s0", e): n for e, n in Counter(events).items() if e is not None}

@@ -171,7 +171,7 @@ def _whole(seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     whole = F.size("events") == F.col("length")
     # Each step is a column of its own: an expression inside a lambda would be computed for every element.
-    rows = seqs.where(whole).withColumn("_sorted", F.array_sort(F.filter("events", lambda e: e.isNotNull())))
+    rows = seqs.where(whole).withColumn("_sorted", F.sort_array(F.filter("events", lambda e: e.isNotNull())))
     places = F.sequence(F.lit(0), F.size("_sorted"))
     starts = F.filter(places, lambda k: (k == 0) | F.coalesce(F.get("_sorted", k) != F.get("_sorted", k - 1), F.lit(True)))
     rows = rows.withColumn("_starts", F.when(F.size("_sorted") > 0, starts).otherwise(F.array().cast("array<int>")))
@@ -186,7 +186,9 @@ def occurrence(seqs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     whole, pieces = _whole(seqs)
     known = broadcast_if_small(vocab.select("event"), BROADCAST_VOCABULARY) if vocab is not None else None
     limited = lambda df: df if known is None else df.join(known, "event", "left_semi")
-    inside = limited(whole.select("seq_id", F.inline("counts")))
+    # Outer, and then without the empty row: an inner generator has Spark filter on the size of "counts" below it, with all of its
+    # steps put into one expression, which is computed again for every element.
+    inside = limited(whole.select("seq_id", F.inline_outer("counts")).where("event IS NOT NULL"))
     across = limited(events_of(pieces, "seq_id").where("event IS NOT NULL")).groupBy("seq_id", "event").agg(F.count(F.lit(1)).alias("n"))
     return inside.unionByName(across)
 
