@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import features, lookup, matching, mining, sequences, templates
-from tracemill.session import materialise
+from tracemill.session import materialise, stored
 from tracemill.sources import logs
 
 # Six sample lines of the public block storage log format, three shapes, two blocks.
@@ -235,3 +235,17 @@ def test_template_text_and_ids(spark):
     ends = templates.top_and_bottom(table, 1).collect()
     assert [(r.side, r.event_id, r.share_percent) for r in ends] == [("top", "E1", 75.0), ("bottom", "E2", 25.0)]
     assert ends[0].template_short == "x" * 60 + "..." and ends[1].template_short == "y" * 60
+
+
+def test_messages_of_a_large_catalogue_are_not_broadcast(spark):
+    rows = [(f"A{k}", f"r<*>x{k:08d}") for k in range(30)] + [(f"D{k}", "r<*>07") for k in range(30)] + [("W", "job <*> done"), ("V", "job  <*> done")]
+    known = spark.createDataFrame(rows, "event_id string, event_template string")
+    texts = [f"r5=0x{k:08d}" for k in range(0, 60, 3)] + ["r1 07", "job 7 done", "job 7 failed", "x"]
+    messages = stored(spark.createDataFrame([(t,) for t in texts], "masked string"))
+    found = matching.match_indexed(messages, known)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [_key#" in line and "Inner" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
+    expected = {r.masked: (r.event_id, r.event_template) for r in matching.match_messages(messages, known).collect()}
+    assert {r.masked: (r.event_id, r.event_template) for r in found.collect()} == expected
+    assert expected["r1 07"][0] == "D0" and expected["job 7 done"][0] == "V" and expected["r5=0x00000003"][0] == "A3"

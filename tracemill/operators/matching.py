@@ -16,8 +16,10 @@ from tracemill.session import broadcast_if_small, materialise
 TEMPLATES_PER_PASS = 400
 # Event ids that are sent to all tasks.
 BROADCAST_EVENTS = 200_000
-# Characters of the pieces of words by which templates without a whole word are found.
-GRAM = 3
+# Characters of the pieces of words by which templates without a whole word are found, the longest that a template has first.
+GRAMS = {"h": 8, "g": 3}
+# Keys that are sent to all tasks, so that only keys of some template are shuffled with their messages.
+BROADCAST_KEYS = 200_000
 # Templates that are sent to all tasks: those of blanks and wildcards alone, one for each number of blanks.
 BROADCAST_BLANK = 10_000
 _INDEX = "event_id string, event_template string, pattern string, literal int, keys array<string>"
@@ -89,12 +91,13 @@ def _whole_words(template: str, wildcards: Sequence[str]) -> list[str]:
 
 def _keys(template: str, wildcards: Sequence[str]) -> list[str]:
     """What every message of a template has, of the most telling kind that the template offers: whole words ("w"), runs of
-    ``GRAM`` characters within a word ("g"), characters ("c"), or nothing but blanks ("")."""
+    ``GRAMS`` characters within a word ("h", "g"), characters ("c"), or nothing but blanks ("")."""
     if words := _whole_words(template, wildcards):
         return ["w" + w for w in words]
     pieces = [w for p in text.template_pieces(template, wildcards) for w in p.split()]
-    if grams := {"g" + w[k : k + GRAM] for w in pieces for k in range(len(w) - GRAM + 1)}:
-        return sorted(grams)
+    for kind, size in GRAMS.items():
+        if grams := {kind + w[k : k + size] for w in pieces for k in range(len(w) - size + 1)}:
+            return sorted(grams)
     return sorted({"c" + c for w in pieces for c in w}) or [""]
 
 
@@ -131,7 +134,7 @@ def _message_keys(column: str, kinds: Sequence[str]) -> Column:
         return F.transform(F.array_distinct(each), lambda w: F.concat(F.lit(kind), w))
 
     found = [marked("w", words)] if "w" in kinds else []
-    found += [marked(kind, F.flatten(F.transform(words, lambda w: _runs(w, size)))) for kind, size in (("g", GRAM), ("c", 1)) if kind in kinds]
+    found += [marked(kind, F.flatten(F.transform(words, lambda w: _runs(w, size)))) for kind, size in (*GRAMS.items(), ("c", 1)) if kind in kinds]
     return F.concat(*found) if found else F.array().cast("array<string>")
 
 
@@ -140,17 +143,23 @@ def match_indexed(
 ) -> DataFrame:
     """As ``match_messages``, for catalogues of any size: an inverted index from the rarest key of each template to the messages
     that have it. Nothing passes through the driver, and no template is tested on every message but those of blanks alone."""
-    index = materialise(template_index(catalogue, wildcards))
-    keys = index.select("event_id", "event_template", F.explode("keys").alias("_key"))
+    described = template_index(catalogue, wildcards)
+    # Of templates with one pattern, the first wins everywhere.
+    rank = F.struct((-F.col("literal")).alias("l"), "event_id")
+    index = described.groupBy("pattern").agg(F.min_by(F.struct("event_id", "event_template", "literal", "keys"), rank).alias("t"))
+    index = materialise(index.select("pattern", "t.*"))
+    keys = index.select("pattern", F.explode("keys").alias("_key"))
     often = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_df"))
-    rarest = keys.join(often, "_key").groupBy("event_id", "event_template").agg(F.min_by("_key", F.struct("_df", "_key")).alias("_key"))
-    keyed = materialise(index.drop("keys").join(rarest, ["event_id", "event_template"]))
-    kinds = [r[0] for r in keyed.select(F.substring("_key", 1, 1)).distinct().collect()]  # at most four
+    rarest = keys.join(often, "_key").groupBy("pattern").agg(F.min_by("_key", F.struct("_df", "_key")).alias("_key"))
+    keyed = materialise(index.drop("keys").join(rarest, "pattern"))
+    kinds = [r[0] for r in keyed.select(F.substring("_key", 1, 1)).distinct().collect()]  # at most five
     test = F.rlike(F.col(column), F.col("pattern"))
-    tried = messages.select(column, F.explode(_message_keys(column, kinds)).alias("_key")).join(keyed.where("_key != ''"), "_key").where(test)
-    # Of templates with one pattern, the first wins everywhere.
-    blank = keyed.where("_key = ''").groupBy("pattern", "literal").agg(F.min_by(F.struct("event_id", "event_template"), "event_id").alias("t"))
-    blank = materialise(blank.select("pattern", "literal", "t.*"))
+    asked = materialise(keyed.where("_key != ''").select("_key").distinct())
+    held = messages.select(column, F.explode(_message_keys(column, kinds)).alias("_key"))
+    held = held.join(broadcast_if_small(asked, BROADCAST_KEYS), "_key", "left_semi")
+    # Spark's estimate of exploded rows is that of the rows before, so it would send them all through the driver.
+    tried = held.hint("merge").join(keyed.where("_key != ''"), "_key").where(test)
+    blank = materialise(keyed.where("_key = ''").select("pattern", "literal", "event_id", "event_template"))
     columns = [column, "event_id", "event_template", "literal"]
     every = tried.select(*columns)
     if "" in kinds:
