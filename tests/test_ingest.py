@@ -120,3 +120,18 @@ def test_times_are_read_leniently(spark):
 def test_headers_of_the_supercomputer_log(spark):
     line = "- 1117838570 2005.06.03 R02-M1-N0-C:J12-U11 2005-06-03-15.42.50.363779 R02-M1-N0-C:J12-U11 RAS KERNEL INFO instruction cache parity error"
     assert texts(logs.parse(numbered(spark, line), ALERT_LOG_PATTERN), "content") == ["instruction cache parity error"]
+
+
+def test_lines_without_a_block_do_not_share_a_task(spark):
+    lines = spark.range(4000).select(F.col("id").alias("line_id"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("b"), F.col("id") % 100)).alias("block_id"))
+    labels = spark.createDataFrame([(f"b{k}", "Anomaly" if k == 8 else "Normal") for k in range(0, 100, 4)] + [(None, "Anomaly")], "block_id string, label string")
+    labelled = logs.label_by_block(lines, labels.hint("merge"))
+    assert labelled.columns[-1] == "label" and set(labelled.columns) == {"line_id", "block_id", "label"}
+    rows = labelled.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.line_id, r.label) for r in rows) == [(k, int(k % 100 == 8)) for k in range(4000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = {r[0] for r in logs.label_by_block(lines, labels.hint("merge")).where("block_id IS NULL").select(F.spark_partition_id()).distinct().collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) > 1
