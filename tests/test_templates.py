@@ -142,6 +142,25 @@ def test_mining_parts_tokens_in_one_place(spark):
     assert got["a x d"] == got["a y d"] == "a <*> d" and len(got) == 5
 
 
+@pytest.mark.parametrize("sim_th", [0.0, 0.4])
+def test_leaves_are_compared_within_a_task_or_across_tasks(spark, sim_th, monkeypatch):
+    """Leaves of any size have the same clusters in one task, without a row for each token, as by joins, and as some by either."""
+    rnd = random.Random(8)
+    words = [f"{chr(97 + k % 26)}{k // 26}" for k in range(40)] + ["<*>"]
+    lines = noisy_lines(100, seed=5) + [" ".join(["w", *[words[min(int(rnd.expovariate(0.15)), 40)] for _ in range(rnd.choice([2, 4, 7]))]]) for _ in range(500)] + ["", None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines, 1)], "line_id BIGINT, raw STRING")
+    found = {}
+    for most in (0, 600, 10**9):
+        monkeypatch.setattr(mining, "LEAF_TOKENS", most, raising=False)
+        monkeypatch.setattr(mining, "GROUP_TOKENS", 700, raising=False)
+        if most == 10**9:
+            monkeypatch.setattr(mining, "_constants", lambda placed: pytest.fail("tokens became rows"))
+        mined = mining.mine(logs.parse(rows), sim_th=sim_th).collect()
+        found[most] = sorted((r.line_id, r.event_id or "", r.event_template or "") for r in mined if r.raw != "")
+    assert len(found[0]) == len(lines) - 1 and len({e for _, e, _ in found[0]}) > 25
+    assert found[0] == found[600] == found[10**9]
+
+
 def test_lines_must_be_unique(spark):
     rows = spark.createDataFrame([(1, "a b"), (1, "c d e")], "line_id BIGINT, raw STRING")
     with pytest.raises(ValueError, match="not unique"):
