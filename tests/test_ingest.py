@@ -135,3 +135,20 @@ def test_lines_without_a_block_do_not_share_a_task(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(tasks) > 1
+
+
+@pytest.mark.parametrize("most", [1000, 3])
+def test_lines_are_not_sorted_for_their_labels(spark, most, monkeypatch):
+    """Few anomalous blocks are broadcast and many hashed; a sort would hold the lines of a partition."""
+    monkeypatch.setattr(logs, "BROADCAST_LABELS", most, raising=False)
+    lines = spark.range(2000).select(F.col("id").alias("line_id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("b"), F.col("id") % 50)).alias("block_id"))
+    labels = spark.range(40).select(F.concat(F.lit("b"), "id").alias("block_id"), F.when(F.col("id") % 4 == 1, "Anomaly").otherwise("Normal").alias("label"))
+    labelled = logs.label_by_block(lines, labels)
+    got = {r.line_id: r.label for r in labelled.collect()}
+    assert got == {k: int(k % 5 > 0 and k % 50 < 40 and k % 50 % 4 == 1) for k in range(2000)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = logs.label_by_block(lines, labels)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and ("BroadcastHashJoin" in plan) == (most == 1000)
