@@ -85,13 +85,14 @@ def _drawn(rows: DataFrame, n_estimators: int, seed: int, share: float) -> DataF
 
     Trees are tested within the row, so only drawn rows are copied.
     """
-    trees = F.array(*[
-        F.struct(F.lit(t).alias("tree"), (F.lit(1) + F.pmod(_hash(seed, "a", t), F.lit(PRIME - 1))).alias("a"), F.pmod(_hash(seed, "b", t), F.lit(PRIME)).alias("b"))
-        for t in range(n_estimators)
-    ])
+    factors = [(F.lit(1) + F.pmod(_hash(seed, "a", t), F.lit(PRIME - 1)), F.pmod(_hash(seed, "b", t), F.lit(PRIME))) for t in range(n_estimators)]
+    trees = F.array(*[F.struct(F.lit(t).alias("tree"), a.alias("a"), b.alias("b")) for t, (a, b) in enumerate(factors)])
     drawn = F.transform(trees, lambda t: F.struct(t["tree"].alias("tree"), F.pmod(F.col("_row") * t["a"] + t["b"], F.lit(PRIME)).alias("_draw")))
     cut = math.ceil(min(1.0, share) * PRIME)
     numbered = rows.withColumn("_row", F.pmod(_hash(F.col("seq_id")), F.lit(PRIME)))
+    # Few rows are drawn at all; the others go before an array of their draws is made.
+    draws = [F.pmod(F.col("_row") * a + b, F.lit(PRIME)) for a, b in factors]
+    numbered = numbered.where((F.least(*draws) if len(draws) > 1 else draws[0]) < F.lit(cut))
     return numbered.select("seq_id", "entries", F.explode(F.filter(drawn, lambda t: t["_draw"] < F.lit(cut))).alias("t")).select("seq_id", "entries", "t.*")
 
 
