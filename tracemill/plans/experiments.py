@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators import explore, features, iforest, matching, metrics, nextevent, sequences, split
-from tracemill.session import broadcast_if_small, materialise
+from tracemill.session import broadcast_if_small, materialise, stored
 
 
 @dataclass
@@ -83,7 +83,8 @@ def next_event_experiment(
     dataset: str = "",
 ) -> Result:
     """Split, learn from normal training sequences, choose the context length on validation loss, test."""
-    parts = materialise(split.stratified(seqs, ratios=ratios, seed=seed))
+    # The split reads its input three times; sequences are assembled once.
+    parts = materialise(split.stratified(stored(seqs), ratios=ratios, seed=seed))
     train = split.normal_only(parts.where("split = 'train'"))
     val, test = parts.where("split = 'val'"), parts.where("split = 'test'")
     if order is None:
