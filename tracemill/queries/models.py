@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
-from tracemill.operators import explore, features, iforest, matching, metrics, nextevent, split
+from tracemill.operators import explore, features, iforest, matching, metrics, nextevent, sequences, split
 from tracemill.plans import experiments, preprocess
 from tracemill.queries import Registry
 from tracemill.queries import inputs as i
 from tracemill.queries.explore import rounded
-from tracemill.queries.sequences import block_log_sequences, event_sequences
+from tracemill.queries.sequences import block_labelled, block_log_events, block_log_sequences, event_sequences
 from tracemill.queries.templates import mining_sql
 from tracemill.session import materialise
 from tracemill.sources import logs
@@ -257,8 +257,12 @@ def catalogue_of(lines):
     return lines.select(F.col("masked").alias("event_id"), F.col("masked").alias("event_template")).distinct()
 
 
+def alert_messages(spark, folder):
+    return logs.parse(i.alert_lines(spark, folder), i.ALERT_LOG_PATTERN, i.ALERT_LOG_MASKS).select("line_id", "masked")
+
+
 def both_catalogues(spark, folder):
-    alerts = logs.parse(i.alert_lines(spark, folder), i.ALERT_LOG_PATTERN, i.ALERT_LOG_MASKS).select("line_id", "masked")
+    alerts = alert_messages(spark, folder)
     blocks = logs.parse(i.block_lines(spark, folder), i.BLOCK_LOG_PATTERN, i.BLOCK_LOG_MASKS).select("masked")
     return alerts, materialise(catalogue_of(alerts)), materialise(catalogue_of(blocks))
 
@@ -283,10 +287,12 @@ def catalogue_alignment(spark, folder):
 )
 def cross_catalogue_detect(spark, folder):
     """Learn from the block log, test on the alert log in the block log's events."""
-    alerts, other, known = both_catalogues(spark, folder)
+    alerts = alert_messages(spark, folder)
+    blocks = block_log_events(spark, folder)  # the masked lines, made once for the catalogue and the sequences
+    other, known = materialise(catalogue_of(alerts)), materialise(catalogue_of(blocks.select(F.col("event_id").alias("masked"))))
     log = i.event_log(spark, folder).select("line_id", "block_id", "label")
     lines = alerts.withColumnRenamed("masked", "event_id").join(log, "line_id")
-    seqs = materialise(block_log_sequences(spark, folder))
+    seqs = materialise(block_labelled(spark, folder, sequences.build(blocks, "block_id")))
     return experiments.cross_catalogue_next_event(seqs, known, lines, other, LEAST_ALIKE, 2, 2).predictions
 
 
