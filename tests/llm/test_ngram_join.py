@@ -1,4 +1,5 @@
 import random
+import time
 
 import brute
 import numpy as np
@@ -93,3 +94,51 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(8, 60)] + [(1, 1), (None, 3), (7, 8)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**{k: 100 for k in range(100, 141)}, **{k: 7 for k in range(7, 60)}}
+
+
+def test_packed_counters():
+    """Counters come back, also large ones, and a table with few tokens takes far less than a byte for each counter."""
+    rng = np.random.default_rng(4)
+    tables = [np.zeros(1 << 15, np.uint32), rng.poisson(0.2, 1 << 15).astype(np.uint32), rng.integers(0, 1 << 32, 1 << 15).astype(np.uint32)]
+    tables.append(np.array([0, 254, 255, 256] * (1 << 13), np.uint64))
+    out = np.zeros(1 << 15, np.uint64)
+    for table in tables:
+        ngram_join._add_packed(out, ngram_join._packed(table))
+    assert np.array_equal(out, np.sum(tables, axis=0, dtype=np.uint64))
+    assert len(ngram_join._packed(tables[0])) < 100 and len(ngram_join._packed(tables[1])) < 1 << 13
+
+
+def test_copies_between_blocks_follow_the_family(spark, monkeypatch):
+    """Each text of a family of many blocks travels to a bounded number of tasks, not to one for each block."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 1)
+    monkeypatch.setattr(ngram_join, "WIDE", 8, raising=False)
+    sent, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda tasks, *a: sent.append(tasks.count()) or verified(tasks, *a))
+    base = words(random.Random(5), 60)
+    # Each copy is near the first, most are unlike each other.
+    rows = [(k, " ".join(base[:k] + [f"new{k}"] * (k > 0) + base[k + 1 :]), None, None) for k in range(48)]
+    got = ngram_join.classes(spark.createDataFrame(rows, SCHEMA), 3, 90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components([r[:2] for r in rows], 3, 90)
+    assert len(sent) == 2 and sent[0] == 48 and sent[1] <= 2 * 8 * 48
+
+
+def test_shuffles_go_with_their_step(spark):
+    """What a step has shuffled is not on the disk when the next one has ended; the session's settings are as before."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv
+
+    def shuffles():
+        files = env.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    df = spark.createDataFrame(corpus(3), SCHEMA)
+    before, held = shuffles(), dict(spark.conf.getAll)
+    for find in (ngram_join.classes, ngram_join.one_of_each):
+        find(df, 3, 90)
+        left = shuffles() - before
+        for _ in range(50):
+            if len(left) <= 8:
+                break
+            time.sleep(0.2)
+            left = shuffles() - before
+        assert len(left) <= 8  # a frame that is returned may have been tried for emptiness
+    assert dict(spark.conf.getAll) == held

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.session import stored
+from tracemill.session import settings, stored
 
 # Rows of a table of texts that a Python task gets at once.
 ROWS_AT_ONCE = 1000
@@ -27,14 +27,8 @@ def large_partitions(spark: SparkSession) -> Iterator[None]:
     batches keep the tasks' memory low.
     """
     held = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS_AT_ONCE)}
-    before = {name: spark.conf.get(name) for name in held}
-    for name, value in held.items():
-        spark.conf.set(name, value)
-    try:
+    with settings(spark, held):
         yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

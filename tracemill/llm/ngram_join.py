@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import words
 from tracemill.llm.graph import components, forest, large_partitions
-from tracemill.session import broadcast_if_small, stored
+from tracemill.session import broadcast_if_small, shuffles_removed, stored
 
 # Up to so many classes with one prefix token, their pairs are named; beyond that they are tied to the token.
 MAX_POSTINGS = 32
@@ -36,6 +36,9 @@ HOT_HITS = 1 << 14
 # A block holds about so many documents and so many shingles.
 BLOCK_DOCS = 128
 BLOCK_SHINGLES = 100_000
+# Between the blocks of a family, up to so many blocks are taken together, so that a family has so many wide blocks, more
+# only if these would be wider than that. A text travels once for each wide block of the other side.
+WIDE = 16
 # Family members up to this number are sent to the texts, more of them meet the texts in a shuffle.
 BROADCAST_ROWS = 200_000
 # The frequency table has one counter for so many tokens, between 2**12 and 2**24 counters, in parts of 2**15.
@@ -72,6 +75,24 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, text_key long, n_shingles long, class long")
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters as bytes: one byte each and the places and values of those of 255 or more, compressed.
+
+    A task meets few tokens for each counter of a large corpus, so its table comes to about a bit for each counter, or less.
+    """
+    high = np.flatnonzero(counts >= 255)
+    low = pa.compress(np.minimum(counts, 255).astype(np.uint8), "zstd", asbytes=True)
+    return len(high).to_bytes(8, "little") + high.astype(np.int64).tobytes() + counts[high].astype(np.uint64).tobytes() + low
+
+
+def _add_packed(out: np.ndarray, blob: bytes) -> None:
+    """Add packed counters to ``out`` (unsigned, 64 bits)."""
+    n = int.from_bytes(blob[:8], "little")
+    out += np.frombuffer(pa.decompress(blob[8 + 16 * n :], len(out), "zstd", asbytes=True), np.uint8)
+    high, counts = np.frombuffer(blob, np.int64, n, 8), np.frombuffer(blob, np.uint64, n, 8 + 8 * n)
+    out[high] += counts - np.uint64(255)
+
+
 def _frequencies(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     """2 x 2**bits frequency grades: how often a token's counters were hit, on a logarithmic scale from 0 to 255."""
     parts = 1 << (bits - PART_BITS) if bits > PART_BITS else 1
@@ -84,7 +105,7 @@ def _frequencies(docs: DataFrame, size: int, bits: int) -> np.ndarray:
         def flush():
             tokens = np.concatenate(held) if held else np.zeros(0, np.uint64)
             for row in (0, 1):
-                counts[row] += np.bincount(_cell(tokens, row, bits), minlength=1 << bits).astype(np.uint32)
+                np.add.at(counts[row], _cell(tokens, row, bits), np.uint32(1))
             held.clear()
 
         for batch in batches:
@@ -95,26 +116,31 @@ def _frequencies(docs: DataFrame, size: int, bits: int) -> np.ndarray:
                     flush()
                     waiting = 0
         flush()
-        kind = np.uint8 if counts.max() < 256 else np.uint32
         for row in (0, 1):
-            blobs = [counts[row, p * width : (p + 1) * width].astype(kind).tobytes() for p in range(parts)]
+            blobs = [_packed(counts[row, p * width : (p + 1) * width]) for p in range(parts)]
             yield pa.RecordBatch.from_arrays([pa.array([row * parts + p for p in range(parts)], pa.int64()), pa.array(blobs, pa.binary())], ["part", "counts"])
 
-    def total(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def summed(frame: pd.DataFrame) -> np.ndarray:
         out = np.zeros(width, np.uint64)
         for blob in frame["counts"]:
-            out += np.frombuffer(blob, {1: np.uint8, 4: np.uint32, 8: np.uint64}[len(blob) // width])
-        return pd.DataFrame({"part": [key[0]], "counts": [out.tobytes()]})
+            _add_packed(out, blob)
+        return out
+
+    def total(key, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "counts": [_packed(summed(frame))]})
+
+    def graded(key, frame: pd.DataFrame) -> pd.DataFrame:
+        grade = np.minimum(255, np.floor(8 * np.log2(1 + summed(frame).astype(float)))).astype(np.uint8)
+        return pd.DataFrame({"part": [key[0]], "grades": [grade.tobytes()]})
 
     counted = docs.mapInArrow(count, "part long, counts binary")
     # Two levels, so that no group has more than a few hundred tables, however many tasks there were.
     counted = counted.withColumn("salt", F.floor(F.spark_partition_id() / F.lit(256)))
     once = counted.groupBy("part", "salt").applyInPandas(total, "part long, counts binary")
-    rows = once.groupBy("part").applyInPandas(total, "part long, counts binary").collect()
+    rows = once.groupBy("part").applyInPandas(graded, "part long, grades binary").collect()
     grades = np.zeros((2 * parts, width), np.uint8)
     for row in rows:
-        counts = np.frombuffer(row.counts, np.uint64)
-        grades[row.part] = np.minimum(255, np.floor(8 * np.log2(1 + counts.astype(float)))).astype(np.uint8)
+        grades[row.part] = np.frombuffer(row.grades, np.uint8)
     return grades.reshape(2, 1 << bits)
 
 
@@ -268,11 +294,32 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _pieces(sets: list[np.ndarray]) -> Iterator[slice]:
+    """Runs of sets that have up to twice the documents and shingles of a block, or of one set."""
+    first = n = 0
+    for k, s in enumerate(sets):
+        if k > first and (k - first >= 2 * BLOCK_DOCS or n + len(s) > 2 * BLOCK_SHINGLES):
+            yield slice(first, k)
+            first, n = k, 0
+        n += len(s)
+    if len(sets) > first:
+        yield slice(first, len(sets))
+
+
 def _links_of(left: list[np.ndarray], right: list[np.ndarray], percent: int, grade: np.ndarray) -> list[tuple[int, int]]:
     """Links (places in left, in right) between two lists of sets, of the pairs that pass the filters under both orders."""
+    prefixes = [[_prefixes(s, percent, grade) for s in side] for side in ((left,) if left is right else (left, right))]
+    out = []
+    for a in _pieces(left):
+        for b in _pieces(right):
+            found = _links_of_piece(left[a], right[b], [prefixes[0][a], prefixes[-1][b]], percent)
+            out += [(a.start + i, b.start + j) for i, j in found]
+    return out
+
+
+def _links_of_piece(left: list[np.ndarray], right: list[np.ndarray], prefixes: list[list[tuple]], percent: int) -> list[tuple[int, int]]:
     n, m = (np.array([len(s) for s in side], np.int64) for side in (left, right))
     pairs = 100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m)
-    prefixes = [[_prefixes(s, percent, grade) for s in side] for side in (left, right)]
     for order in (0, 2):
         if pairs.any():
             pairs &= _common([p[order] for p in prefixes[0]], [p[order] for p in prefixes[1]]) > 0
@@ -298,7 +345,8 @@ def _verified(tasks: DataFrame, size: int, percent: int, grades) -> DataFrame:
                     if len(s):
                         sides[to].setdefault(int(_class(s)[0]), s)
             names = [list(side) for side in sides]
-            found = _links_of(*([side[k] for k in name] for side, name in zip(sides, names)), percent, grades.value) if all(names) else []
+            left, right = (list(side.values()) for side in sides)
+            found = _links_of(left, left if names[0] == names[1] else right, percent, grades.value) if all(names) else []
         ends = [(names[0][a], names[1][b]) for a, b in found if names[0][a] != names[1][b]]
         nodes, roots = forest(*(np.array([e[k] for e in ends], np.int64) for k in (0, 1)))
         return pa.table({"src": pa.array(nodes[nodes != roots]), "dst": pa.array(roots[nodes != roots])})
@@ -313,7 +361,7 @@ def links(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
 
     Rows with a null doc_id are left out; null or empty texts have no shingles and no class in ``classes``.
     """
-    with large_partitions(docs.sparkSession):
+    with large_partitions(docs.sparkSession), shuffles_removed(docs.sparkSession):
         return _links(docs, size, percent)
 
 
@@ -330,7 +378,7 @@ def _links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     members = stored(families.select(F.col("node").alias("class"), F.col("component").alias("family")).join(classes, "class"))
     shape = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("n")).where("m > 1")
     shape = shape.select("family", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(stored(shape), "family").select("family", "class", F.col("rep").alias("doc_id"), "blocks", F.pmod(F.xxhash64("class"), "blocks").cast("int").alias("block"))
+    members = members.join(stored(shape), "family").select("family", "class", F.col("rep").alias("doc_id"), "n_shingles", "blocks", F.pmod(F.xxhash64("class"), "blocks").cast("int").alias("block"))
     members = stored(members)
     # One row's text for each class; rows of other classes that share its doc_id come along and only have links of their own.
     rows = docs.join(broadcast_if_small(members.select("doc_id", "family", "block").distinct(), BROADCAST_ROWS), "doc_id")
@@ -343,14 +391,20 @@ def _links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
 
 
 def _between_blocks(large: DataFrame, docs: DataFrame, found: DataFrame, size: int, percent: int, grades) -> DataFrame:
-    """Links between blocks of families of several blocks, but for pairs of a family's largest class so far."""
+    """Links between blocks of families of several blocks, but for pairs of a family's largest class so far.
+
+    A family of m documents sends each of them to at most about ``WIDE`` tasks a side, as long as m is under ``BLOCK_DOCS * WIDE**2``.
+    """
     so_far = components(found).withColumnRenamed("node", "class")
     labelled = large.join(so_far, "class", "left").withColumn("component", F.coalesce("component", "class"))
     counts = labelled.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy("family").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-    opened = labelled.join(main, "family").select("family", "doc_id", "block", "blocks", (F.col("component") != F.col("main")).alias("open"))
-    # The open documents in blocks of their own, each against every block of the family.
-    groups = opened.where("open").groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("groups"))
+    # The open documents in blocks of their own, each against every block of the family; on both sides in wide blocks.
+    wide = lambda n: F.least(n, F.greatest(F.lit(WIDE), F.ceil(n / WIDE))).cast("int")
+    block, blocks = F.floor(F.col("block") * wide(F.col("blocks")) / F.col("blocks")).cast("int"), wide(F.col("blocks"))
+    opened = labelled.join(main, "family").select("family", "doc_id", "n_shingles", block.alias("block"), blocks.alias("blocks"), (F.col("component") != F.col("main")).alias("open"))
+    shape = opened.where("open").groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("n"))
+    groups = shape.select("family", F.greatest(wide(F.ceil(F.col("m") / BLOCK_DOCS)), F.ceil(F.col("n") / (WIDE * BLOCK_SHINGLES))).cast("int").alias("groups"))
     placed = stored(opened.join(groups, "family").groupBy("family", "doc_id", "block").agg(F.max("blocks").alias("blocks"), F.max("groups").alias("groups"), F.max("open").alias("open")))
     rows = docs.join(broadcast_if_small(placed, BROADCAST_ROWS), "doc_id")
     group = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), "groups").cast("int")
@@ -382,7 +436,8 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     0 shingles and a null component; repeated rows come back as often as they came, and rows that share a doc_id but not a
     text each have the component of their own text. An empty table gives none.
     """
-    out = _components(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+    with shuffles_removed(docs.sparkSession):
+        out = _components(docs, size, percent).select("doc_id", "n_shingles", "component_id")
     nameless = docs.where("doc_id IS NULL").select(
         F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")
     )
@@ -394,14 +449,15 @@ def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 
     Rows without a doc_id and rows without words stay; of equal rows (doc_id and text) one stays.
     """
-    found = stored(_components(docs.select("doc_id", "text"), size, percent))
-    pair = F.struct("doc_id", "text_key")
-    first = stored(found.where("component IS NOT NULL").groupBy("component").agg(F.min(pair).alias("first")))
-    apart = found.join(first, "component").where(pair != F.col("first"))
-    # Only the rows that go are looked up, so that texts need no shuffle unless these are many.
-    gone = stored(apart.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
-    again = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().where("count > 1")
-    again = stored(again.select("_id", "_key").join(gone, ["_id", "_key"], "left_anti"))
+    with shuffles_removed(docs.sparkSession):
+        found = stored(_components(docs.select("doc_id", "text"), size, percent))
+        pair = F.struct("doc_id", "text_key")
+        first = stored(found.where("component IS NOT NULL").groupBy("component").agg(F.min(pair).alias("first")))
+        apart = found.join(first, "component").where(pair != F.col("first"))
+        # Only the rows that go are looked up, so that texts need no shuffle unless these are many.
+        gone = stored(apart.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+        again = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().where("count > 1")
+        again = stored(again.select("_id", "_key").join(gone, ["_id", "_key"], "left_anti"))
     own = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
     kept = docs.join(broadcast_if_small(gone, BROADCAST_ROWS), own, "left_anti")
     if again.isEmpty():
